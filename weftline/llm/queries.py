@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from weftline.llm.line_dedup import OP5_SQL, op5_line_dedup
+from weftline.llm.minhash_dedup import op8_minhash_dedup
 from weftline.llm.substring_dedup import op3_substring_dedup
 
 
 def queries() -> dict:
-    return {"op3_substring_dedup": op3_substring_dedup}
+    return {f.__name__: f for f in (op3_substring_dedup, op5_line_dedup, op8_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": OP5_SQL}

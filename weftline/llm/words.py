@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Odd multipliers of the rolling hashes (arbitrary fixed odd 64-bit numbers).
@@ -138,7 +139,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
     """Parts of a batch with at most ``limit`` bytes of text (or one row)."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     at = 0
     while at < len(sizes):
         total = np.cumsum(sizes[at : at + 65536])
