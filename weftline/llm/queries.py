@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from weftline.llm.decontaminate import op2_decontaminate
+from weftline.llm.language_id import op9_language_id
 from weftline.llm.line_dedup import OP5_SQL, op5_line_dedup
 from weftline.llm.minhash_dedup import op8_minhash_dedup
+from weftline.llm.packing import op10_packing
 from weftline.llm.substring_dedup import op3_substring_dedup
+from weftline.llm.topk import OP1_SQL, op1_topk_search
+from weftline.llm.url_filter import OP6_SQL, op6_url_filter
+
+QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op5_line_dedup, op6_url_filter, op8_minhash_dedup, op9_language_id, op10_packing)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_line_dedup, op8_minhash_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
+    """SQL of the queries that DuckDB answers on whole tables in reasonable time."""
+    return {"op1_topk_search": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_url_filter": OP6_SQL}

@@ -64,6 +64,8 @@ def span_hash(prefix: np.ndarray, base: int, start: np.ndarray, end: np.ndarray)
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII bytes but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_KEY = mix(np.arange(256, dtype=U64), 11)
@@ -94,14 +96,14 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of every run of bytes outside [\\x20\\x09-\\x0D], and
-        for each text the number of the first word (with one entry more)."""
+    def words(self, between: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every run of bytes outside ``between`` (by default
+        [\\x20\\x09-\\x0D]), and for each text the number of the first word (with one entry more)."""
         n = len(self.data)
         if not n:
             z = np.zeros(0, np.int64)
             return z, z, np.zeros(len(self) + 1, np.int64)
-        white = _WHITE[self.data]
+        white = between[self.data]
         edge = np.zeros(n + 1, dtype=bool)  # where a text begins or all ends
         edge[self.offsets] = True
         solid = ~white
