@@ -5,13 +5,15 @@ from __future__ import annotations
 from weftline.llm.decontaminate import op2_decontaminate
 from weftline.llm.language_id import op9_language_id
 from weftline.llm.line_dedup import OP5_SQL, op5_line_dedup
+from weftline.llm.lm_score import op7_lm_score
 from weftline.llm.minhash_dedup import op8_minhash_dedup
 from weftline.llm.packing import op10_packing
 from weftline.llm.substring_dedup import op3_substring_dedup
+from weftline.llm.suffix_dedup import op4_suffix_dedup
 from weftline.llm.topk import OP1_SQL, op1_topk_search
 from weftline.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op5_line_dedup, op6_url_filter, op8_minhash_dedup, op9_language_id, op10_packing)
+QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_line_dedup, op6_url_filter, op7_lm_score, op8_minhash_dedup, op9_language_id, op10_packing)
 
 
 def queries() -> dict:

@@ -71,6 +71,11 @@ _LOWER[65:91] += 32
 _BYTE_KEY = mix(np.arange(256, dtype=U64), 11)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, all other bytes as they are."""
+    return _LOWER[data]
+
+
 class Block:
     """Texts of one block: ``data`` all bytes, ``offsets`` where each text begins."""
 
