@@ -131,11 +131,11 @@ def hybrid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best fused hits with their rows; hits without a row stay."""
     fused = search.fuse(_two_lists(spark, sf_dir)).orderBy(F.desc("rrf_score"), F.asc("doc_id")).limit(5)
     rows = search.hydrate(fused.select("doc_id", "rrf_score"), table(spark, sf_dir, "labels"), "doc_id", "doc_id", "row_")
-    return rows.select("doc_id", F.round("rrf_score", 8).alias("rrf_score"), "row_quality", "row_toxic")
+    return rows.select("doc_id", F.round("rrf_score", 8).alias("rrf_score"), F.coalesce("row_quality", F.lit(-1)).cast("long").alias("row_quality"), F.coalesce("row_toxic", F.lit(-1)).cast("long").alias("row_toxic"))
 
 
 HYBRID_LOOKUP = _RRF + """, best AS (SELECT * FROM fused ORDER BY rrf DESC, doc_id LIMIT 5)
-SELECT b.doc_id, round(rrf, 8) AS rrf_score, l.quality AS row_quality, l.toxic AS row_toxic FROM best b LEFT JOIN labels l ON b.doc_id = l.doc_id"""
+SELECT b.doc_id, round(rrf, 8) AS rrf_score, CAST(coalesce(l.quality, -1) AS BIGINT) AS row_quality, CAST(coalesce(l.toxic, -1) AS BIGINT) AS row_toxic FROM best b LEFT JOIN labels l ON b.doc_id = l.doc_id"""
 
 
 def rerank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
