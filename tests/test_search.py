@@ -189,8 +189,8 @@ def test_rate_limited_stream(spark, tmp_path):
     at = datetime(2024, 1, 1)
     spark.createDataFrame([("a", at + timedelta(seconds=i)) for i in range(5)], "session_id string, ts timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id string, ts timestamp").parquet(str(tmp_path / "in"))
-    query = rate_limited(stream, 3, 60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
+    query = rate_limited(stream, 3, 60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(30)
     query.stop()
     got = [r["accepted"] for r in spark.table("limited").orderBy("ts").collect()]
     assert got == [True, True, True, False, False]
