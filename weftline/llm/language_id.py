@@ -111,8 +111,8 @@ class Model:
             return out.T
         live = np.searchsorted(-length, -np.arange(1, STRETCH + 1), side="right")  # stretches with more than j bytes
         for lang, start in enumerate(self.start):
-            state = np.full(len(doc), start, dtype=np.int64)
-            phrases = np.ones(len(doc), dtype=np.int64)
+            state = np.zeros(len(doc), dtype=np.int64)  # 0: no phrase goes on from here
+            phrases = np.zeros(len(doc), dtype=np.int64)
             base = start * SYMBOLS
             for j in range(int(length[0])):
                 m = int(live[j])
@@ -121,8 +121,7 @@ class Model:
                 stuck = nxt == 0
                 if stuck.any():
                     phrases[:m] += stuck
-                    again = self.table[base + c[stuck]]
-                    nxt[stuck] = np.where(again > 0, again, start)
+                    nxt[stuck] = self.table[base + c[stuck]]  # a byte that the sample lacks is a phrase of its own
                 state[:m] = nxt
             out[lang] = np.bincount(doc, weights=phrases, minlength=n).astype(np.int64)
         return out.T
@@ -164,14 +163,14 @@ def identify(docs: DataFrame, samples: dict[str, bytes], carry: list[str] | None
     carry = carry or []
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     names = ["doc_id", *carry]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared)
         for whole in batches:
-            for batch in W.slices(whole, limit=8 << 20):
-                block = W.Block(batch.column("text"))
+            for batch in W.slices(whole, "_text", 8 << 20):
+                block = W.Block(batch.column("_text"))
                 letter = np.asarray(batch.column("_letter").to_numpy(zero_copy_only=False), dtype=bool)
                 lang, score, rate = ["und"] * len(block), np.zeros(len(block)), np.zeros(len(block))
                 if model.names:
