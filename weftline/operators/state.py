@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cache_key(query: Column) -> Column:
@@ -93,4 +94,4 @@ def rate_limit(events: DataFrame, session: str = "session_id", limit: int = 30,
                 keep += ok
             yield pdf[cols].assign(accepted=pd.Series(keep, index=pdf.index, dtype=bool))
 
-    return slim.mapInPandas(walk, events.schema.add("accepted", "boolean"))
+    return slim.mapInPandas(walk, T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())]))
