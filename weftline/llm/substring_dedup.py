@@ -78,3 +78,25 @@ def remove_repeated_passages(docs: DataFrame, length: int = 35, keep_text: bool
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeated_passages(docs, 35, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_intervals")
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)
+), again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+marked AS (
+  SELECT p.doc_id, p.i, word,
+         coalesce(max(CASE WHEN a.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM pos p LEFT JOIN again a ON p.doc_id = a.doc_id AND p.i = a.i
+), edges AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM marked),
+sums AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept,
+         count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_intervals
+  FROM edges GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_intervals, 0) AS n_intervals
+FROM w LEFT JOIN sums USING (doc_id)
+"""
