@@ -125,6 +125,17 @@ class Block:
             return mix(span_hash(prefix, base, starts, ends) + (ends - starts).astype(U64))
 
 
+def unique(values: np.ndarray, counts: bool = False):
+    """Distinct values in order (and how often each stands), by sorting."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if not counts:
+        return ordered[new]
+    first = np.flatnonzero(new)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 def windows(first: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the words at which a window of ``length`` words of one text
     starts. ``first``: per text the number of its first word."""
