@@ -228,8 +228,16 @@ def _counts(table: pa.Table) -> pa.Table:
     return X.answers(table, [x.tobytes() for x in np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])])
 
 
+def _runs(places: np.ndarray) -> bytes:
+    """First and last of every run of consecutive places."""
+    places = W.unique(np.asarray(places, np.int64))
+    gap = np.flatnonzero(np.diff(places) > 1)
+    first, last = np.append(places[:1], places[gap + 1]), np.append(places[gap], places[-1:])
+    return np.column_stack([first, last]).astype(np.uint32).tobytes()
+
+
 def _reply(blocks: list[int], places: list[np.ndarray]) -> pa.Table:
-    return pa.table({"block": pa.array(blocks, pa.int32()), "at": pa.array([np.asarray(x, np.uint32).tobytes() for x in places], pa.binary())})
+    return pa.table({"block": pa.array(blocks, pa.int32()), "at": pa.array([_runs(x) for x in places], pa.binary())})
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 400, keep_text: bool = True) -> DataFrame:
@@ -245,7 +253,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, keep_text: bool
 
     def pack(table: pa.Table) -> pa.Table:
         _, _, gram = _anchors(_sorted_block(table)[1], length)
-        key, count = np.unique(gram, return_counts=True)
+        key, count = W.unique(gram, counts=True)
         bucket = _bucket(key, key_buckets)
         order = np.argsort(bucket, kind="stable")
         return X.packed(table.column("block")[0].as_py(), bucket[order], key[order], count[order].astype(np.uint32))
@@ -293,7 +301,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, keep_text: bool
             for b, k, f in zip(np.split(bucket, cuts), np.split(keys, cuts), np.split(first, cuts), strict=True):
                 rows.append((buckets + int(b[0]), f, k.tobytes()))
         if sure:
-            rows.append((2 * buckets + number % buckets, np.concatenate(sure), b""))
+            rows.append((2 * buckets + number % buckets, np.frombuffer(_runs(np.concatenate(sure)), np.uint32), b""))
         return pa.table({"bucket": pa.array([b for b, _, _ in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int32()), "at": pa.array([np.asarray(a, np.uint32).tobytes() for _, a, _ in rows], pa.binary()), "data": pa.array([d for _, _, d in rows], pa.binary())})
 
     def settle(table: pa.Table) -> pa.Table:
@@ -301,7 +309,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, keep_text: bool
         blocks, data = table.column("block").to_pylist(), table.column("data").to_pylist()
         at = [np.frombuffer(x, np.uint32) for x in table.column("at").to_pylist()]
         if kind == 2:
-            return _reply(blocks, at)
+            return table.select(["block", "at"])
         if kind == 1:
             keys = [np.frombuffer(x, np.uint64) for x in data]
             _, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
@@ -322,8 +330,11 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, keep_text: bool
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         table, block = _sorted_block(table)
-        places = [np.frombuffer(x, np.uint32) for x in replies.column("at").to_pylist()]
-        gone = W.covered(len(block.data), np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64), length)
+        runs = np.frombuffer(b"".join(replies.column("at").to_pylist()), np.uint32).astype(np.int64).reshape(-1, 2)
+        step = np.zeros(len(block.data) + 1, dtype=np.int64)
+        np.add.at(step, runs[:, 0], 1)
+        np.add.at(step, runs[:, 1] + length, -1)
+        gone = np.cumsum(step[:-1]) > 0
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")}
         for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
             mask = gone[a:b]
