@@ -194,3 +194,14 @@ def test_cdc_stream(spark, tmp_path):
 
 def test_kv_pattern_is_whole():
     assert re.compile(tx.KV_PATTERN.replace("(?sU)", "(?s)"))
+
+
+def test_constraints_and_jdbc_options(spark):
+    columns = spark.createDataFrame([("t", "a", 1, "int", "NO", None), ("t", "b", 2, "text", "YES", "x"), ("t", "c", 3, "text", "YES", None), ("u", "a", 1, "int", "NO", None)], "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, column_default string")
+    kinds = spark.createDataFrame([("k", "t", "PRIMARY KEY"), ("f", "t", "FOREIGN KEY"), ("k", "u", "UNIQUE")], "constraint_name string, table_name string, constraint_type string")
+    usage = spark.createDataFrame([("k", "t", "a"), ("k", "t", "b"), ("f", "t", "c")], "constraint_name string, table_name string, column_name string")
+    got = [(r["column_name"], r["is_nullable"], r["column_default"], r["is_unique"]) for r in ta.column_constraints(columns, kinds, usage, "t").collect()]
+    assert got == [("a", False, None, True), ("b", True, "x", True), ("c", True, None, False)]
+    assert ta.jdbc_options({"DB_NAME": "d"})["url"] == "jdbc:postgresql://localhost:5432/d"
+    with pytest.raises(ValueError):
+        ta.read(spark, "xlsx", "x")

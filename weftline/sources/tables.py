@@ -60,5 +60,5 @@ def column_constraints(columns: DataFrame, constraints: DataFrame, usage: DataFr
     from an information schema; each column of a composite key counts as unique."""
     kinds = constraints.filter((F.col("table_name") == table) & F.col("constraint_type").isin("UNIQUE", "PRIMARY KEY")).select("constraint_name", "table_name")
     unique = usage.join(kinds, ["constraint_name", "table_name"]).select("column_name").distinct().withColumn("is_unique", F.lit(True))
-    own = columns.filter(F.col("table_name") == table)
-    return own.join(unique, "column_name", "left").select("column_name", "data_type", (F.col("is_nullable") == "YES").alias("is_nullable"), "column_default", F.coalesce("is_unique", F.lit(False)).alias("is_unique")).orderBy("ordinal_position") if "ordinal_position" in columns.columns else own.join(unique, "column_name", "left").withColumn("is_unique", F.coalesce("is_unique", F.lit(False)))
+    own = columns.filter(F.col("table_name") == table).join(unique, "column_name", "left")
+    return own.select("column_name", "data_type", (F.col("is_nullable") == "YES").alias("is_nullable"), "column_default", F.coalesce("is_unique", F.lit(False)).alias("is_unique")).orderBy("ordinal_position")
