@@ -24,6 +24,7 @@ is not held out. An empty table gives an empty result. Columns besides
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from weftline.llm import exchange as X
 from weftline.llm import words as W
 
-DEPTH, CUT = 4, 2
+DEPTH, CUT = 5, 2
+#: Bytes of texts that are dealt to a block, and that a task handles at once.
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 END_BYTE = 0xFF  # in no UTF-8 text
 END_WORD = np.uint64(0x5EED0E4DC0FFEE01)
 SUBTREES = 1024
@@ -156,16 +159,34 @@ def _tokens(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(values, first[1:], END_WORD), first + np.arange(len(block) + 1)
 
 
-def _counted(key: np.ndarray, first: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each stands in the texts to learn from."""
-    use = np.repeat(learn, np.diff(first))
-    unique = np.unique(key)
-    known, count = np.unique(key[use], return_counts=True)
+def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of some pieces (keys, where each text's begin, whether to
+    learn from it) and how often each stands in the texts to learn from."""
+    all_, known, count = [], [], []
+    for key, first, learn in parts:
+        all_.append(W.unique(key))
+        own, n = W.unique(key[np.repeat(learn, np.diff(first))], counts=True)
+        known.append(own)
+        count.append(n)
+    unique = W.unique(np.concatenate(all_))
     out = np.zeros(len(unique), dtype=np.uint64)
-    out[np.searchsorted(unique, known)] = count
+    for own, n in zip(known, count, strict=True):
+        out[np.searchsorted(unique, own)] += n.astype(np.uint64)
     return unique, out
 
 
+def _looked_up(key: np.ndarray, unique: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of each key; keys that are equal are looked up once."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    found = value[np.searchsorted(unique, ordered[new])]
+    out = np.empty(len(key), dtype=value.dtype)
+    out[order] = found[np.cumsum(new) - 1]
+    return out
+
+
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (W.mix(key, 41) % np.uint64(buckets)).astype(np.int64)
 
@@ -187,15 +208,21 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         raise ValueError("depth must be from 2 to 7 bytes")
     spark = docs.sparkSession
     total = X.text_bytes(docs)
-    texts, _ = X.dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")), ["doc_id", "text", "held_out"], total)
+    texts, _ = X.dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")), ["doc_id", "text", "held_out"], total, BLOCK_BYTES)
     buckets = X.bucket_count(spark, total // 20)
 
+    kinds = ((0, _tokens), (buckets, lambda block: _grams(block, depth)))
+
+    def pieces(table: pa.Table) -> Iterator[tuple[W.Block, np.ndarray]]:
+        """A block's texts, few at a time, and whether to learn from them."""
+        for whole in table.combine_chunks().to_batches():
+            for batch in W.slices(whole, limit=PIECE_BYTES):
+                yield W.Block(batch.column("text")), ~np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+
     def pack(table: pa.Table) -> pa.Table:
-        block, number = W.Block(table.column("text")), table.column("block")[0].as_py()
-        learn = ~np.asarray(table.column("held_out").to_numpy(), dtype=bool)
-        parts = []
-        for shift, (key, first) in ((0, _tokens(block)), (buckets, _grams(block, depth))):
-            key, count = _counted(key, first, learn)
+        number, parts = table.column("block")[0].as_py(), []
+        for shift, keys in kinds:
+            key, count = _counted((*keys(block), learn) for block, learn in pieces(table))
             bucket, order = _spread(key, buckets)
             parts.append(X.packed(number, bucket[order] + shift, key[order], count[order]))
         return pa.concat_tables(parts)
@@ -288,23 +315,24 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     replies = by_bucket.applyInArrow(token_answers, X.ANSWER).unionByName(by_bucket.cogroup(logs.groupBy("bucket")).applyInArrow(gram_answers, X.ANSWER))
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = W.Block(table.column("text"))
         rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("answer").to_pylist(), strict=True))
-        out = {}
-        for name, shift, kind, (key, first) in (("tokens", 0, np.uint64, _tokens(block)), ("grams", buckets, np.float32, _grams(block, depth))):
-            unique = np.unique(key)
-            _, order = _spread(unique, buckets)
-            value = np.zeros(len(unique))
-            mine = [np.frombuffer(a, kind) for b, a in rows if shift <= b < shift + buckets]
-            value[order] = np.concatenate(mine)
-            each = value[np.searchsorted(unique, key)]
-            doc = np.repeat(np.arange(len(block)), np.diff(first))
-            sums = lambda x: np.bincount(doc, weights=x, minlength=len(block))  # noqa: B023, E731
-            if name == "tokens":
-                out |= {"n_tokens": np.diff(first), "n_known": sums(each > 0).astype(np.int64), "log_counts": sums(np.log10(each + 1))}
-            else:
-                out |= {"score": sums(each), "n_bytes": np.diff(first) - 1}
-        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), **{k: pa.array(out[k]) for k in ("n_tokens", "n_known", "log_counts", "score", "n_bytes")}})
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "log_counts", "score", "n_bytes")}
+        for (shift, keys), kind in zip(kinds, (np.uint64, np.float32), strict=True):
+            unique = W.unique(np.concatenate([W.unique(keys(block)[0]) for block, _ in pieces(table)]))
+            value = np.zeros(len(unique), dtype=kind)
+            value[_spread(unique, buckets)[1]] = np.concatenate([np.frombuffer(a, kind) for b, a in rows if shift <= b < shift + buckets])
+            for block, _ in pieces(table):
+                key, first = keys(block)
+                each = _looked_up(key, unique, value)
+                doc = np.repeat(np.arange(len(block)), np.diff(first))
+                if kind is np.uint64:
+                    out["n_tokens"].append(np.diff(first))
+                    out["n_known"].append(np.bincount(doc, weights=each > 0, minlength=len(block)).astype(np.int64))
+                    out["log_counts"].append(np.bincount(doc, weights=np.log10(each + 1.0), minlength=len(block)))
+                else:
+                    out["score"].append(np.bincount(doc, weights=each, minlength=len(block)))
+                    out["n_bytes"].append(np.diff(first) - 1)
+        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), **{k: pa.array(np.concatenate(v)) for k, v in out.items()}})
 
     scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCORED)
     sums = by_bucket.applyInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
