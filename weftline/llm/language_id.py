@@ -139,15 +139,18 @@ def _model(key: str, shared) -> Model:
 
 
 def gather_samples(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """A bounded sample of each language: texts in the order of a hash, whole
-    texts as long as they fit (longer ones are passed over)."""
-    kept = labelled.filter("lang is not null and text is not null").select("lang", "text").filter(F.octet_length("text").between(1, sample_bytes // 10))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    """A bounded sample of each language: up to ``sample_texts`` texts in the
+    order of a hash, those of at most a tenth of ``sample_bytes`` first. Of a
+    longer text a tenth of the sample is taken, so a language of long texts is
+    learned too."""
+    piece = sample_bytes // 10
+    kept = labelled.filter("lang is not null and text is not null and text <> ''").select("lang", "text")
+    by_hash = Window.partitionBy("lang").orderBy(F.octet_length("text") > piece, F.xxhash64("text"), "text")
     few = kept.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_texts)
     samples: dict[str, bytearray] = {}
-    for row in few.orderBy("lang", "rank").toLocalIterator():
+    for row in few.select("lang", "rank", F.substring("text", 1, piece).alias("text")).orderBy("lang", "rank").toLocalIterator():
         own = samples.setdefault(row["lang"], bytearray())
-        data = row["text"].encode("utf-8", "replace")
+        data = row["text"].encode("utf-8", "replace")[:piece]
         if len(own) + len(data) + 1 <= sample_bytes:
             own += data + b"\n"
         if len(samples) > MOST_LANGUAGES:
@@ -169,7 +172,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], carry: list[str] | None
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared)
         for whole in batches:
-            for batch in W.slices(whole, "_text", 8 << 20):
+            for batch in W.slices(whole, "_text", 4 << 20):
                 block = W.Block(batch.column("_text"))
                 letter = np.asarray(batch.column("_letter").to_numpy(zero_copy_only=False), dtype=bool)
                 lang, score, rate = ["und"] * len(block), np.zeros(len(block)), np.zeros(len(block))
