@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Odd multipliers of the rolling hashes (arbitrary fixed odd 64-bit numbers).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that a task handles at once in a stream of batches, and that are hashed at once.
+SLICE_BYTES, HASH_BYTES = 1 << 20, (1 << 20) - 1
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -30,7 +31,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=6)
 def _powers_upto(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < size."""
     with np.errstate(over="ignore"):
@@ -42,7 +43,7 @@ def _powers_upto(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers_upto(base, 1 << max(16, int(n).bit_length()))
+    up, down = _powers_upto(base, 1 << max(16, int(n - 1).bit_length()))
     return up[:n], down[:n]
 
 
@@ -120,9 +121,18 @@ class Block:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-        prefix = rolling(_BYTE_KEY[self.data], base)
-        with np.errstate(over="ignore"):
-            return mix(span_hash(prefix, base, starts, ends) + (ends - starts).astype(U64))
+        """A 64-bit hash of every word, a stretch of words at a time."""
+        out = np.empty(len(starts), dtype=U64)
+        at = 0
+        while at < len(starts):
+            origin = int(starts[at])
+            stop = max(at + 1, int(np.searchsorted(ends, origin + HASH_BYTES, side="right")))
+            a, b = starts[at:stop] - origin, ends[at:stop] - origin
+            prefix = rolling(_BYTE_KEY[self.data[origin : int(ends[stop - 1])]], base)
+            with np.errstate(over="ignore"):
+                out[at:stop] = mix(span_hash(prefix, base, a, b) + (b - a).astype(U64))
+            at = stop
+        return out
 
 
 def unique(values: np.ndarray, counts: bool = False):
@@ -153,7 +163,7 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES):
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Parts of a batch with at most ``limit`` bytes of text (or one row)."""
     if not batch.num_rows:
         return
