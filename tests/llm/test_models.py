@@ -288,6 +288,17 @@ def test_packing(docs, no_docs, texts):
     assert pk.pack(no_docs).count() == 0
 
 
+def test_one_very_long_document_leaves_the_other_boundaries_exact(spark):
+    rng = random.Random(11)
+    sizes = Counter(rng.randint(1, 60) for _ in range(300)) + Counter([200_000])
+    df = spark.createDataFrame(list(enumerate(sizes.elements())), "doc_id long, n long")
+    from pyspark.sql import functions as F
+
+    got = pk.pack(df, F.col("n"), buckets=5).collect()
+    assert Counter(r["n_tokens"] for r in got) == sizes and {r["bucket_tokens"] for r in got} <= set(sizes)
+    assert sum(r["padding"] for r in got) == least_padding(sorted(sizes), [sizes[x] for x in sorted(sizes)], 5)
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 

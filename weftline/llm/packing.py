@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from weftline.llm import exchange as X
 
 BUCKETS, TOKEN_BUDGET = 16, 16_384
-#: Distinct lengths that the driver takes; longer scales are rounded up to a coarser grid.
-MOST_LENGTHS = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -84,10 +82,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     spark = docs.sparkSession
     size = F.coalesce((word_count(F.col("text")) if length is None else length).cast("long"), F.lit(0))
     rows = X.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_tokens")))
-    longest = rows.agg(F.max("n_tokens").alias("n")).first()["n"] or 0
-    grid = max(1, -(-longest // (MOST_LENGTHS - 1)))  # so the histogram has at most MOST_LENGTHS lines
-    rounded = (F.ceil(F.col("n_tokens") / grid) * grid).cast("long")
-    histogram = sorted((r["l"], r["n"]) for r in rows.groupBy(rounded.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect())
+    # k distinct lengths have k * (k - 1) / 2 tokens at least, so these are about sqrt(2 * all tokens) lines at most
+    histogram = sorted((r["l"], r["n"]) for r in rows.groupBy(F.col("n_tokens").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect())
     bounds = best_boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
     number = F.lit(len(bounds) - 1)
     for k in range(len(bounds) - 2, -1, -1):
