@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from weftline.llm import decontaminate, exchange, language_id, line_dedup, minhash_dedup, packing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Texts of at least this many bytes whose phrases in the best language are shorter than this are in no language.
-GIBBERISH_BYTES, GIBBERISH_PHRASE = 200, 1.5
+#: Texts of at least this many bytes whose phrases in the best language are shorter than this are in no language,
+#: unless less than this share of their bytes occurs in any sample: nothing is known of their script then.
+GIBBERISH_BYTES, GIBBERISH_PHRASE, GIBBERISH_KNOWN = 200, 1.5, 0.5
 MIN_DOCS = 10
 
 
@@ -29,7 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = _documents(docs)
     learned = docs.withColumn("held_out", language_id.held_out()).filter("not held_out")
     found = language_id.identify(docs, language_id.gather_samples(learned), ["lang", "source", "n_chars", "text"])
-    gibberish = (F.octet_length("text") >= GIBBERISH_BYTES) & (F.col("bytes_per_phrase") < GIBBERISH_PHRASE)
+    gibberish = (F.octet_length("text") >= GIBBERISH_BYTES) & (F.col("bytes_per_phrase") < GIBBERISH_PHRASE) & (F.col("known_bytes") >= GIBBERISH_KNOWN)
     return found.filter((F.col("lang_pred") != "und") & ~gibberish).select(*COLUMNS)
 
 

@@ -234,6 +234,34 @@ def test_cross_parsing_matches_plain():
         assert got[k].tolist() == [greedy(samples["a"], t), greedy(samples["b"], t)]
 
 
+SCRIPTS = {
+    "en": "The Quick brown fox, 1234567890 times: jumps over the lazy dog & a WIZARD's job VEXES him!",
+    "ru": "Съешь же ещё этих мягких французских булок, да выпей чаю",
+    "zh": "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏",
+    "ar": "نص حكيم له سر قاطع وذو شأن عظيم مكتوب على ثوب أخضر",
+    "hi": "ऋषियों को सताने वाले दुष्ट राक्षसों के राजा रावण का सर्वनाश",
+}
+
+
+def test_every_byte_value_and_script_is_learned():
+    samples = {k: (t + "\n").encode() * 2 for k, t in SCRIPTS.items()}
+    samples["all"] = bytes(range(256))
+    assert len({b for t in SCRIPTS.values() for b in t.encode()}) > 63
+    texts = [t.encode()[::step] for t in SCRIPTS.values() for step in (1, 2)] + [bytes(range(256))]
+    model = li.Model(samples)
+    for t, got in zip(texts, model.phrases(W.Block(pa.array(texts, pa.binary()))).tolist(), strict=True):
+        assert got == [greedy(samples[k], t) for k in model.names]
+
+
+def test_texts_in_a_script_that_no_sample_has_are_no_gibberish(spark, tmp_path):
+    rng = random.Random(12)
+    learned = [(i, " ".join(rng.choice(["the", "house", "of", "with"]) for _ in range(60)), "en") for i in range(40)]
+    odd = [(100, SCRIPTS["zh"] * 4, None), (101, "".join(rng.choice("thousewif") for _ in range(400)), None)]
+    df = spark.createDataFrame(learned + odd, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, df, str(tmp_path)).collect()}
+    assert kept == {100, *range(40)}
+
+
 def test_language_accuracy_and_odd_texts(spark, docs, no_docs):
     rng = random.Random(9)
     english, german = ["the", "house", "of", "with", "thing", "and"], ["das", "haus", "und", "mit", "dem", "ding"]

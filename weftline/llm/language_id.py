@@ -6,8 +6,8 @@ occur in a language's sample; the fewer such phrases per byte, the closer the
 language. Phrases start afresh at every 1,024 bytes of a text, so that very
 long texts are parsed side by side; every byte of every text takes part.
 
-The automata are dense transition tables over the byte classes of the samples,
-walked for thousands of stretches of text at once.
+The automata know every byte value of their samples. Their transitions lie
+interleaved in one table, walked for thousands of stretches of text at once.
 
 Rows: each row is judged by its text alone. Null texts and texts without a
 letter get ``und`` with score 0; so does everything if no labelled text was
@@ -30,19 +30,17 @@ from weftline.llm import words as W
 #: Bytes of sample per language, and texts it may come from: the bounds of what the driver gathers.
 SAMPLE_BYTES, SAMPLE_TEXTS, MOST_LANGUAGES = 40_000, 120, 200
 STRETCH = 1024
-SYMBOLS = 64
 
 
-def automaton(data: bytes, classes: np.ndarray) -> np.ndarray:
-    """Transition table (states x SYMBOLS, 0: none) of the suffix automaton of
-    data; state 1 is the start. ``classes``: the symbol of each byte value."""
+def automaton(data: bytes) -> list[dict[int, int]]:
+    """Transitions of every state of the suffix automaton of data; state 1 is the start, 0 none."""
     limit = 2 * len(data) + 4
-    link, size, step = [0] * limit, [0] * limit, [None] * limit
-    step[1], last, top = {}, 1, 1
-    for c in classes[np.frombuffer(data, np.uint8)].tolist():
+    link, size, step = [0] * limit, [0] * limit, [{} for _ in range(limit)]
+    last, top = 1, 1
+    for c in data:
         top += 1
         new = top
-        size[new], step[new] = size[last] + 1, {}
+        size[new] = size[last] + 1
         p = last
         while p and c not in step[p]:
             step[p][c] = new
@@ -61,38 +59,59 @@ def automaton(data: bytes, classes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = top
         last = new
-    table = np.zeros((top + 1, SYMBOLS), dtype=np.int32)
-    for s in range(1, top + 1):
-        for c, t in step[s].items():
-            table[s, c] = t
-    return table
-
-
-def byte_classes(samples: dict[str, bytes]) -> np.ndarray:
-    """Symbols 1.. for the most frequent bytes of all samples; 0 for the rest, which no automaton knows."""
-    counts = np.zeros(256, dtype=np.int64)
-    for data in samples.values():
-        counts += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    classes = np.zeros(256, dtype=np.int64)
-    order = [b for b in np.argsort(-counts, kind="stable").tolist() if counts[b]][: SYMBOLS - 1]
-    classes[order] = np.arange(1, len(order) + 1)
-    return classes
+    return step[: top + 1]
+
+
+def comb(step: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The states' new numbers and a table that holds the transition of state
+    s by byte c at s + c, as s << 32 | target (-1: none). Numbers are dealt so
+    that no two transitions meet: 8 bytes each, whatever the alphabet."""
+    number = np.zeros(len(step), dtype=np.int64)
+    slot, free = np.ones(4 * len(step) + 1024, dtype=bool), np.ones(4 * len(step) + 1024, dtype=bool)
+    at, width, window = 1, -1, 256
+    for s in sorted(range(1, len(step)), key=lambda s: -len(step[s])):
+        if len(step[s]) != width:
+            at, width = 1, len(step[s])
+        while True:
+            if at + window + 256 > len(slot):
+                slot, free = (np.concatenate([x, np.ones(len(x), dtype=bool)]) for x in (slot, free))
+            fits = free[at : at + window].copy()
+            for c in step[s]:
+                fits &= slot[at + c : at + c + window]
+            k = int(fits.argmax())
+            if fits[k]:
+                break
+            at += window
+        number[s] = at + k
+        free[at + k] = False
+        for c in step[s]:
+            slot[at + k + c] = False
+    source = np.repeat(number, [len(x) for x in step])
+    byte = np.array([c for x in step for c in x], dtype=np.int64)
+    target = number[np.array([t for x in step for t in x.values()], dtype=np.int64)]
+    table = np.full(int(number.max()) + 256, -1, dtype=np.int64)
+    table[source + byte] = source << 32 | target
+    return number, table
 
 
 class Model:
-    """Automata of all languages, one under the other in a single table."""
+    """Automata of all languages, one after the other in a single table."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.names = sorted(samples)
-        self.classes = byte_classes(samples).astype(np.uint8)
-        tables, self.start, at = [], [], 0
+        self.known = np.zeros(256, dtype=bool)  # bytes that some sample holds
+        tables, self.first, at = [], [], 0
         for name in self.names:
-            table = automaton(samples[name], self.classes.astype(np.int64))
-            table[:, 0] = 0
-            tables.append(np.where(table > 0, table + at, 0))
-            self.start.append(at + 1)
+            step = automaton(samples[name])
+            number, table = comb(step)
+            tables.append(np.where(table < 0, -1, table + (at << 32) + at))
+            first = np.zeros(256, dtype=np.int64)  # from the start, by byte
+            for c, t in step[1].items():
+                first[c] = number[t] + at
+            self.first.append(first)
+            self.known |= first > 0
             at += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(SYMBOLS, np.int32)
+        self.table = np.concatenate(tables) if tables else np.full(256, -1, dtype=np.int64)
 
     def phrases(self, block: W.Block) -> np.ndarray:
         """Phrases of every text (rows) in every language (columns)."""
@@ -105,23 +124,22 @@ class Model:
         length = np.minimum(size[doc] - inner * STRETCH, STRETCH)
         order = np.argsort(-length, kind="stable")
         doc, begin, length = doc[order], begin[order], length[order]
-        symbols = self.classes[block.data].astype(np.int64)
         out = np.zeros((k, n), dtype=np.int64)
         if not len(doc):
             return out.T
         live = np.searchsorted(-length, -np.arange(1, STRETCH + 1), side="right")  # stretches with more than j bytes
-        for lang, start in enumerate(self.start):
+        for lang, first in enumerate(self.first):
             state = np.zeros(len(doc), dtype=np.int64)  # 0: no phrase goes on from here
             phrases = np.zeros(len(doc), dtype=np.int64)
-            base = start * SYMBOLS
             for j in range(int(length[0])):
                 m = int(live[j])
-                c = symbols[begin[:m] + j]
-                nxt = self.table[state[:m] * SYMBOLS + c]
-                stuck = nxt == 0
+                c = block.data[begin[:m] + j]
+                found = self.table[state[:m] + c]
+                stuck = found >> 32 != state[:m]
+                nxt = found & 0xFFFFFFFF
                 if stuck.any():
                     phrases[:m] += stuck
-                    nxt[stuck] = self.table[base + c[stuck]]  # a byte that the sample lacks is a phrase of its own
+                    nxt[stuck] = first[c[stuck]]  # a byte that the sample lacks is a phrase of its own
                 state[:m] = nxt
             out[lang] = np.bincount(doc, weights=phrases, minlength=n).astype(np.int64)
         return out.T
@@ -159,10 +177,11 @@ def gather_samples(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the carried columns, lang_pred, score, bytes_per_phrase.
+    """doc_id, the carried columns, lang_pred, score, bytes_per_phrase, known_bytes.
 
     score: 1 - phrases in the best language / phrases in the second best (1
-    with a single language); bytes_per_phrase: of the best language."""
+    with a single language); bytes_per_phrase: of the best language;
+    known_bytes: share of the text's bytes that occur in any sample."""
     carry = carry or []
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
@@ -175,7 +194,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], carry: list[str] | None
             for batch in W.slices(whole, "_text", 4 << 20):
                 block = W.Block(batch.column("_text"))
                 letter = np.asarray(batch.column("_letter").to_numpy(zero_copy_only=False), dtype=bool)
-                lang, score, rate = ["und"] * len(block), np.zeros(len(block)), np.zeros(len(block))
+                lang, score, rate, known = ["und"] * len(block), np.zeros(len(block)), np.zeros(len(block)), np.zeros(len(block))
                 if model.names:
                     phrases = model.phrases(block).astype(np.float64)
                     order = np.argsort(phrases, axis=1, kind="stable")
@@ -185,10 +204,12 @@ def identify(docs: DataFrame, samples: dict[str, bytes], carry: list[str] | None
                     with np.errstate(divide="ignore", invalid="ignore"):
                         score = np.where(letter, 1 - best / second, 0.0)
                         rate = np.where(letter, np.diff(block.offsets) / best, 0.0)
+                    upto = np.concatenate([[0], np.cumsum(model.known[block.data])])
+                    known = np.diff(upto[block.offsets]) / np.maximum(np.diff(block.offsets), 1)
                     lang = [model.names[i] if ok else "und" for i, ok in zip(order[:, 0].tolist(), letter.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*names, "lang_pred", "score", "bytes_per_phrase"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(known, pa.float64())], [*names, "lang_pred", "score", "bytes_per_phrase", "known_bytes"])
 
-    schema = cols.select(*names).schema.add("lang_pred", "string").add("score", "double").add("bytes_per_phrase", "double")
+    schema = cols.select(*names).schema.add("lang_pred", "string").add("score", "double").add("bytes_per_phrase", "double").add("known_bytes", "double")
     return cols.mapInArrow(predict, schema)
 
 
