@@ -45,11 +45,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (operator 8: five words, 0.8)."""
-    docs = _documents(docs)
-    found = minhash_dedup.near_duplicates(docs, size=5, percent=80)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays, that with the smallest id
+    (operator 8: five words, 0.8). Rows are told apart by a number that is
+    written down with them, so ids may repeat or be missing."""
+    exchange.checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    _documents(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return rows.join(minhash_dedup.surplus_rows(rows, size=5, percent=80), "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,3 +347,15 @@ def test_pipeline(spark, docs, no_docs, tmp_path):
     assert ids[2] & {3, *range(60, 66)} == {3} and ids[2] & {73, 74} == {73}
     assert 73 not in ids[3] and ids[3] == ids[4]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark, tmp_path):
+    rng = random.Random(13)
+    a, b, c = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(120)) for _ in range(3))
+    near = lambda t, k: " ".join(t.split()[:-k] + ["x"] * k)
+    rows = [(3, a), (5, near(a, 1)), (5, b), (7, c), (7, near(c, 1)), (8, c), (None, c), (None, near(b, 2)), (None, "quite alone here"), (None, "quite alone here"), (9, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, df, str(tmp_path)).collect()]
+    sevens = [t for i, t in got if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (c, near(c, 1))
+    assert sorted((str(x) for x in got if x[0] != 7)) == sorted(str(x) for x in [(3, a), (5, b), (None, "quite alone here"), (9, ""), (9, ""), (None, None)])

@@ -105,8 +105,9 @@ def set_classes(key: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.stack(sums, axis=1)]
 
 
-def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (128 bits that stand for the set), bands."""
+def _signed(docs: DataFrame, size: int, carry: list[str]) -> DataFrame:
+    """doc_id, the carried columns, n_shingles, cls (128 bits that stand for the set), bands."""
+    names = ["doc_id", *carry]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,9 +115,11 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 key, first = shingle_sets(W.Block(batch.column("text"), lower=True), size)
                 bands = band_keys(sketches(key, first))
                 n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(set_classes(key, first), pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], ["doc_id", "n_shingles", "cls", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(set_classes(key, first), pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], [*names, "n_shingles", "cls", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, cls binary, bands binary")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    schema = cols.select(*names).schema.add("n_shingles", "long").add("cls", "binary").add("bands", "binary")
+    return cols.mapInArrow(sign, schema)
 
 
 def _band_links(classes: DataFrame) -> DataFrame:
@@ -170,10 +173,8 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable, its own
-    included), kept (it has that id) of every row of docs."""
-    signed = X.cut(_signed(docs, size))
+def _components(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """cls, doc_id (its smallest), root (one class of its group) of every class of ``signed``."""
     some = signed.filter("n_shingles > 0")
     classes = some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     clusters = connected(_band_links(classes)).withColumnRenamed("root", "cluster")
@@ -220,7 +221,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     links = cells.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
     roots = X.cut(connected(links))
-    ids = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable, its own
+    included), kept (it has that id) of every row of docs."""
+    signed = X.cut(_signed(docs, size, []))
+    some = signed.filter("n_shingles > 0")
+    ids = _components(docs, signed, size, percent)
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = ids.join(low, "root").select("cls", "component_id")
     rows = some.select("doc_id", "n_shingles", "cls").join(ids, "cls").select("doc_id", "n_shingles", "component_id")
@@ -228,6 +237,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return rows.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def surplus_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """row of all rows but one of each group; ``row`` tells the rows of docs
+    apart. The one has the smallest id; a missing id comes last."""
+    signed = X.cut(_signed(docs, size, ["row"]))
+    some = signed.filter("n_shingles > 0")
+    roots = _components(docs, signed, size, percent).select("cls", "root")
+    best = some.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "row")).alias("best"))
+    stay = best.join(roots, "cls").groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    return some.select("row").join(stay, "row", "left_anti")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, size=4, percent=80)
