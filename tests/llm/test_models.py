@@ -276,6 +276,26 @@ def test_language_accuracy_and_odd_texts(spark, docs, no_docs):
     assert li.identify(no_docs, samples).count() == 0
 
 
+def test_a_small_sample_is_no_handicap(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 7)))
+    shared = [word() for _ in range(60)]
+    big, small = ([*shared, *(word() for _ in range(40))] for _ in range(2))
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    samples = {"big": text(big, 6000).encode(), "small": text(small, 200).encode(), "tiny": b"abc"}
+    rows = [(i, text(small if i % 2 else big, 150)) for i in range(60)]
+    got = li.identify(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()
+    assert all(r["lang_pred"] == ("small" if r["doc_id"] % 2 else "big") for r in got)
+
+
+def test_samples_fill_up_from_short_texts_and_any_number_of_languages(spark):
+    rows = [(f"short text number {i}", "a") for i in range(1500)] + [("x" * 9000, "b")] + [("only one", "c")]
+    got = li.gather_samples(spark.createDataFrame(rows, "text string, lang string"), sample_bytes=20_000)
+    assert 18_000 <= len(got["a"]) <= 20_000 and got["b"] == b"x" * 2000 + b"\n" and got["c"] == b"only one\n"
+    many = spark.createDataFrame([(f"a text in language {i}", f"l{i}") for i in range(230)], "text string, lang string")
+    assert len(li.gather_samples(many)) == 230
+
+
 # --- packing --------------------------------------------------------------------------------
 
 

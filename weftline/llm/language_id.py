@@ -2,8 +2,10 @@
 
 Each language is known by a bounded sample of its labelled texts, turned into
 a suffix automaton. A text is parsed greedily into the longest pieces that
-occur in a language's sample; the fewer such phrases per byte, the closer the
-language. Phrases start afresh at every 1,024 bytes of a text, so that very
+occur in a language's sample. A phrase costs the logarithm of the places it can
+point to: the sample's bytes and the 256 byte values; so the phrases of a small
+sample, shorter for its size alone, count less. The lower the cost, the closer
+the language. Phrases start afresh at every 1,024 bytes of a text, so that very
 long texts are parsed side by side; every byte of every text takes part.
 
 The automata know every byte value of their samples. Their transitions lie
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm import words as W
 
-#: Bytes of sample per language, and texts it may come from: the bounds of what the driver gathers.
-SAMPLE_BYTES, SAMPLE_TEXTS, MOST_LANGUAGES = 40_000, 120, 200
+#: Bytes of sample per language, texts it is first sought in, and languages from which the samples get shorter:
+#: the bounds of what the driver gathers.
+SAMPLE_BYTES, SAMPLE_TEXTS, FULL_LANGUAGES = 40_000, 120, 200
 STRETCH = 1024
 
 
@@ -99,6 +102,7 @@ class Model:
 
     def __init__(self, samples: dict[str, bytes]):
         self.names = sorted(samples)
+        self.cost = np.log([len(samples[name]) + 256 for name in self.names])  # of a phrase
         self.known = np.zeros(256, dtype=bool)  # bytes that some sample holds
         tables, self.first, at = [], [], 0
         for name in self.names:
@@ -157,30 +161,40 @@ def _model(key: str, shared) -> Model:
 
 
 def gather_samples(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """A bounded sample of each language: up to ``sample_texts`` texts in the
-    order of a hash, those of at most a tenth of ``sample_bytes`` first. Of a
-    longer text a tenth of the sample is taken, so a language of long texts is
-    learned too."""
-    piece = sample_bytes // 10
+    """A bounded sample of each language: its texts in the order of a hash,
+    those of at most a tenth of ``sample_bytes`` first. Of a longer text a
+    tenth of the sample is taken, so a language of long texts is learned too.
+    Where ``sample_texts`` texts don't fill the sample, more are taken."""
     kept = labelled.filter("lang is not null and text is not null and text <> ''").select("lang", "text")
+    languages = labelled.select("lang").distinct().count()
+    sample_bytes = max(100, min(sample_bytes, sample_bytes * FULL_LANGUAGES // max(languages, 1)))
+    piece = sample_bytes // 10
     by_hash = Window.partitionBy("lang").orderBy(F.octet_length("text") > piece, F.xxhash64("text"), "text")
-    few = kept.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_texts)
-    samples: dict[str, bytearray] = {}
-    for row in few.select("lang", "rank", F.substring("text", 1, piece).alias("text")).orderBy("lang", "rank").toLocalIterator():
-        own = samples.setdefault(row["lang"], bytearray())
-        data = row["text"].encode("utf-8", "replace")[:piece]
-        if len(own) + len(data) + 1 <= sample_bytes:
-            own += data + b"\n"
-        if len(samples) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {k: bytes(v) for k, v in samples.items() if v}
+    samples: dict[str, bytes] = {}
+    while True:
+        few = kept.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_texts)
+        found: dict[str, bytearray] = {}
+        more = set()  # languages that have as many texts
+        for row in few.select("lang", "rank", F.substring("text", 1, piece).alias("text")).orderBy("lang", "rank").toLocalIterator():
+            own = found.setdefault(row["lang"], bytearray())
+            data = row["text"].encode("utf-8", "replace")[:piece]
+            if len(own) + len(data) + 1 <= sample_bytes:
+                own += data + b"\n"
+            if row["rank"] == sample_texts:
+                more.add(row["lang"])
+        samples |= {k: bytes(v) for k, v in found.items() if v}
+        short = sorted(k for k in more if len(found[k]) < sample_bytes - piece)
+        if not short:
+            return samples
+        sample_texts *= 8  # each text fills two bytes at least, so this ends
+        kept = kept.filter(F.col("lang").isin(short))
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], carry: list[str] | None = None) -> DataFrame:
     """doc_id, the carried columns, lang_pred, score, bytes_per_phrase, known_bytes.
 
-    score: 1 - phrases in the best language / phrases in the second best (1
-    with a single language); bytes_per_phrase: of the best language;
+    score: 1 - cost in the best language / cost in the second best (1 with a
+    single language); bytes_per_phrase: of the best language;
     known_bytes: share of the text's bytes that occur in any sample."""
     carry = carry or []
     shared = docs.sparkSession.sparkContext.broadcast(samples)
@@ -197,13 +211,14 @@ def identify(docs: DataFrame, samples: dict[str, bytes], carry: list[str] | None
                 lang, score, rate, known = ["und"] * len(block), np.zeros(len(block)), np.zeros(len(block)), np.zeros(len(block))
                 if model.names:
                     phrases = model.phrases(block).astype(np.float64)
-                    order = np.argsort(phrases, axis=1, kind="stable")
+                    cost = phrases * model.cost
+                    order = np.argsort(cost, axis=1, kind="stable")
                     rows = np.arange(len(block))
-                    best = phrases[rows, order[:, 0]]
-                    second = phrases[rows, order[:, 1]] if len(model.names) > 1 else np.full(len(block), np.inf)
+                    best = cost[rows, order[:, 0]]
+                    second = cost[rows, order[:, 1]] if len(model.names) > 1 else np.full(len(block), np.inf)
                     with np.errstate(divide="ignore", invalid="ignore"):
                         score = np.where(letter, 1 - best / second, 0.0)
-                        rate = np.where(letter, np.diff(block.offsets) / best, 0.0)
+                        rate = np.where(letter, np.diff(block.offsets) / phrases[rows, order[:, 0]], 0.0)
                     upto = np.concatenate([[0], np.cumsum(model.known[block.data])])
                     known = np.diff(upto[block.offsets]) / np.maximum(np.diff(block.offsets), 1)
                     lang = [model.names[i] if ok else "und" for i, ok in zip(order[:, 0].tolist(), letter.tolist(), strict=True)]
