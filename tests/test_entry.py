@@ -58,15 +58,18 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_the_rest_stands_without_the_training_operators(tmp_path):
-    """A copy without the subpackage and the pipeline still imports and lists its queries."""
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_the_rest_stands_without_the_training_operators(tmp_path, pipeline):
+    """A copy without the subpackage, with the pipeline's file or without it, still imports and lists its queries."""
     for path in (ROOT / "weftline").rglob("*.py"):
         part = path.relative_to(ROOT)
         if "llm" not in part.parts:
             (tmp_path / part).parent.mkdir(parents=True, exist_ok=True)
             (tmp_path / part).write_text(path.read_text())
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
-    code = "import __spark_entry__ as e; print(*e.queries())"
+    if pipeline and (ROOT / "corpus_pipeline.py").exists():
+        (tmp_path / "corpus_pipeline.py").write_text((ROOT / "corpus_pipeline.py").read_text())
+    code = "import __spark_entry__ as e; e.oracle_sql(); print(*e.queries())"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
     assert sorted(said.stdout.split()) == sorted(catalog.queries())
 
