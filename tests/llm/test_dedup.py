@@ -109,10 +109,9 @@ def line_result(texts, least):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_line_dedup(docs, no_docs, texts, broadcast, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr(ld, "BROADCAST_BYTES", -1)
+@pytest.mark.parametrize("shard", [100_000, 2])
+def test_line_dedup(docs, no_docs, texts, shard, monkeypatch):
+    monkeypatch.setattr(ld, "SHARD_KEYS", shard)
     got = ld.drop_frequent_lines(docs, 10).collect()
     assert key((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got) == key(line_result(texts, 10))
     assert ld.drop_frequent_lines(no_docs, 10).count() == 0
@@ -127,22 +126,47 @@ def test_lines_stay_with_their_owner(spark):
 def test_line_counts_are_reversible(spark, docs):
     some = docs.filter("doc_id < 30")
     rest = docs.filter("doc_id >= 30 or doc_id is null")
-    whole = ld.line_counts(docs).select("key", "n")
-    before = ld.line_counts(some).select("key", "n")
-    after = ld.changed_counts(before, added=rest)
-    rows = lambda df: sorted((bytes(r["key"]), r["n"]) for r in df.collect())
-    assert rows(after) == rows(whole)
-    assert rows(ld.changed_counts(after, removed=rest)) == rows(before)
-
-
-def test_filters_follow_insertions_and_deletions(spark):
-    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(3000)]
-    frame = lambda x: spark.createDataFrame([(k,) for k in x], "key binary")
-    first = ld.build_filters(frame(keys[:1000]), 3)
-    second = ld.changed_filters(first, frame(keys[1000:2000]), frame(keys[:500]), 3)
-    probe = ld.Probe([(r["shard"], r["slots"], r["stash"]) for r in second.collect()], 3)
-    hit = probe(ld._shard_of(keys, 3), ld._halves(keys)[1])
-    assert hit[500:2000].all() and hit[:500].mean() < 0.02 and hit[2000:].mean() < 0.02
+    rows = lambda df: sorted(map(str, df.select("key", "n", "owner").collect()))
+    before = ld.line_references(some)
+    after = ld.changed_references(before, added=rest)
+    assert rows(ld.counts_of(after)) == rows(ld.line_counts(docs))
+    assert rows(ld.counts_of(ld.changed_references(after, removed=rest))) == rows(ld.line_counts(some))
+
+
+@pytest.mark.parametrize("shard", [100_000, 1])
+@pytest.mark.parametrize("keep_owner", [False, True])
+def test_incremental_runs_equal_fresh_ones(spark, docs, keep_owner, shard, tmp_path, monkeypatch):
+    """Saved, loaded, inserted to and deleted from, the state judges as one made of the same documents."""
+    monkeypatch.setattr(ld, "SHARD_KEYS", shard)
+    first, rest = docs.filter("doc_id >= 12 or doc_id is null"), docs.filter("doc_id < 12")
+    gone = docs.filter("doc_id between 2 and 20")
+    ld.new_state(first, 5).save(str(tmp_path / "a"))
+    state = ld.changed_state(ld.LineState.load(spark, str(tmp_path / "a")), added=rest)
+    state.save(str(tmp_path / "b"))
+    left = docs.filter("not coalesce(doc_id between 2 and 20, false)")
+    steps = [(state, docs), (ld.changed_state(ld.LineState.load(spark, str(tmp_path / "b")), removed=gone), left)]
+    steps.append((ld.changed_state(steps[1][0], added=gone), docs))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for kept, own in steps:
+        fresh = ld.drop_frequent_lines(own, 5, keep_owner=keep_owner, carry=["lang"])
+        assert rows(ld.drop_frequent_lines(own, 5, keep_owner=keep_owner, carry=["lang"], state=kept)) == rows(fresh)
+
+
+def test_filters_follow_insertions_and_deletions_and_grow(spark):
+    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(6000)]
+    frame = lambda x: spark.createDataFrame([(k, 1) for k in x], "key binary, owner long")
+    filters = ld.build_filters(frame(keys[:500]), 3)
+    for lo, hi in ((0, 1000), (500, 5000), (4000, 4100)):
+        filters = ld.build_filters(frame(keys[lo:hi]), 3, filters)
+        rows = {r["shard"]: r for r in filters.collect()}
+        shard = ld._sharding(b"".join(keys), 3)
+        for s, r in rows.items():
+            own = [i for i in range(6000) if shard[i] == s]
+            filt = ld.Cuckoo(slots=bytes(r["slots"]), stash=bytes(r["stash"]))
+            hit = filt.holds(ld._halves(b"".join(keys[i] for i in own))[1])
+            inside = np.array([lo <= i < hi for i in own])
+            assert hit[inside].all() and hit[~inside].mean() < 0.02 and filt.fits(int(inside.sum()))
+            assert sorted(ld._split(bytes(r["keys"]))) == sorted(keys[i] for i in own if lo <= i < hi)
 
 
 def shingles(text, size):

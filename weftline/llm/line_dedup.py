@@ -1,12 +1,19 @@
 """Operator 5: reversible line dedup.
 
-Exact state: a reference-count table, for each line key the number of
-documents that hold it; inserting documents adds to it, deleting documents
-subtracts, and nothing else is kept, so a deletion undoes an insertion.
-In front of it stand sharded cuckoo filters over the keys whose count has
-reached the limit; they too take insertions and deletions. A line that no
-filter knows stays without any further look; the others are confirmed against
-the table, so the filters never decide alone.
+Exact state: a table of references, for each line key and document id how many
+documents with that id hold the line. Inserting documents adds to it, deleting
+documents subtracts, and nothing else is kept, so a deletion undoes an
+insertion. Summed per key it is the table of reference counts, with the
+smallest id (*owner*) of each line. In front of it stand sharded cuckoo filters
+over the keys whose count has reached the limit; they take insertions and
+deletions too, and grow and shrink with their keys. Each shard also holds its
+listed keys and their owners exactly.
+
+How lines are judged: a block of texts sends each of its distinct keys once to
+the key's shard. Keys that the shard's filter doesn't know are done with; the
+others are confirmed against the shard's exact keys, so the filter never
+decides alone, and only the confirmed ones go back to their block. A line that
+every document holds costs one entry for each block.
 
 A line's key is the line stripped of [\\x20\\x09-\\x0D] at both ends and with
 A-Z lower-cased, held as a 128-bit digest. Each row is a document of its own,
@@ -19,21 +26,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.llm import exchange as X
 
-COUNTS = "key binary, n long, owner long"
-FILTERS = "shard int, slots binary, stash binary"
+FILTERS = "shard int, slots binary, stash binary, keys binary, owners binary, unowned binary"
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
-#: Filters in all that may be broadcast; beyond it every line is confirmed by the join alone.
-BROADCAST_BYTES = 64 << 20
+#: Listed keys that a shard has on average.
+SHARD_KEYS = 100_000
 
 
 def line_key(line: bytes, min_chars: int = 1) -> bytes | None:
@@ -48,8 +54,11 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """key, n (documents that hold it) and owner (their smallest doc_id)."""
+# --- the exact tables ------------------------------------------------------
+
+
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """key and doc_id of every distinct line of every document."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,29 +69,46 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
                 ids += [doc_id] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    lines = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keys, "key binary, doc_id long")
-    return lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keys, "key binary, doc_id long")
 
 
-def changed_counts(counts: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, min_chars: int = 1) -> DataFrame:
-    """The table after inserting the documents ``added`` and deleting ``removed``
-    (n only: the owner can't be restored after a deletion)."""
-    parts = [counts.select("key", "n")]
+def line_references(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """key, doc_id and n (documents with that id that hold the line)."""
+    return _lines(docs, min_chars).groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def changed_references(references: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, min_chars: int = 1) -> DataFrame:
+    """The table after inserting the documents ``added`` and deleting ``removed``."""
+    parts = [references.select("key", "doc_id", "n")]
     if added is not None:
-        parts.append(line_counts(added, min_chars).select("key", "n"))
+        parts.append(line_references(added, min_chars))
     if removed is not None:
-        parts.append(line_counts(removed, min_chars).select("key", (-F.col("n")).alias("n")))
-    return X.union(parts).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0")
+        parts.append(line_references(removed, min_chars).withColumn("n", -F.col("n")))
+    return X.union(parts).groupBy("key", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """key, n (documents that hold it) and owner (their smallest doc_id)."""
+    return _lines(docs, min_chars).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"))
+
+
+def counts_of(references: DataFrame) -> DataFrame:
+    """``line_counts`` of the documents that a table of references stands for."""
+    return references.groupBy("key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner"))
 
 
 # --- cuckoo filters -------------------------------------------------------
 
 
-def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
+def _halves(keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(keys, dtype="<u8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
+def _split(keys: bytes) -> list[bytes]:
+    return [keys[i : i + 16] for i in range(0, len(keys), 16)]
+
+
 def _fingerprint(second: np.ndarray) -> np.ndarray:
     return ((second >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.int64)
 
@@ -97,7 +123,7 @@ class Cuckoo:
 
     def __init__(self, buckets: int = 0, slots: bytes | None = None, stash: bytes = b""):
         self.slots = np.frombuffer(slots, np.uint16).copy() if slots is not None else np.zeros(buckets * SLOTS, np.uint16)
-        self.stash = list(np.frombuffer(stash, np.uint64).tolist())
+        self.stash = set(np.frombuffer(stash, np.uint64).tolist())
         self.mask = len(self.slots) // SLOTS - 1
 
     @staticmethod
@@ -128,7 +154,7 @@ class Cuckoo:
                     return
         for k, old in reversed(path):  # no room: put all back and remember the key as it is
             self.slots[k] = old
-        self.stash.append(second)
+        self.stash.add(second)
 
     def remove(self, second: int) -> None:
         if second in self.stash:
@@ -141,152 +167,193 @@ class Cuckoo:
                     self.slots[k] = 0
                     return
 
-    def row(self, shard: int) -> dict:
-        return {"shard": [shard], "slots": [self.slots.tobytes()], "stash": [np.array(self.stash, np.uint64).tobytes()]}
+    def fits(self, n: int) -> bool:
+        """Whether n keys are neither too many nor far too few for it, and nearly all found a slot."""
+        return len(self.slots) // 16 <= max(n, 2 * SLOTS) <= 0.95 * len(self.slots) + 2 * SLOTS and len(self.stash) <= 16
 
-
-FILTER_ROW = pa.schema([("shard", pa.int32()), ("slots", pa.binary()), ("stash", pa.binary())])
+    def holds(self, second: np.ndarray) -> np.ndarray:
+        """Whether it knows each of many keys."""
+        fp, mask = _fingerprint(second), np.int64(self.mask)
+        a = (second & np.uint64(self.mask)).astype(np.int64)
+        hit = np.isin(second, np.array(sorted(self.stash), np.uint64)) if self.stash else np.zeros(len(second), bool)
+        for home in (a, (a ^ _jump(fp)) & mask):
+            for j in range(SLOTS):
+                hit |= self.slots[home * SLOTS + j] == fp
+        return hit
 
 
-def _sharded(keys: DataFrame, shards: int) -> DataFrame:
-    """Shard by the digest's first four bytes; ``_shard_of`` does the same in numpy."""
-    first = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
-    return keys.select(F.pmod(first, F.lit(shards)).cast("int").alias("shard"), "key")
+def _made(seconds: list[int]) -> Cuckoo:
+    made = Cuckoo(Cuckoo.buckets_for(len(seconds)))
+    for x in seconds:
+        made.add(x)
+    return made
 
 
-def _shard_of(keys: list[bytes], shards: int) -> np.ndarray:
-    return (np.frombuffer(b"".join(keys), dtype=">u4")[::4] % shards).astype(np.int64)
+def _shard_of(key, shards: int):
+    """Shard by the digest's first four bytes; ``_sharding`` does the same in numpy."""
+    return F.pmod(F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
-def build_filters(listed: DataFrame, shards: int) -> DataFrame:
-    """A cuckoo filter for each shard that has keys. listed: column key."""
+def _sharding(keys: bytes, shards: int) -> np.ndarray:
+    return (np.frombuffer(keys, dtype=">u4")[::4] % shards).astype(np.int64)
 
-    def build(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_pylist()
-        filt = Cuckoo(Cuckoo.buckets_for(len(keys)))
-        for x in _halves(keys)[1].tolist():
-            filt.add(x)
-        return pa.table(filt.row(table.column("shard")[0].as_py()), schema=FILTER_ROW)
 
-    return _sharded(listed, shards).groupBy("shard").applyInArrow(build, FILTERS)
+def shards_for(n_listed: int) -> int:
+    return max(1, -(-n_listed // SHARD_KEYS))
 
 
-def changed_filters(filters: DataFrame, entered: DataFrame, left: DataFrame, shards: int) -> DataFrame:
-    """The filters after the keys ``entered`` came to the limit and ``left`` fell below it."""
-    changes = _sharded(entered, shards).withColumn("enters", F.lit(True)).unionByName(_sharded(left, shards).withColumn("enters", F.lit(False)))
+def build_filters(listed: DataFrame, shards: int, old: DataFrame | None = None) -> DataFrame:
+    """A row for each shard that has keys: its cuckoo filter, and its listed
+    keys with their owners. listed: key, owner. ``old``: such rows of the same
+    number of shards, whose filters then take the keys that came and give up
+    those that went; a filter that they don't fit is made anew."""
 
-    def apply(old: pa.Table, new: pa.Table) -> pa.Table:
-        shard = (old if old.num_rows else new).column("shard")[0].as_py()
-        keys = new.column("key").to_pylist()
-        if old.num_rows:
-            filt = Cuckoo(slots=old.column("slots")[0].as_py(), stash=old.column("stash")[0].as_py())
+    def build(before: pa.Table | None, now: pa.Table) -> pa.Table:
+        keys, owners = now.column("key").to_pylist(), now.column("owner")
+        seconds = dict(zip(keys, _halves(b"".join(keys))[1].tolist(), strict=True))
+        if before is None or not before.num_rows:
+            filt = _made(list(seconds.values()))
         else:
-            filt = Cuckoo(Cuckoo.buckets_for(len(keys)))
-        if keys:
-            for x, enters in zip(_halves(keys)[1].tolist(), new.column("enters").to_pylist(), strict=True):
-                (filt.add if enters else filt.remove)(x)
-        return pa.table(filt.row(shard), schema=FILTER_ROW)
-
-    return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(apply, FILTERS)
-
-
-class Probe:
-    """All shards as flat arrays, to look up many keys at once."""
-
-    def __init__(self, rows: list[tuple[int, bytes, bytes]], shards: int):
-        self.shards = shards
-        self.mask = np.zeros(shards, np.int64)
-        self.base = np.zeros(shards, np.int64)
-        parts, at = [np.zeros(2 * SLOTS, np.uint16)], 2
-        self.mask[:] = 1  # shards without keys: two empty buckets
-        stash = []
-        for shard, slots, extra in rows:
-            own = np.frombuffer(slots, np.uint16)
-            self.base[shard], self.mask[shard] = at, len(own) // SLOTS - 1
-            parts.append(own)
-            at += len(own) // SLOTS
-            stash.append(np.frombuffer(extra, np.uint64))
-        self.slots = np.concatenate(parts)
-        self.stash = np.unique(np.concatenate(stash)) if stash else np.zeros(0, np.uint64)
-
-    def __call__(self, shard: np.ndarray, second: np.ndarray) -> np.ndarray:
-        fp = _fingerprint(second)
-        mask, base = self.mask[shard], self.base[shard]
-        a = (second & mask.astype(np.uint64)).astype(np.int64)
-        hit = np.isin(second, self.stash) if len(self.stash) else np.zeros(len(second), bool)
-        for home in (a, (a ^ _jump(fp)) & mask):
-            for j in range(SLOTS):
-                hit |= self.slots[(base + home) * SLOTS + j] == fp
-        return hit
+            filt = Cuckoo(slots=before.column("slots")[0].as_py(), stash=before.column("stash")[0].as_py())
+            held = before.column("keys")[0].as_py()
+            was = dict(zip(_split(held), _halves(held)[1].tolist(), strict=True))
+            for k in was.keys() - seconds.keys():
+                filt.remove(was[k])
+            for k in seconds.keys() - was.keys():
+                filt.add(seconds[k])
+            if not filt.fits(len(keys)):
+                filt = _made(list(seconds.values()))
+        if not keys:
+            return pa.table({"shard": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("slots", "stash", "keys", "owners", "unowned")}})
+        ids = np.asarray(owners.fill_null(0), dtype=np.int64)
+        none = np.asarray(owners.is_null(), dtype=np.uint8)
+        row = [filt.slots.tobytes(), np.array(sorted(filt.stash), np.uint64).tobytes(), b"".join(keys), ids.tobytes(), none.tobytes()]
+        return pa.table({"shard": pa.array([now.column("shard")[0].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(("slots", "stash", "keys", "owners", "unowned"), row, strict=True)}})
+
+    groups = listed.select(_shard_of(F.col("key"), shards).alias("shard"), "key", F.col("owner").cast("long").alias("owner")).groupBy("shard")
+    if old is None:
+        return groups.applyInArrow(lambda now: build(None, now), FILTERS)
+    return old.groupBy("shard").cogroup(groups).applyInArrow(build, FILTERS)
+
+
+# --- kept state -------------------------------------------------------------
+
+
+@dataclass
+class LineState:
+    """What incremental runs keep: the references, and the shards of the keys at the limit."""
+
+    references: DataFrame
+    filters: DataFrame
+    shards: int
+    min_docs: int
+    min_chars: int = 1
+
+    def save(self, folder: str) -> None:
+        """Write it to a new folder."""
+        self.references.write.parquet(f"{folder}/references")
+        self.filters.write.parquet(f"{folder}/filters")
+        spark = self.references.sparkSession
+        spark.createDataFrame([(self.shards, self.min_docs, self.min_chars)], "shards int, min_docs int, min_chars int").coalesce(1).write.parquet(f"{folder}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> LineState:
+        s = spark.read.parquet(f"{folder}/settings").first()
+        return LineState(spark.read.parquet(f"{folder}/references"), spark.read.parquet(f"{folder}/filters"), s["shards"], s["min_docs"], s["min_chars"])
 
 
-# --- the operator ---------------------------------------------------------
+def _listed(counts: DataFrame, min_docs: int) -> DataFrame:
+    return X.cut(counts.filter(F.col("n") >= min_docs).select("key", "owner"))
 
 
-def _limit_reached(counts: DataFrame, min_docs: int) -> DataFrame:
-    return counts.filter(F.col("n") >= min_docs)
+def new_state(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> LineState:
+    """The state of these documents."""
+    references = X.cut(line_references(docs, min_chars))
+    listed = _listed(counts_of(references), min_docs)
+    shards = shards_for(listed.count())
+    return LineState(references, X.cut(build_filters(listed, shards)), shards, min_docs, min_chars)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_owner: bool = False, carry: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+def changed_state(state: LineState, added: DataFrame | None = None, removed: DataFrame | None = None) -> LineState:
+    """The state after inserting and deleting documents. The filters take the
+    changes; only when their number doesn't suit any more are they made anew."""
+    references = X.cut(changed_references(state.references, added, removed, state.min_chars))
+    listed = _listed(counts_of(references), state.min_docs)
+    shards = shards_for(listed.count())
+    same = state.shards <= 2 * shards and shards <= 2 * state.shards
+    filters = build_filters(listed, state.shards, state.filters) if same else build_filters(listed, shards)
+    return LineState(references, X.cut(filters), state.shards if same else shards, state.min_docs, state.min_chars)
+
+
+# --- the operator ---------------------------------------------------------
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_owner: bool = False, carry: list[str] | None = None, state: LineState | None = None) -> DataFrame:
     """doc_id, the carried columns, n_lines, n_dropped, kept_text, kept_sha256.
 
     A key found in ``min_docs`` documents or more loses all its lines; with
-    ``keep_owner`` they stay in the document with the smallest id. ``counts``:
-    a table kept from earlier (``changed_counts``), else that of docs."""
-    spark = docs.sparkSession
+    ``keep_owner`` they stay in the rows with the smallest id that holds them.
+    ``state``: judge by what an earlier run kept (with its limits), else by docs
+    themselves."""
     carry = carry or []
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    table = line_counts(docs, min_chars) if counts is None else counts
-    listed = X.cut(_limit_reached(table, min_docs))
-    n_listed = listed.count()
-    shards = max(1, -(-n_listed // 100_000))
-    filters = X.cut(build_filters(listed, shards))
-    size = filters.agg(F.sum(F.length("slots") + F.length("stash")).alias("n")).first()["n"] or 0
-    probe = None
-    if size <= BROADCAST_BYTES:  # proven: the sum of the filters' bytes
-        rows = [(r["shard"], r["slots"], r["stash"]) for r in filters.collect()]
-        probe = spark.sparkContext.broadcast(Probe(rows, shards))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids, keys = [], [], []
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                mine = {line_key(x, min_chars) for x in _encoded(text.as_py()).split(b"\n")} - {None}
-                keys += mine
-                rows += [row] * len(mine)
-                ids += [doc_id] * len(mine)
-            if probe is not None and keys:
-                second = _halves(keys)[1]
-                hit = probe.value(_shard_of(keys, probe.value.shards), second)
-                pick = np.flatnonzero(hit).tolist()
-                rows, ids, keys = [rows[i] for i in pick], [ids[i] for i in pick], [keys[i] for i in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["row", "doc_id", "key"])
-
-    keyed = own.select(F.xxhash64("doc_id", "text").alias("row"), "*")
-    found = keyed.select("row", "doc_id", "text").mapInArrow(candidates, "row long, doc_id long, key binary")
-    sure = found.join(listed.select("key", "owner") if keep_owner else listed.select("key"), "key")
-    if keep_owner:
-        sure = sure.filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    lists = sure.groupBy("row").agg(F.collect_set("key").alias("gone"))
-    schema = T.StructType([f for f in own.schema if f.name != "text"] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
-    names = [f.name for f in own.schema if f.name != "text"]
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, dropped, texts, sums = [], [], [], []
-            for text, gone in zip(batch.column("text"), batch.column("gone").to_pylist(), strict=True):
-                lines = _encoded(text.as_py()).split(b"\n")
-                gone = set(gone or ())
-                kept = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
-                joined = b"\n".join(kept)
-                n.append(len(lines))
-                dropped.append(len(lines) - len(kept))
-                texts.append(joined.decode("utf-8", "replace"))
-                sums.append(hashlib.sha256(joined).hexdigest())
-            cols = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string()), pa.array(sums, pa.string())], [*names, "n_lines", "n_dropped", "kept_text", "kept_sha256"])
-
-    return keyed.join(lists, "row", "left").mapInArrow(finish, schema)
+    total = X.text_bytes(docs)
+    if state is None:
+        listed = _listed(line_counts(docs, min_chars), min_docs)
+        shards = shards_for(listed.count())
+        filters = X.cut(build_filters(listed, shards))
+    else:
+        filters, shards, min_chars = state.filters, state.shards, state.min_chars
+    carried = F.struct(*carry) if carry else F.lit(None).cast("string")
+    texts, _ = X.dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried.alias("carried")), ["doc_id", "text", "carried"], total)
+
+    def pack(table: pa.Table) -> pa.Table:
+        own = {line_key(x, min_chars) for text in table.column("text") for x in set(_encoded(text.as_py()).split(b"\n"))} - {None}
+        keys = sorted(own)
+        shard = _sharding(b"".join(keys), shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        parts = np.split(order, cuts) if len(order) else []
+        return pa.table({"block": pa.array(table.column("block").to_pylist()[:1] * len(parts), pa.int32()), "shard": pa.array([int(shard[p[0]]) for p in parts], pa.int32()), "asked": pa.array([b"".join(keys[i] for i in p.tolist()) for p in parts], pa.binary())})
+
+    def confirm(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        """The keys of each block that the shard lists."""
+        out: dict[str, list] = {c: [] for c in ("block", "keys", "owners", "unowned")}
+        if asked.num_rows and shard.num_rows:
+            filt = Cuckoo(slots=shard.column("slots")[0].as_py(), stash=shard.column("stash")[0].as_py())
+            place = {k: i for i, k in enumerate(_split(shard.column("keys")[0].as_py()))}
+            owners, none = np.frombuffer(shard.column("owners")[0].as_py(), np.int64), np.frombuffer(shard.column("unowned")[0].as_py(), np.uint8)
+            for block, keys in zip(asked.column("block").to_pylist(), asked.column("asked").to_pylist(), strict=True):
+                known = [keys[16 * i : 16 * i + 16] for i in np.flatnonzero(filt.holds(_halves(keys)[1])).tolist()]
+                sure = [k for k in known if k in place]
+                if sure:
+                    at = [place[k] for k in sure]
+                    for c, x in zip(out, (block, b"".join(sure), owners[at].tobytes(), none[at].tobytes()), strict=True):
+                        out[c].append(x)
+        return pa.table({"block": pa.array(out["block"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("keys", "owners", "unowned")}})
+
+    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+        gone: dict[bytes, int | None] = {}
+        for keys, owners, none in zip(*(replies.column(c).to_pylist() for c in ("keys", "owners", "unowned")), strict=True):
+            ids = [None if n else i for i, n in zip(np.frombuffer(owners, np.int64).tolist(), none, strict=True)]
+            gone.update(zip(_split(keys), ids, strict=True))
+        n, dropped, texts_, sums = [], [], [], []
+        for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text"), strict=True):
+            lines = _encoded(text.as_py()).split(b"\n")
+            stays = lambda x, own=doc_id: (k := line_key(x, min_chars)) not in gone or (keep_owner and gone[k] == own)
+            kept = [x for x in lines if stays(x)] if gone else lines
+            joined = b"\n".join(kept)
+            n.append(len(lines))
+            dropped.append(len(lines) - len(kept))
+            texts_.append(joined.decode("utf-8", "replace"))
+            sums.append(hashlib.sha256(joined).hexdigest())
+        return pa.table([table.column("doc_id"), table.column("carried"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts_, pa.string()), pa.array(sums, pa.string())], ["doc_id", "carried", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
+
+    blocks = texts.groupBy("block")
+    replies = blocks.applyInArrow(pack, "block int, shard int, asked binary").groupBy("shard").cogroup(filters.groupBy("shard"))
+    replies = replies.applyInArrow(confirm, "block int, keys binary, owners binary, unowned binary")
+    schema = texts.select("doc_id", "carried").schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string").add("kept_sha256", "string")
+    out = blocks.cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return out.select("doc_id", *[F.col("carried")[c].alias(c) for c in carry], "n_lines", "n_dropped", "kept_text", "kept_sha256")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
