@@ -2,8 +2,10 @@
 
 Candidates are packed into shards, queries into blocks; every block meets
 every shard in a tile of bounded size, a matrix product with a partial
-selection of the k best of each query. The lists of a query are merged in
-levels, each merging a bounded number of tiles.
+selection of the k best of each query. The tiles are dealt as a grid, whose
+sides are chosen so that the bytes copied (query blocks along one side, shards
+along the other) are fewest. The lists of a query are merged in levels, each
+merging a bounded number of tiles.
 
 Components become floor(256 * x) with x as double; scores are exact integer
 inner products (in float32 or float64 where all sums fit exactly, else in
@@ -17,6 +19,7 @@ result. Columns besides ``vec_id`` and ``embedding`` are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +46,8 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 def _packed(rows: DataFrame, limit: int, name: str) -> DataFrame:
     """Rows of one partition as blocks of up to ``limit`` vectors of one length:
-    dim, ids and data (doubles, already floored)."""
+    dim, ids, kind (the smallest type that holds all components) and data
+    (already floored)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -52,7 +56,9 @@ def _packed(rows: DataFrame, limit: int, name: str) -> DataFrame:
             ids = np.concatenate([x for x, _ in held[dim]])
             data = np.concatenate([y for _, y in held[dim]])
             held[dim] = []
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], [f"{name}_dim", f"{name}_ids", f"{name}_data"])
+            most = np.abs(data).max(initial=0.0)
+            kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([kind]), pa.array([data.astype(kind).tobytes()], pa.binary())], [f"{name}_{x}" for x in ("dim", "ids", "kind", "data")])
 
         for batch in batches:
             vec, ids = batch.column("e"), batch.column("vec_id").to_numpy(zero_copy_only=False)
@@ -70,7 +76,7 @@ def _packed(rows: DataFrame, limit: int, name: str) -> DataFrame:
             if held[dim]:
                 yield block(dim)
 
-    return rows.mapInArrow(pack, f"{name}_dim int, {name}_ids binary, {name}_data binary")
+    return rows.mapInArrow(pack, f"{name}_dim int, {name}_ids binary, {name}_kind string, {name}_data binary")
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -89,7 +95,10 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of each query's k best in one tile."""
-    both = np.unique(np.column_stack([c_ids.astype(np.float64), c]), axis=0, return_index=True)[1] if len(np.unique(c_ids)) < len(c_ids) else np.arange(len(c_ids))
+    both = np.arange(len(c_ids))
+    if len(np.unique(c_ids)) < len(c_ids):  # rows that repeat id and vector count once; ids are compared as whole numbers
+        whole = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(len(c_ids), -1) for x in (c_ids.astype(np.int64), c + 0.0)], axis=1)
+        both = np.unique(whole, axis=0, return_index=True)[1]
     order = both[np.argsort(c_ids[both], kind="stable")]
     c_ids, c = c_ids[order], c[order]
     scores = _products(q, c)
@@ -126,28 +135,32 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = quantised(queries).distinct()
-    n_blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    stripes = max(1, min(parts, 4 * parts // n_blocks))
+    n_asked, n_rows = asked.count(), candidates.count()
+    n_blocks, n_shards = max(1, -(-n_asked // QUERY_ROWS)), max(1, -(-n_rows // SHARD_ROWS))
+    # a grid of some cells for each partition: queries are copied to each column, candidates to each row
+    cells = min(4 * parts, n_blocks * n_shards)
+    columns = min(n_shards, cells, max(1, round(math.sqrt(cells * n_rows / max(n_asked, 1)))))
+    rows = min(n_blocks, max(1, -(-cells // columns)))
     blocks = _packed(asked.repartition(n_blocks, F.xxhash64("vec_id", "e")), QUERY_ROWS, "q")
-    # every query block goes to each stripe, every shard to one stripe and all blocks
-    numbered = blocks.withColumn("block", F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks)))
-    blocks = numbered.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    shards = _packed(quantised(candidates), SHARD_ROWS, "c").withColumn("stripe", F.pmod(F.xxhash64("c_ids"), F.lit(stripes)).cast("int"))
-    shards = shards.withColumn("tile", F.xxhash64("c_ids")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    tiles = shards.join(blocks, ["block", "stripe"]).filter("q_dim = c_dim")
+    blocks = blocks.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(rows)).cast("int"))
+    blocks = blocks.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    shards = _packed(quantised(candidates), SHARD_ROWS, "c").withColumn("tile", F.xxhash64("c_ids"))
+    shards = shards.withColumn("column", F.pmod("tile", F.lit(columns)).cast("int"))
+    shards = shards.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    tiles = shards.join(blocks, ["row", "column"]).filter("q_dim = c_dim")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 dim = batch.column("q_dim")[r].as_py()
                 q_ids, c_ids = (np.frombuffer(batch.column(x)[r].as_buffer(), np.int64) for x in ("q_ids", "c_ids"))
-                q, c = (np.frombuffer(batch.column(x)[r].as_buffer(), np.float64).reshape(len(ids), dim) for x, ids in (("q_data", q_ids), ("c_data", c_ids)))
+                q, c = (np.frombuffer(batch.column(f"{x}_data")[r].as_buffer(), batch.column(f"{x}_kind")[r].as_py()).astype(np.float64).reshape(len(ids), dim) for x, ids in (("q", q_ids), ("c", c_ids)))
                 a, b, s = tile_top(q_ids, q, c_ids, c, k)
                 tile = np.full(len(a), batch.column("tile")[r].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64()), pa.array(tile, pa.int64())], ["query_id", "vec_id", "score", "tile"])
 
-    lists = tiles.select("q_dim", "q_ids", "q_data", "c_ids", "c_data", "tile").mapInArrow(search, "query_id long, vec_id long, score long, tile long")
-    groups = -(-candidates.count() // SHARD_ROWS)
+    lists = tiles.select("q_dim", "q_ids", "q_kind", "q_data", "c_ids", "c_kind", "c_data", "tile").mapInArrow(search, "query_id long, vec_id long, score long, tile long")
+    groups = n_shards
     while groups > FAN_IN:  # a level of the tree: up to FAN_IN lists on average become one
         groups = -(-groups // FAN_IN)
         lists = _best(lists.withColumn("tile", F.pmod("tile", F.lit(groups))), ["query_id", "tile"], k).drop("rank")
