@@ -48,6 +48,14 @@ def test_top_k(spark, monkeypatch):
     assert tk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_ids_beyond_doubles_stay_apart(spark):
+    far = 1 << 53
+    rows = [(50, [1.0, 0.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (far + 100, [1.0, 1.0]), (far + 101, [1.0, 1.0]), (far + 102, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = tk.top_k(df.filter("vec_id = 50"), df, 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [far + 100, far + 101, far + 102, 7]
+
+
 # --- decontamination -----------------------------------------------------------------
 
 
@@ -292,6 +300,9 @@ def test_samples_fill_up_from_short_texts_and_any_number_of_languages(spark):
     rows = [(f"short text number {i}", "a") for i in range(1500)] + [("x" * 9000, "b")] + [("only one", "c")]
     got = li.gather_samples(spark.createDataFrame(rows, "text string, lang string"), sample_bytes=20_000)
     assert 18_000 <= len(got["a"]) <= 20_000 and got["b"] == b"x" * 2000 + b"\n" and got["c"] == b"only one\n"
+    long = "".join(f"{i:06d}" for i in range(3000))
+    own = li.gather_samples(spark.createDataFrame([(long, "d")], "text string, lang string"), sample_bytes=20_000)["d"].decode()
+    assert len(own) == 2001 and own[:-1] in long and not long.startswith(own[:-1])
     many = spark.createDataFrame([(f"a text in language {i}", f"l{i}") for i in range(230)], "text string, lang string")
     assert len(li.gather_samples(many)) == 230
 

@@ -163,19 +163,22 @@ def _model(key: str, shared) -> Model:
 def gather_samples(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """A bounded sample of each language: its texts in the order of a hash,
     those of at most a tenth of ``sample_bytes`` first. Of a longer text a
-    tenth of the sample is taken, so a language of long texts is learned too.
+    stretch of a tenth of the sample is taken, from a place that a hash of the
+    text chooses, so a language of long texts is learned too.
     Where ``sample_texts`` texts don't fill the sample, more are taken."""
     kept = labelled.filter("lang is not null and text is not null and text <> ''").select("lang", "text")
     languages = labelled.select("lang").distinct().count()
     sample_bytes = max(100, min(sample_bytes, sample_bytes * FULL_LANGUAGES // max(languages, 1)))
     piece = sample_bytes // 10
     by_hash = Window.partitionBy("lang").orderBy(F.octet_length("text") > piece, F.xxhash64("text"), "text")
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1
+    stretch = F.substr("text", place.cast("int"), F.lit(piece)).alias("text")
     samples: dict[str, bytes] = {}
     while True:
         few = kept.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_texts)
         found: dict[str, bytearray] = {}
         more = set()  # languages that have as many texts
-        for row in few.select("lang", "rank", F.substring("text", 1, piece).alias("text")).orderBy("lang", "rank").toLocalIterator():
+        for row in few.select("lang", "rank", stretch).orderBy("lang", "rank").toLocalIterator():
             own = found.setdefault(row["lang"], bytearray())
             data = row["text"].encode("utf-8", "replace")[:piece]
             if len(own) + len(data) + 1 <= sample_bytes:
