@@ -117,18 +117,24 @@ def test_retrieval_matches_brute_force():
 # --- URL filters ----------------------------------------------------------------------
 
 
-def test_cascade_is_exact(spark):
-    universe = spark.range(3000).selectExpr("concat('k', id) as key")
-    listed = spark.range(0, 4000, 9).selectExpr("concat('k', id) as key")
-    levels = uf.build_cascade(listed, universe, rate=0.2)
-    assert len(levels) > 2
-    lookup = uf.in_cascade(levels, spark)
+@pytest.mark.parametrize(("shard", "room"), [(1 << 20, 64 << 20), (200, 64 << 20), (200, 400)])
+def test_cascade_is_exact(spark, shard, room, monkeypatch):
     from pyspark.sql import functions as F
 
-    got = universe.groupBy(F.floor(F.rand(1) * 50)).agg(F.collect_list("key").alias("keys")).select("keys", lookup(F.col("keys")).alias("m"))
-    for r in got.collect():
+    monkeypatch.setattr(uf, "SHARD_KEYS", shard)
+    monkeypatch.setattr(uf, "BROADCAST_BYTES", room)
+    universe = spark.range(3000).selectExpr("concat('k', id) as key")
+    listed = spark.range(0, 4000, 9).selectExpr("concat('k', id) as key")
+    cascade = uf.build_cascade(listed, universe, rate=0.2)
+    rows = cascade.rows.collect()
+    assert len(rows) == cascade.shards == -(-3000 // shard) and max(len(uf._read(bytes(r["levels"]))) for r in rows) > 2
+    assert (len(cascade.parts()) > 1) == (room == 400)
+    some = universe.groupBy(F.floor(F.rand(1) * 50)).agg(F.collect_list("key").alias("keys")).select("keys").union(spark.createDataFrame([([],)], "keys array<string>"))
+    got = uf.with_listed(some, cascade, "keys", "m").collect()
+    assert len(got) > 40
+    for r in got:
         assert r["m"] == [int(k[1:]) % 9 == 0 for k in r["keys"]]
-    assert uf.build_cascade(listed.limit(0), universe) == []
+    assert uf.build_cascade(listed.limit(0), universe).rows.count() == 0
 
 
 def plain_verdict(url):

@@ -5,7 +5,9 @@ can ask for. Level 1 holds the listed keys; level 2 holds the other keys of
 the universe that level 1 lets through; level 3 the listed keys that level 2
 lets through; and so on until a level lets nothing wrong through. The first
 level that refuses a key decides, so for keys of the universe the answer is
-exact, and a URL is judged by a lookup without a join.
+exact, and a URL is judged by a lookup without a join. The keys are dealt into
+shards by a hash, so neither a task nor the driver ever holds more than a
+bounded part of a cascade, however long the lists are.
 
 Keys here are host and path of a rule, such as ``example.net/en/``. A rule
 fits its host and all subdomains if the URL's path starts with the rule's
@@ -25,16 +27,17 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import exchange as X
+from weftline.llm import words as W
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Bits of one cascade that may be broadcast (proven by its levels' sizes).
-MAX_BITS = 1 << 31
+#: Keys of the universe that a shard of a cascade has on average, and bytes of cascades that are broadcast at once.
+SHARD_KEYS, BROADCAST_BYTES = 1 << 20, 64 << 20
 
 
 def _bits_for(n: int, rate: float) -> tuple[int, int]:
@@ -42,9 +45,9 @@ def _bits_for(n: int, rate: float) -> tuple[int, int]:
     return -(-bits // 64) * 64, max(1, round(-math.log2(rate)))
 
 
-def _positions(level: int, bits: int, hashes: int, key: Column) -> Column:
-    first, second = F.xxhash64(F.lit(level), key), F.xxhash64(key, F.lit(level))
-    return F.array(*[F.pmod(F.xxhash64(first, second, F.lit(i)), F.lit(bits)) for i in range(hashes)])
+def _halves(key: Column) -> tuple[Column, Column]:
+    """128 bits of a key, from which all its positions follow."""
+    return F.xxhash64(F.lit(17), key), F.xxhash64(key, F.lit(29))
 
 
 @dataclass
@@ -53,83 +56,135 @@ class Level:
     hashes: int
     words: np.ndarray  # uint64
 
-    def holds(self, positions: np.ndarray) -> np.ndarray:
-        """positions: (keys, hashes) of this level."""
-        return (((self.words[positions >> 6] >> (positions & 63).astype(np.uint64)) & np.uint64(1)) == 1).all(axis=1)
+    def positions(self, number: int, keys: np.ndarray) -> np.ndarray:
+        """(keys, hashes) of the halves of some keys."""
+        own = keys[:, 0] ^ W.mix(keys[:, 1], 200 + number)
+        return np.stack([W.mix(own, i) % np.uint64(self.bits) for i in range(self.hashes)], axis=1)
 
+    def holds(self, number: int, keys: np.ndarray) -> np.ndarray:
+        at = self.positions(number, keys)
+        return (((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)) == 1).all(axis=1)
 
-def _level(keys: DataFrame, number: int, n: int, rate: float) -> Level:
-    bits, hashes = _bits_for(n, rate)
-    words = np.zeros(bits // 64, dtype=np.uint64)
-    at = keys.select(F.explode(_positions(number, bits, hashes, F.col("key"))).alias("p"))
-    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    for w, b in rows.toLocalIterator():
-        words[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
-    return Level(bits, hashes, words)
 
-
-def _passes(keys: DataFrame, number: int, level: Level) -> DataFrame:
-    """The keys that a level lets through."""
-    shared = keys.sparkSession.sparkContext.broadcast(level)
-
-    @F.pandas_udf("boolean")
-    def holds(p: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.holds(np.stack(p.to_numpy())) if len(p) else np.zeros(0, bool))
-
-    return keys.filter(holds(_positions(number, level.bits, level.hashes, F.col("key"))))
-
-
-def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.01, most_levels: int = 40) -> list[Level]:
-    """Levels that tell the listed keys from all other keys of the universe.
-    Both tables have a column ``key``; listed keys outside the universe are
-    never asked for and left out."""
-    yes = X.cut(listed.select("key").distinct().join(universe.select("key"), "key", "left_semi").distinct())
-    no = universe.select("key").distinct().join(yes, "key", "left_anti")
+def levels_for(listed: np.ndarray, others: np.ndarray, rate: float) -> list[Level]:
+    """Levels that tell the listed keys from the others (rows of two halves)."""
     levels: list[Level] = []
-    held, others, total = yes, no, 0
-    n = held.count()
-    while n:
-        bits, _ = _bits_for(n, rate)
-        total += bits
-        if total > MAX_BITS or len(levels) >= most_levels:
-            raise ValueError(f"a cascade of {total} bits and {len(levels)} levels is over its bound")
-        number = len(levels) + 1
-        levels.append(_level(held, number, n, rate))
-        wrong = X.cut(_passes(others, number, levels[-1]))
+    held = listed
+    while len(held):
+        if len(levels) == 64 and set(map(tuple, listed.tolist())) & set(map(tuple, others.tolist())):
+            raise ValueError("two keys agree in all 128 bits")
+        level = Level(*_bits_for(len(held), rate), np.zeros(0, np.uint64))
+        at = level.positions(len(levels), held).reshape(-1)
+        bits = np.zeros(level.bits, dtype=bool)
+        bits[at] = True
+        level.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        wrong = others[level.holds(len(levels), others)] if len(others) else others
+        levels.append(level)
         held, others = wrong, held
-        n = wrong.count()
     return levels
 
 
-def in_cascade(levels: list[Level], spark: SparkSession):
-    """A column function: whether each key of an array column is listed."""
-    shared = spark.sparkContext.broadcast(levels)
+def listed_in(levels: list[Level], keys: np.ndarray) -> np.ndarray:
+    """Whether each key of the universe is listed: the first level that refuses it decides."""
+    out = np.zeros(len(keys), dtype=bool)
+    open_ = np.arange(len(keys))
+    for i, level in enumerate(levels):
+        through = level.holds(i, keys[open_])
+        out[open_[~through]] = i % 2 == 1
+        open_ = open_[through]
+    out[open_] = len(levels) % 2 == 1
+    return out
 
-    def column(keys: Column) -> Column:
-        @F.pandas_udf("array<boolean>")
-        def lookup(keys: pd.Series, *positions: pd.Series) -> pd.Series:
-            sizes = keys.map(len).to_numpy()
-            listed = np.zeros(int(sizes.sum()), dtype=bool)
-            open_ = np.ones(len(listed), dtype=bool)
-            for i, level in enumerate(shared.value):
-                flat = [x for row in positions[i] for x in row]
-                if not flat:
-                    break
-                through = level.holds(np.array([np.asarray(x) for x in flat], dtype=np.int64))
-                listed[open_ & ~through] = i % 2 == 1
-                open_ &= through
-            if shared.value:
-                listed[open_] = len(shared.value) % 2 == 1
-            return pd.Series([x.tolist() for x in np.split(listed, np.cumsum(sizes)[:-1])] if len(sizes) else [], dtype=object)
 
-        places = [F.transform(keys, _positions_in(i, v)) for i, v in enumerate(levels, 1)]
-        return lookup(keys, *places)
+def _written(levels: list[Level]) -> bytes:
+    head = np.array([len(levels), *(x for v in levels for x in (v.bits, v.hashes))], dtype=np.int64)
+    return head.tobytes() + b"".join(v.words.tobytes() for v in levels)
 
-    return column
 
+def _read(data: bytes) -> list[Level]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head, at, out = np.frombuffer(data, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
+    for bits, hashes in zip(head[::2], head[1::2], strict=True):
+        out.append(Level(bits, hashes, np.frombuffer(data, np.uint64, bits // 64, at)))
+        at += bits // 8
+    return out
 
-def _positions_in(number: int, level: Level):
-    return lambda key: _positions(number, level.bits, level.hashes, key)
+
+@dataclass
+class Cascade:
+    """rows: shard, levels (binary), for each shard that has listed keys."""
+
+    rows: DataFrame
+    shards: int
+
+    def parts(self) -> list[list[int]]:
+        """The shards in groups of at most BROADCAST_BYTES (a single one may have more)."""
+        out: list[list[int]] = []
+        room = 0
+        for r in self.rows.select("shard", F.length("levels").alias("n")).orderBy("shard").toLocalIterator():
+            if not out or r["n"] > room:
+                out.append([])
+                room = BROADCAST_BYTES
+            out[-1].append(r["shard"])
+            room -= r["n"]
+        return out
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.01) -> Cascade:
+    """A cascade that tells the listed keys from all other keys of the universe.
+    Both tables have a column ``key``; listed keys outside the universe are
+    never asked for and left out. The keys are dealt into shards of bounded
+    size by a hash, and a task makes all levels of its shard."""
+    both = universe.select("key", F.lit(True).alias("asked"), F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(False).alias("asked"), F.lit(True).alias("listed")))
+    keys = both.filter("key is not null").groupBy("key").agg(F.bool_or("asked").alias("asked"), F.bool_or("listed").alias("listed")).filter("asked")
+    first, second = _halves(F.col("key"))
+    keys = X.cut(keys.select(first.alias("first"), second.alias("second"), "listed"))
+    shards = max(1, -(-keys.count() // SHARD_KEYS))
+
+    def build(table: pa.Table) -> pa.Table:
+        halves = np.stack([np.asarray(table.column(c)).view(np.uint64) for c in ("first", "second")], axis=1)
+        yes = np.asarray(table.column("listed")).astype(bool)
+        levels = levels_for(halves[yes], halves[~yes], rate)
+        some = levels[:1]
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()] * len(some), pa.int32()), "levels": pa.array([_written(levels) for _ in some], pa.binary())})
+
+    dealt = keys.withColumn("shard", F.pmod("first", F.lit(shards)).cast("int"))
+    return Cascade(X.cut(dealt.groupBy("shard").applyInArrow(build, "shard int, levels binary")), shards)
+
+
+def _lookup(rows: list[tuple[int, bytes]], shards: int, spark: SparkSession):
+    """A column function of the halves of the keys in an array: whether these shards list each."""
+    shared = spark.sparkContext.broadcast(dict(rows))
+
+    @F.arrow_udf("array<boolean>")
+    def lookup(first: pa.Array, second: pa.Array) -> pa.Array:
+        keys = np.stack([np.asarray(x.flatten()).view(np.uint64) for x in (first, second)], axis=1)
+        shard = np.asarray(first.flatten()) % shards
+        out = np.zeros(len(keys), dtype=bool)
+        for s in np.unique(shard).tolist():
+            if s in shared.value:
+                own = np.flatnonzero(shard == s)
+                out[own] = listed_in(_read(shared.value[s]), keys[own])
+        sizes = np.asarray(first.value_lengths().fill_null(0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out))
+
+    return lookup
+
+
+def with_listed(table: DataFrame, cascade: Cascade, keys: str, name: str) -> DataFrame:
+    """table with an array of booleans: which of each row's keys (an array of
+    keys of the universe) are listed. Cascades over BROADCAST_BYTES are looked
+    up in turn, one group of shards after the other."""
+    spark, parts = table.sparkSession, cascade.parts()
+    first, second = F.transform(keys, lambda k: _halves(k)[0]), F.transform(keys, lambda k: _halves(k)[1])
+    table = table.withColumn(name, F.transform(keys, lambda k: F.lit(False)))
+    for part in parts:
+        rows = [(r["shard"], bytes(r["levels"])) for r in cascade.rows.filter(F.col("shard").isin(part)).toLocalIterator()]
+        hit = _lookup(rows, cascade.shards, spark)(first, second)
+        table = table.withColumn(name, hit if len(parts) == 1 else F.zip_with(name, hit, lambda a, b: a | b))
+        if len(parts) > 1:
+            table = X.cut(table)  # the next group takes this one's place
+    return table
 
 
 def with_host_path(pages: DataFrame) -> DataFrame:
@@ -165,16 +220,13 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], rate: float
     lengths = sorted({len(p) for _, p, _ in rules}) or [0]
     keyed = urls.withColumn("_keys", _keys(labels, lengths))
     universe = X.cut(keyed.select(F.explode("_keys").alias("key")).distinct())
-    verdicts = {}
+    fits = []
     for verdict in ("block", "allow"):
         own = [(h + p,) for h, p, v in rules if v == verdict]
         if own:
-            levels = build_cascade(spark.createDataFrame(own, "key string"), universe, rate)
-            verdicts[verdict] = in_cascade(levels, spark)
-    fits = []
-    for verdict, lookup in verdicts.items():
-        keyed = keyed.withColumn(f"_{verdict}", lookup(F.col("_keys")))
-        fits.append(_listed(verdict))
+            cascade = build_cascade(spark.createDataFrame(own, "key string"), universe, rate)
+            keyed = with_listed(keyed, cascade, "_keys", f"_{verdict}")
+            fits.append(_listed(verdict))
     best = F.array_max(F.concat(*fits)) if fits else F.lit(None).cast("struct<n:int,k:string,v:string>")
     return keyed.withColumn("_best", best).select("page_id", "url", "host", "path", F.col("_best.k").alias("rule"), F.coalesce("_best.v", F.lit("allow")).alias("verdict"))
 
