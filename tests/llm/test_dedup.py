@@ -205,6 +205,34 @@ def test_near_duplicates(docs, no_docs, texts, cell, monkeypatch):
     assert md.near_duplicates(no_docs, size=4).count() == 0
 
 
+def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
+    """Chains and knots of near copies over many small cells, with ids that repeat or are missing."""
+    monkeypatch.setattr(md, "CELL_CLASSES", 4)
+    rng = random.Random(21)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for k in range(30):  # each changes a few words of the one before
+            base = list(base)
+            for _ in range(rng.randint(0, 3)):
+                base[rng.randrange(60)] = f"x{rng.randrange(9999)}"
+            rows.append((rng.choice([None, rng.randrange(40), 100 * g + k]), " ".join(base)))
+    got = md.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert key((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == key(components(rows, 4))
+
+
+def test_likely_pairs_of_bands():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (3, 256)).astype(np.uint8)
+    near = base.copy()
+    near[:, :40] = rng.integers(0, 256, (3, 40))
+    band = np.array([1, 1, 1, 2, 2, 3, 3, 3])
+    bins = np.stack([base[0], near[0], base[1], base[1], near[2], base[2], near[2], base[1]])
+    i, j = md.alike(band, bins)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(1, 0), (6, 5)]
+    assert md.alike(band[:0], bins[:0])[0].tolist() == []
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)

@@ -21,18 +21,21 @@ def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
     Large-star and small-star in turn (Kiveris and others, 2014): every round
     joins a node's links to the smallest neighbour, which the first step finds
     by an aggregation with map-side combining, so a node with very many links
-    costs one row per task before the shuffle. The rounds end when every
-    component is a star; their number grows with the logarithm of the nodes."""
+    costs one row per task before the shuffle. The smallest neighbours are written
+    down before they meet the links, so both sides of that join are plain shuffles
+    and Spark can split the links of a node that very many others point to. The
+    rounds end when every component is a star; their number grows with the
+    logarithm of the nodes."""
     edges = X.cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         if _all_stars(edges):
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = X.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
         # larger neighbours go to the smallest
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = X.cut(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
         # of those, every node and its smaller neighbours go to the smallest
-        small = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = X.cut(large.groupBy("a").agg(F.min("b").alias("low")))
         ends = F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b"))))
         edges = X.cut(large.join(small, "a").select(ends.alias("e")).select("e.a", "e.b").filter("a != b").distinct())
     else:

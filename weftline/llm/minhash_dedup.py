@@ -10,9 +10,19 @@ reported that isn't there, and a link at similarity 0.8 escapes the bands with
 probability (1 - 0.8**6)**42, about 3 in a million (less at higher similarity).
 
 Documents with the same set form a class; only one document of a class goes
-further. Bands first join classes to candidate clusters; within a cluster all
-classes are compared by products of blocks of the class-by-shingle matrix, in
-cells of bounded size, and a cell returns only the links of a spanning forest.
+further. Classes that share a band are compared by their sketches (one byte of
+each bin): pairs whose bins agree in fewer than ``LIKELY`` of 256 places are let
+go (at similarity 0.8 that is six standard deviations off), the others join
+classes to clusters. So a cluster holds what is nearly alike, and clusters don't
+grow together as the corpus grows. Bands that the same classes share count once;
+a band with more than ``CELL_CLASSES`` classes joins them all.
+
+Within a cluster classes are compared exactly, by products of blocks of the
+class-by-shingle matrix, in cells of bounded size; a cell returns only the links
+of a spanning forest. Large clusters take two rounds: first each block with
+itself and with the first block; then only the classes that aren't yet in the
+cluster's main component with all blocks. No pair is left out but those that are
+connected already.
 
 Rows: ids may repeat or be null; each row is a document of its own. A text
 without words (or null) has an empty set and is linked with nothing. Fewer
@@ -26,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import exchange as X
@@ -35,6 +45,8 @@ from weftline.llm.components import connected
 
 BINS, BANDS, BAND_BINS = 256, 42, 6
 CELL_CLASSES, CELL_SHINGLES = 512, 1 << 20
+#: Bins of two sketches that agree in a pair worth an exact comparison; bands' members that are compared in a task at once.
+LIKELY, BAND_MEMBERS, PAIRS = 166, 50_000, 1 << 15
 
 
 def shingle_sets(block: W.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,25 +117,58 @@ def set_classes(key: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.stack(sums, axis=1)]
 
 
-def _signed(docs: DataFrame, size: int, carry: list[str]) -> DataFrame:
-    """doc_id, the carried columns, n_shingles, cls (128 bits that stand for the set), bands."""
-    names = ["doc_id", *carry]
+def _row() -> Column:
+    """What tells rows apart; rows with the same id and text are as good as one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def _signed(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, row, n_shingles, cls (128 bits that stand for the set), bands, bins
+    (a byte of each bin). docs: doc_id, row, text."""
+    names = ["doc_id", "row"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in W.slices(whole):
                 key, first = shingle_sets(W.Block(batch.column("text"), lower=True), size)
-                bands = band_keys(sketches(key, first))
+                made = sketches(key, first)
+                bands, bins = band_keys(made), W.mix(made, 5).astype(np.uint8)
                 n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(set_classes(key, first), pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], [*names, "n_shingles", "cls", "bands"])
-
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
-    schema = cols.select(*names).schema.add("n_shingles", "long").add("cls", "binary").add("bands", "binary")
-    return cols.mapInArrow(sign, schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(set_classes(key, first), pa.binary()), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (bands, bins))], [*names, "n_shingles", "cls", "bands", "bins"])
+
+    return docs.select("doc_id", "row", "text").mapInArrow(sign, "doc_id long, row long, n_shingles long, cls binary, bands binary, bins binary")
+
+
+def alike(band: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (place, place) of a forest of the likely pairs of each band; band: ascending."""
+    first = np.flatnonzero(np.diff(band, prepend=band[0] - 1)) if len(band) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(band)))
+    later = np.repeat(first + size, size) - np.arange(len(band)) - 1  # members of its band after each place
+    upto = np.cumsum(later)
+    left, right, at = [], [], 0
+    while at < len(band):  # some places with all pairs they begin
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(at, stop), later[at:stop])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[at:stop]) - later[at:stop], later[at:stop])
+        good = (bins[i] == bins[j]).sum(axis=1) >= LIKELY
+        left.append(i[good])
+        right.append(j[good])
+        at = stop
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    label = np.arange(len(band))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            return np.flatnonzero(label != np.arange(len(band))), label[label != np.arange(len(band))]
+        label = low
 
 
 def _band_links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) from every class to the smallest class of each of its bands."""
+    """Links (a, b) that join the classes to clusters."""
+    spark = classes.sparkSession
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +177,25 @@ def _band_links(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), cls], ["band", "cls"])
 
     rows = classes.select("cls", "bands").mapInArrow(unpack, "band long, cls binary")
-    low = rows.groupBy("band").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(low, "band").filter("cls != b").select(F.col("cls").alias("a"), "b").distinct()
+    own = F.xxhash64("cls")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.sum(F.shiftright(own, 32)).alias("sum"), F.bit_xor(own).alias("all")).filter("n > 1")
+    # of the bands that the same classes share, one
+    once = X.cut(shared.groupBy("n", "low", "sum", "all").agg(F.min("band").alias("band")).select("band", "n", "low"))
+    members = X.cut(rows.join(once, "band"))
+    star = members.filter((F.col("n") > CELL_CLASSES) & (F.col("cls") != F.col("low"))).select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    few = members.filter(F.col("n") <= CELL_CLASSES).select("band", "cls")
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-few.count() // BAND_MEMBERS))
+
+    def compare(table: pa.Table) -> pa.Table:
+        band = np.asarray(table.column("band"))
+        order = np.argsort(band, kind="stable")
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        i, j = alike(band[order], bins)
+        cls = table.column("cls").combine_chunks()
+        return pa.table({"a": cls.take(pa.array(order[i])), "b": cls.take(pa.array(order[j]))})
+
+    dealt = few.join(classes.select("cls", "bins"), "cls").withColumn("group", F.pmod(F.xxhash64("band"), F.lit(groups)))
+    return star.unionByName(dealt.groupBy("group").applyInArrow(compare, "a binary, b binary")).distinct()
 
 
 def _linked_blocks(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -173,53 +235,81 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _components(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
-    """cls, doc_id (its smallest), root (one class of its group) of every class of ``signed``."""
-    some = signed.filter("n_shingles > 0")
-    classes = some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    clusters = connected(_band_links(classes)).withColumnRenamed("root", "cluster")
-    clusters = X.cut(clusters.join(classes.select(F.col("cls").alias("node"), "doc_id", "n"), "node"))
-    size_of = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("members") / CELL_CLASSES), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
-    members = clusters.join(size_of.select("cluster", blocks.alias("blocks")), "cluster")
-    members = members.select("node", "cluster", "doc_id", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-
-    # the texts of one row of each class that has candidates
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "cluster", "blocks", "own")
+def _exact_links(docs: DataFrame, cells: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of a spanning forest of each cell. cells: node, row, cluster, i, j,
+    side; the cell i = j compares its nodes with each other, others side 0 with side 1."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # rows that repeat id and text are sent once by a task
         for whole in batches:
             for batch in W.slices(whole):
                 key, first = shingle_sets(W.Block(batch.column("text"), lower=True), size)
                 own = [key[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                same = pa.array([x == y for x, y in zip(set_classes(key, first), batch.column("node").to_pylist(), strict=True)])  # ids may repeat
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "cluster", "blocks", "own")] + [pa.array(own, pa.binary())], ["node", "cluster", "blocks", "own", "set"]).filter(same)
+                good = []
+                for x, y in zip(set_classes(key, first), batch.column("node").to_pylist(), strict=True):
+                    good.append(x == y and y not in seen)
+                    seen.add(y)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cells"), pa.array(own, pa.binary())], ["node", "cells", "set"]).filter(pa.array(good))
 
-    cells = texts.mapInArrow(sets, "node binary, cluster binary, blocks int, own int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = cells.withColumn("other", other).select("node", "cluster", "own", "set", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    places = cells.groupBy("node", "row").agg(F.collect_list(F.struct("cluster", "i", "j", "side")).alias("cells"))
+    texts = docs.select("row", "text").join(places, "row").select("text", "node", "cells")
+    schema = places.select("node", "cells").schema.add("set", "binary")
+    rows = texts.mapInArrow(sets, schema).select("node", "set", F.explode("cells").alias("c")).select("node", "set", "c.*")
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows = {}
-        for node, own, data in zip(table.column("node").to_pylist(), table.column("own").to_pylist(), table.column("set").to_pylist(), strict=True):
-            rows.setdefault((own, node), data)
-        order = sorted(rows)
+        held: dict[tuple[int, bytes], bytes] = dict(zip(zip(table.column("side").to_pylist(), table.column("node").to_pylist(), strict=True), table.column("set").to_pylist(), strict=True))
+        order = sorted(held)
         nodes = [x[1] for x in order]
-        sets_ = [np.frombuffer(rows[x], np.uint64) for x in order]
-        if i == j:
-            label = _forest(_linked_blocks(sets_, None, percent))
+        own = [np.frombuffer(held[x], np.uint64) for x in order]
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            linked = _linked_blocks(own, None, percent)
         else:
-            cut = sum(x[0] == i for x in order)
+            cut = sum(x[0] == 0 for x in order)
             linked = np.zeros((len(order), len(order)), dtype=bool)
             if 0 < cut < len(order):
-                across = _linked_blocks(sets_[:cut], sets_[cut:], percent)
+                across = _linked_blocks(own[:cut], own[cut:], percent)
                 linked[:cut, cut:], linked[cut:, :cut] = across, across.T
-            label = _forest(linked)
-        pairs = [(nodes[k], nodes[x]) for k, x in enumerate(label.tolist()) if k != x]
+        pairs = [(nodes[k], nodes[x]) for k, x in enumerate(_forest(linked).tolist()) if nodes[k] != nodes[x]]
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
 
-    links = cells.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def _components(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """cls, doc_id (its smallest), root (one class of its group) of every class of
+    ``signed``. docs: row, text."""
+    some = signed.filter("n_shingles > 0")
+    classes = some.groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
+    classes = X.cut(classes.select("cls", "doc_id", F.col("least.row").alias("row"), "n", "bands", "bins"))
+    clusters = connected(_band_links(classes)).withColumnRenamed("root", "cluster")
+    clusters = X.cut(clusters.join(classes.select(F.col("cls").alias("node"), "row", "n"), "node"))
+    size_of = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("members") / CELL_CLASSES), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
+    members = clusters.join(size_of.select("cluster", blocks.alias("blocks")), "cluster")
+    members = members.select("node", "cluster", "row", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    # round 1: each block with itself, and with the first
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    own, one = F.col("own"), F.lit(1)
+    others = F.transform(F.when(F.col("blocks") > 1, F.sequence(one, F.col("blocks") - 1)).otherwise(F.array().cast("array<int>")), lambda j: cell(F.lit(0), j, 0))
+    places = F.concat(F.array(cell(own, own, 0)), F.when(own == 0, others).otherwise(F.array(cell(F.lit(0), own, 1))))
+    cells = members.select("node", "row", "cluster", F.explode(places).alias("c")).select("node", "row", "cluster", "c.*")
+    links = X.cut(_exact_links(docs, cells, size, percent))
+    # round 2: where there are three blocks or more, what isn't in the main component with all blocks
+    large = members.filter("blocks > 2")
+    if not large.isEmpty():
+        roots = connected(links)
+        large = X.cut(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        sizes = large.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("best"), F.sum("n").alias("all"))
+        rest_blocks = F.ceil((F.col("all") - F.col("best.n")) / CELL_CLASSES).cast("int")
+        main = main.select("cluster", F.col("best.root").alias("main"), rest_blocks.alias("rest")).filter("rest > 0")
+        open_ = large.join(main, "cluster")
+        left = open_.filter("root <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rest")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = open_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rest") - 1))).withColumn("j", F.col("own"))
+        cells = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+        # block numbers of the left are kept apart from those of the right, so no cell is one block with itself
+        cells = cells.select("node", "row", "cluster", (-1 - F.col("i")).alias("i"), "j", "side")
+        links = links.unionByName(X.cut(_exact_links(docs, cells, size, percent)))
     roots = X.cut(connected(links))
     return classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
@@ -227,7 +317,8 @@ def _components(docs: DataFrame, signed: DataFrame, size: int, percent: int) ->
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable, its own
     included), kept (it has that id) of every row of docs."""
-    signed = X.cut(_signed(docs, size, []))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", _row())
+    signed = X.cut(_signed(docs, size))
     some = signed.filter("n_shingles > 0")
     ids = _components(docs, signed, size, percent)
     low = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -238,9 +329,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def surplus_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """row of all rows but one of each group; ``row`` tells the rows of docs
-    apart. The one has the smallest id; a missing id comes last."""
-    signed = X.cut(_signed(docs, size, ["row"]))
+    """row of all rows but one of each group; ``row`` (a long) tells the rows of
+    docs apart. The one has the smallest id; a missing id comes last."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text")
+    signed = X.cut(_signed(docs, size))
     some = signed.filter("n_shingles > 0")
     roots = _components(docs, signed, size, percent).select("cls", "root")
     best = some.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "row")).alias("best"))
