@@ -199,6 +199,7 @@ def components(texts, size, percent=80):
 @pytest.mark.parametrize("cell", [512, 3])
 def test_near_duplicates(docs, no_docs, texts, cell, monkeypatch):
     monkeypatch.setattr(md, "CELL_CLASSES", cell)
+    monkeypatch.setattr(md, "BAND_CLASSES", cell)
     got = md.near_duplicates(docs, size=4).collect()
     assert key((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == key(components(texts, 4))
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
@@ -208,6 +209,7 @@ def test_near_duplicates(docs, no_docs, texts, cell, monkeypatch):
 def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
     """Chains and knots of near copies over many small cells, with ids that repeat or are missing."""
     monkeypatch.setattr(md, "CELL_CLASSES", 4)
+    monkeypatch.setattr(md, "BAND_CLASSES", 4)
     rng = random.Random(21)
     rows = []
     for g in range(3):

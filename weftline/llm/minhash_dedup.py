@@ -15,7 +15,7 @@ each bin): pairs whose bins agree in fewer than ``LIKELY`` of 256 places are let
 go (at similarity 0.8 that is six standard deviations off), the others join
 classes to clusters. So a cluster holds what is nearly alike, and clusters don't
 grow together as the corpus grows. Bands that the same classes share count once;
-a band with more than ``CELL_CLASSES`` classes joins them all.
+a band with more than ``BAND_CLASSES`` classes joins them all.
 
 Within a cluster classes are compared exactly, by products of blocks of the
 class-by-shingle matrix, in cells of bounded size; a cell returns only the links
@@ -44,9 +44,10 @@ from weftline.llm import words as W
 from weftline.llm.components import connected
 
 BINS, BANDS, BAND_BINS = 256, 42, 6
-CELL_CLASSES, CELL_SHINGLES = 512, 1 << 20
-#: Bins of two sketches that agree in a pair worth an exact comparison; bands' members that are compared in a task at once.
-LIKELY, BAND_MEMBERS, PAIRS = 166, 50_000, 1 << 15
+CELL_CLASSES, CELL_SHINGLES = 128, 1 << 20
+#: Bins of two sketches that agree in a pair worth an exact comparison; classes of a band that are compared pair by
+#: pair; members of bands, and pairs, that a task compares at once.
+LIKELY, BAND_CLASSES, BAND_MEMBERS, PAIRS = 166, 512, 50_000, 1 << 15
 
 
 def shingle_sets(block: W.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +183,8 @@ def _band_links(classes: DataFrame) -> DataFrame:
     # of the bands that the same classes share, one
     once = X.cut(shared.groupBy("n", "low", "sum", "all").agg(F.min("band").alias("band")).select("band", "n", "low"))
     members = X.cut(rows.join(once, "band"))
-    star = members.filter((F.col("n") > CELL_CLASSES) & (F.col("cls") != F.col("low"))).select(F.col("cls").alias("a"), F.col("low").alias("b"))
-    few = members.filter(F.col("n") <= CELL_CLASSES).select("band", "cls")
+    star = members.filter((F.col("n") > BAND_CLASSES) & (F.col("cls") != F.col("low"))).select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    few = members.filter(F.col("n") <= BAND_CLASSES).select("band", "cls")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-few.count() // BAND_MEMBERS))
 
     def compare(table: pa.Table) -> pa.Table:
