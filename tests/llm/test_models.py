@@ -213,11 +213,12 @@ def plain_ctw(train, depth):
     return score
 
 
-def test_lm_matches_plain_context_trees(spark):
+@pytest.mark.parametrize("depth", [2, 3, 5, 7])
+def test_lm_matches_plain_context_trees(spark, depth):
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice("ab cä") for _ in range(rng.randint(0, 60)))) for i in range(25)]
-    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), depth=3).collect()}
-    score = plain_ctw([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect()}
+    score = plain_ctw([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], depth)
     for i, t in rows:
         assert abs(got[i] - score(t.encode())) < 1e-3 + 1e-5 * abs(got[i]), i
 

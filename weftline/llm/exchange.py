@@ -75,7 +75,27 @@ def distinct(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return b[new], k[new], place
 
 
-def packed(block: int, bucket: np.ndarray, key: np.ndarray, extra: np.ndarray | None = None) -> pa.Table:
+def planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second bytes and so on: what Spark's
+    compression of shuffled rows makes small where high bytes are alike."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def planes_of_steps(ascending: np.ndarray) -> bytes:
+    """``planes`` of the differences of ascending keys."""
+    return planes(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def from_planes_of_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def packed(block: int, bucket: np.ndarray, key: np.ndarray, extra: np.ndarray | None = None, write_keys: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, write_extra: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> pa.Table:
     """One row for each bucket; ``bucket`` and ``key`` as ``distinct`` returns them."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     edges = [0, *cuts.tolist(), len(bucket)] if len(bucket) else [0]
@@ -84,8 +104,8 @@ def packed(block: int, bucket: np.ndarray, key: np.ndarray, extra: np.ndarray |
         {
             "block": pa.array([block] * len(spans), pa.int32()),
             "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
-            "keys": pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()),
-            "extra": pa.array([b"" if extra is None else extra[a:b].tobytes() for a, b in spans], pa.binary()),
+            "keys": pa.array([write_keys(key[a:b]) for a, b in spans], pa.binary()),
+            "extra": pa.array([b"" if extra is None else write_extra(extra[a:b]) for a, b in spans], pa.binary()),
         }
     )
 

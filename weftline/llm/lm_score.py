@@ -7,11 +7,14 @@ estimates of all depths with the posterior weights that the training texts
 give them. A text's score is the log10 probability of its bytes and its end.
 
 How it runs: blocks of texts count their distinct (context, byte) grams and
-their distinct words (``exchange``); uniform buckets add the counts up; the
-distinct grams of a subtree (all with the same two last bytes) are weighted
-bottom up, the few nodes above are joined in one small table (at most 65,536
-contexts, whatever the corpus), and the mixtures go down the subtrees again
-and back to the blocks. The model so grows with what the texts hold.
+their distinct words (``exchange``). Words go to buckets by their hash, grams by
+a hash of the last four bytes of their context, so all grams of a subtree below
+depth four meet in one bucket; buckets grow in number with the corpus, and a
+subtree holds at most what three further bytes can tell apart. A bucket adds the
+counts up and weights its subtrees bottom up; their roots, rows of a table, meet
+by their last two bytes and are weighted up to depth two; those few nodes (at
+most 65,536 contexts, whatever the corpus) meet once. The mixtures go down the
+same way and back to the blocks. The model so grows with what the texts hold.
 
 Base score: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased and one end, each
 log10((c + 1) / (N + V + 1)). A word is known by a 64-bit hash.
@@ -34,12 +37,13 @@ from pyspark.sql import functions as F
 from weftline.llm import exchange as X
 from weftline.llm import words as W
 
-DEPTH, CUT = 5, 2
+DEPTH = 5
+#: Depths at which the tree is cut into subtrees, and at which these are brought together.
+LOWER, UPPER = 4, 2
 #: Bytes of texts that are dealt to a block, and that a task handles at once.
 BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 END_BYTE = 0xFF  # in no UTF-8 text
 END_WORD = np.uint64(0x5EED0E4DC0FFEE01)
-SUBTREES = 1024
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, n_bytes long"
 
 
@@ -162,56 +166,85 @@ def _tokens(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
 def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of some pieces (keys, where each text's begin, whether to
     learn from it) and how often each stands in the texts to learn from."""
-    all_, known, count = [], [], []
+    all_, count = [], []
     for key, first, learn in parts:
-        all_.append(W.unique(key))
-        own, n = W.unique(key[np.repeat(learn, np.diff(first))], counts=True)
-        known.append(own)
-        count.append(n)
-    unique = W.unique(np.concatenate(all_))
-    out = np.zeros(len(unique), dtype=np.uint64)
-    for own, n in zip(known, count, strict=True):
-        out[np.searchsorted(unique, own)] += n.astype(np.uint64)
-    return unique, out
-
-
-def _looked_up(key: np.ndarray, unique: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The value of each key; keys that are equal are looked up once."""
+        own = np.repeat(learn, np.diff(first))
+        if len(key) and int(key.max()) >> 63:
+            unique = W.unique(key)
+            known, n = W.unique(key[own], counts=True)
+            out = np.zeros(len(unique), dtype=np.uint64)
+            out[np.searchsorted(unique, known)] = n.astype(np.uint64)
+        else:  # one sort for both
+            marked, n = W.unique(key << np.uint64(1) | own.astype(np.uint64), counts=True)
+            n = np.where(marked & np.uint64(1), n, 0).astype(np.uint64)
+            marked >>= np.uint64(1)
+            begin = np.flatnonzero(np.diff(marked, prepend=marked[:1] ^ np.uint64(1)))
+            unique, out = marked[begin], np.add.reduceat(n, begin) if len(begin) else n
+        all_.append(unique)
+        count.append(out)
+    unique, place = np.unique(np.concatenate(all_), return_inverse=True)
+    return unique, np.bincount(place, weights=np.concatenate(count).astype(np.float64), minlength=len(unique)).astype(np.uint64)
+
+
+def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place of each key among them."""
     order = np.argsort(key)
     ordered = key[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    found = value[np.searchsorted(unique, ordered[new])]
-    out = np.empty(len(key), dtype=value.dtype)
-    out[order] = found[np.cumsum(new) - 1]
-    return out
+    place = np.empty(len(key), dtype=np.int32)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def _bucket(key: np.ndarray, seed: int, buckets: int) -> np.ndarray:
+    return (W.mix(key, seed) % np.uint64(buckets)).astype(np.int64)
 
 
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (W.mix(key, 41) % np.uint64(buckets)).astype(np.int64)
+# --- levels of the tree --------------------------------------------------------
 
 
-def _spread(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of distinct keys and the order in which they are packed."""
-    bucket = _bucket(key, buckets)
-    return bucket, np.argsort(bucket, kind="stable")
+def _level(table: pa.Table) -> Nodes:
+    """Nodes from rows of id, n0, n1 and weighted, by id."""
+    ids = np.asarray(table.column("id")).view(np.uint64)
+    order = np.argsort(ids)
+    n0, n1, weighted = (np.asarray(table.column(c))[order] for c in ("n0", "n1", "weighted"))
+    level = Nodes(ids[order], n0, n1, None)
+    level.weighted = weighted
+    return level
 
 
-def _subtree(key: np.ndarray, depth: int) -> np.ndarray:
-    return (W.mix(key >> np.uint64(8 * (depth + 1 - CUT)), 43) % np.uint64(SUBTREES)).astype(np.int64)
+def _from_above(levels: list[tuple[Nodes, np.ndarray | None]], above: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The levels' mixtures, for the nodes of the first level: (mass of a one, weight
+    left) below the last level, given those above it (rows of id, sure, left).
+    levels: from the deepest up, each with the places of the level below."""
+    ids = np.asarray(above.column("id")).view(np.uint64)
+    order = np.argsort(ids)
+    at = order[np.searchsorted(ids[order], levels[-1][0].ids)]
+    sure, left = np.asarray(above.column("sure"))[at], np.asarray(above.column("left"))[at]
+    return descend([(levels[k][0], levels[k + 1][1] if k + 1 < len(levels) else None) for k in range(len(levels) - 1, -1, -1)], sure, left)
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens (N), train_vocabulary
     (V), base_score, score, bits_per_byte of every row of docs."""
-    if not CUT <= depth <= 7:
+    if not UPPER <= depth <= 7:
         raise ValueError("depth must be from 2 to 7 bytes")
     spark = docs.sparkSession
     total = X.text_bytes(docs)
     texts, _ = X.dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")), ["doc_id", "text", "held_out"], total, BLOCK_BYTES)
     buckets = X.bucket_count(spark, total // 20)
+    groups = min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lower = min(LOWER, depth)
+    beyond, above_upper = np.uint64(8 * (depth - lower + 1)), np.uint64(8 * (lower - UPPER + 1))
+
+    def token_bucket(key: np.ndarray) -> np.ndarray:
+        return _bucket(key, 41, buckets)
+
+    def gram_bucket(key: np.ndarray) -> np.ndarray:
+        return _bucket(key >> beyond, 43, buckets) + buckets
 
-    kinds = ((0, _tokens), (buckets, lambda block: _grams(block, depth)))
+    kinds = ((token_bucket, _tokens), (gram_bucket, lambda block: _grams(block, depth)))
 
     def pieces(table: pa.Table) -> Iterator[tuple[W.Block, np.ndarray]]:
         """A block's texts, few at a time, and whether to learn from them."""
@@ -221,121 +254,106 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def pack(table: pa.Table) -> pa.Table:
         number, parts = table.column("block")[0].as_py(), []
-        for shift, keys in kinds:
+        for place, keys in kinds:
             key, count = _counted((*keys(block), learn) for block, learn in pieces(table))
-            bucket, order = _spread(key, buckets)
-            parts.append(X.packed(number, bucket[order] + shift, key[order], count[order]))
+            bucket = place(key)
+            order = np.argsort(bucket, kind="stable")
+            parts.append(X.packed(number, bucket[order], key[order], count[order], X.planes_of_steps, X.planes))
         return pa.concat_tables(parts)
 
-    packed = texts.groupBy("block").applyInArrow(pack, X.PACKED)
-    by_bucket = packed.groupBy("bucket")
-
-    def added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        keys = X.unpacked(table, "keys")
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.zeros(len(unique), dtype=np.uint64)
-        np.add.at(count, place, np.concatenate(X.unpacked(table, "extra")))
-        return keys, unique, place, count
-
-    def totals(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() >= buckets:
-            return pa.table({"n": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        count = added(table)[3]
-        return pa.table({"n": pa.array([int(count.sum())], pa.int64()), "v": pa.array([int((count > 0).sum())], pa.int64())})
-
-    def token_answers(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() >= buckets:
-            return X.answers(table.slice(0, 0), [])
-        keys, _, place, count = added(table)
-        return X.answers(table, [x.tobytes() for x in np.split(count[place], np.cumsum([len(k) for k in keys])[:-1])])
-
-    def gram_counts(table: pa.Table) -> pa.Table:
-        number = table.column("bucket")[0].as_py()
-        if number < buckets:
-            return X.packed(0, np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    by_bucket = texts.groupBy("block").applyInArrow(pack, X.PACKED).groupBy("bucket")
+
+    def added(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """How many keys each packed row has; the distinct keys, the place of each key among them, and their counts."""
+        keys = [X.from_planes_of_steps(x) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([X.from_planes(x, np.uint64) for x in table.column("extra").to_pylist()])
+        unique, place = _places(np.concatenate(keys))
+        return [len(k) for k in keys], unique, place, np.bincount(place, weights=counts, minlength=len(unique))
+
+    def rows_of(group: np.ndarray, *cols: np.ndarray, names: tuple[str, ...]) -> pa.Table:
+        return pa.table([pa.array(group.astype(np.int32)), pa.array(cols[0].view(np.int64)), *(pa.array(c) for c in cols[1:])], list(names))
+
+    up_names, down_names = ("group", "id", "n0", "n1", "weighted"), ("group", "id", "sure", "left")
+    up_schema, down_schema = "group int, id long, n0 double, n1 double, weighted double", "group int, id long, sure double, left double"
+
+    def bottom(table: pa.Table) -> pa.Table:
+        """The roots of a bucket's subtrees; of a bucket of words one row with group -1: tokens and distinct ones."""
         _, unique, _, count = added(table)
-        subtree = _subtree(unique, depth)
-        order = np.argsort(subtree, kind="stable")
-        return X.packed(number, subtree[order], unique[order], count[order])
+        if table.column("bucket")[0].as_py() < buckets:
+            return rows_of(np.array([-1]), np.zeros(1, np.uint64), np.array([count.sum()]), np.array([float((count > 0).sum())]), np.zeros(1), names=up_names)
+        leaf = leaves(unique, count)[0]
+        nodes = [leaf, *(x for x, _ in climb(leaf, depth - lower))][-1]
+        return rows_of(_bucket(nodes.ids >> above_upper, 44, groups), nodes.ids, nodes.n0, nodes.n1, nodes.weighted, names=up_names)
 
-    # one row for each bucket and subtree: block = the bucket, bucket = the subtree
-    by_subtree = by_bucket.applyInArrow(gram_counts, X.PACKED).select(F.col("block").alias("home"), F.col("bucket").alias("subtree"), "keys", "extra").groupBy("subtree")
+    roots = X.cut(by_bucket.applyInArrow(bottom, up_schema))
+    by_group = roots.filter("group >= 0").groupBy("group")
 
-    def bottom_up(table: pa.Table) -> pa.Table:
-        keys, counts = np.concatenate(X.unpacked(table, "keys")), np.concatenate(X.unpacked(table, "extra"))
-        nodes = climb(leaves(keys, counts)[0], depth - CUT)
-        nodes = nodes[-1][0] if nodes else leaves(keys, counts)[0]
-        cols = [nodes.ids, nodes.n0, nodes.n1, nodes.weighted]
-        return pa.table({"subtree": table.column("subtree").slice(0, 1), "data": pa.array([np.concatenate([x.view(np.uint64) for x in cols]).tobytes()], pa.binary())})
+    def middle_up(table: pa.Table) -> pa.Table:
+        level = _level(table)
+        nodes = [level, *(x for x, _ in climb(level, lower - UPPER))][-1]
+        return rows_of(np.repeat(table.column("group")[0].as_py(), len(nodes.ids)), nodes.ids, nodes.n0, nodes.n1, nodes.weighted, names=up_names)
 
     def top(table: pa.Table) -> pa.Table:
-        """Root down to the depth above the subtrees, for each node of theirs."""
-        parts = [np.frombuffer(x, np.uint64).reshape(4, -1) for x in table.column("data").to_pylist()]
-        ids, n0, n1, weighted = np.concatenate(parts, axis=1)
-        level = Nodes(ids, n0.view(np.float64), n1.view(np.float64), None)
-        level.weighted = weighted.view(np.float64)
-        up = climb(level, CUT)
-        down = [(up[k][0], up[k + 1][1] if k + 1 < len(up) else None) for k in range(len(up) - 1, -1, -1)]
-        root = up[-1][0]
-        sure, left = descend(down, np.zeros(len(root.ids)), np.ones(len(root.ids)))
-        sure, left = sure[up[0][1]], left[up[0][1]]
-        sizes = np.cumsum([p.shape[1] for p in parts])[:-1]
-        data = [np.concatenate([i, s.view(np.uint64), r.view(np.uint64)]).tobytes() for i, s, r in zip(np.split(ids, sizes), np.split(sure, sizes), np.split(left, sizes), strict=True)]
-        return pa.table({"subtree": table.column("subtree"), "data": pa.array(data, pa.binary())})
-
-    roots = by_subtree.applyInArrow(bottom_up, "subtree int, data binary")
-    above = roots.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: top(t.drop_columns(["all"])), "subtree int, data binary")
-
-    def top_down(table: pa.Table, above: pa.Table) -> pa.Table:
-        own = X.unpacked(table, "keys")
-        keys, counts = np.concatenate(own), np.concatenate(X.unpacked(table, "extra"))
-        leaf, leaf_place = leaves(keys, counts)
-        up = [(leaf, None), *climb(leaf, depth - CUT)]
-        ids, sure, left = np.frombuffer(above.column("data")[0].as_py(), np.uint64).reshape(3, -1)
-        order = np.argsort(ids)
-        at = order[np.searchsorted(ids[order], up[-1][0].ids)]
-        sure, left = sure.view(np.float64)[at], left.view(np.float64)[at]
-        down = [(up[k][0], up[k + 1][1] if k + 1 < len(up) else None) for k in range(len(up) - 1, -1, -1)]
-        sure, _ = descend(down, sure, left)
-        logs = gram_logs(keys, leaf_place, sure).astype(np.float32)
-        parts = np.split(logs, np.cumsum([len(k) for k in own])[:-1])
-        return pa.table({"bucket": table.column("home"), "keys": table.column("keys"), "logs": pa.array([x.tobytes() for x in parts], pa.binary())})
-
-    logs = by_subtree.cogroup(above.groupBy("subtree")).applyInArrow(top_down, "bucket int, keys binary, logs binary")
-
-    def gram_answers(table: pa.Table, logs: pa.Table) -> pa.Table:
-        if not table.num_rows or table.column("bucket")[0].as_py() < buckets:
-            return X.answers(table.slice(0, 0).select(["block", "bucket"]), [])
-        keys = np.concatenate(X.unpacked(logs, "keys"))
-        value = np.concatenate(X.unpacked(logs, "logs", np.float32))
-        order = np.argsort(keys)
-        keys, value = keys[order], value[order]
-        return X.answers(table, [value[np.searchsorted(keys, k)].tobytes() for k in X.unpacked(table, "keys")])
-
-    replies = by_bucket.applyInArrow(token_answers, X.ANSWER).unionByName(by_bucket.cogroup(logs.groupBy("bucket")).applyInArrow(gram_answers, X.ANSWER))
+        """From the root down to the depth above ``UPPER``, for each node of that depth."""
+        level = _level(table)
+        group = np.asarray(table.column("group"))[np.argsort(np.asarray(table.column("id")).view(np.uint64))]
+        up = climb(level, UPPER)
+        root = up[-1][0].ids.view(np.int64)
+        start = pa.table({"id": root, "sure": np.zeros(len(root)), "left": np.ones(len(root))})
+        sure, left = (x[up[0][1]] for x in _from_above(up, start))
+        return rows_of(group, level.ids, sure, left, names=down_names)
+
+    above = by_group.applyInArrow(middle_up, up_schema).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: top(t.drop_columns(["all"])), down_schema)
+
+    def middle_down(table: pa.Table, above: pa.Table) -> pa.Table:
+        level = _level(table)
+        up = climb(level, lower - UPPER)
+        if up:
+            sure, left = (x[up[0][1]] for x in _from_above(up, above))
+        else:
+            order = np.argsort(np.asarray(above.column("id")).view(np.uint64))
+            sure, left = (np.asarray(above.column(c))[order] for c in ("sure", "left"))
+        return rows_of(_bucket(level.ids >> np.uint64(8), 43, buckets) + buckets, level.ids, sure, left, names=down_names)
+
+    down = by_group.cogroup(above.groupBy("group")).applyInArrow(middle_down, down_schema)
+
+    def answers(table: pa.Table, above: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return X.answers(table.select(["block", "bucket"]), [])
+        sizes, unique, place, count = added(table)
+        cuts = np.cumsum(sizes)[:-1]
+        if table.column("bucket")[0].as_py() < buckets:
+            return X.answers(table, [X.planes(x) for x in np.split(count[place].astype(np.uint64), cuts)])
+        leaf, leaf_place = leaves(unique, count)
+        sure, _ = _from_above([(leaf, None), *climb(leaf, depth - lower)], above)
+        logs = gram_logs(unique, leaf_place, sure).astype(np.float32)
+        return X.answers(table, [X.planes(x) for x in np.split(logs[place], cuts)])
+
+    replies = by_bucket.cogroup(down.groupBy("group")).applyInArrow(answers, X.ANSWER)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("answer").to_pylist(), strict=True))
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "log_counts", "score", "n_bytes")}
-        for (shift, keys), kind in zip(kinds, (np.uint64, np.float32), strict=True):
-            unique = W.unique(np.concatenate([W.unique(keys(block)[0]) for block, _ in pieces(table)]))
+        for (bucket_of, keys), kind, mine in zip(kinds, (np.uint64, np.float32), ([x for b, x in rows if b < buckets], [x for b, x in rows if b >= buckets]), strict=True):
+            parts = [(*_places(key), first) for key, first in (keys(block) for block, _ in pieces(table))]
+            unique = W.unique(np.concatenate([x for x, _, _ in parts]))
             value = np.zeros(len(unique), dtype=kind)
-            value[_spread(unique, buckets)[1]] = np.concatenate([np.frombuffer(a, kind) for b, a in rows if shift <= b < shift + buckets])
-            for block, _ in pieces(table):
-                key, first = keys(block)
-                each = _looked_up(key, unique, value)
-                doc = np.repeat(np.arange(len(block)), np.diff(first))
+            value[np.argsort(bucket_of(unique), kind="stable")] = np.concatenate([X.from_planes(x, kind) for x in mine])
+            for own, place, first in parts:
+                each = value[np.searchsorted(unique, own)][place]
+                n = len(first) - 1
+                doc = np.repeat(np.arange(n), np.diff(first))
                 if kind is np.uint64:
                     out["n_tokens"].append(np.diff(first))
-                    out["n_known"].append(np.bincount(doc, weights=each > 0, minlength=len(block)).astype(np.int64))
-                    out["log_counts"].append(np.bincount(doc, weights=np.log10(each + 1.0), minlength=len(block)))
+                    out["n_known"].append(np.bincount(doc, weights=each > 0, minlength=n).astype(np.int64))
+                    out["log_counts"].append(np.bincount(doc, weights=np.log10(each + 1.0), minlength=n))
                 else:
-                    out["score"].append(np.bincount(doc, weights=each, minlength=len(block)))
+                    out["score"].append(np.bincount(doc, weights=each, minlength=n))
                     out["n_bytes"].append(np.diff(first) - 1)
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), **{k: pa.array(np.concatenate(v)) for k, v in out.items()}})
 
     scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCORED)
-    sums = by_bucket.applyInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    sums = roots.filter("group < 0").agg(*(F.coalesce(F.sum(c).cast("long"), F.lit(0)).alias(v) for c, v in (("n0", "n"), ("n1", "v"))))
     counted = scored.withColumn("sums", sums.select(F.struct("n", "v")).scalar())
     train, words = F.col("sums.n"), F.col("sums.v")
     base = F.col("log_counts") - F.col("n_tokens") * F.log10((train + words + 1).cast("double"))
