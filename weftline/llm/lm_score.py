@@ -277,16 +277,20 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     up_schema, down_schema = "group int, id long, n0 double, n1 double, weighted double", "group int, id long, sure double, left double"
 
     def bottom(table: pa.Table) -> pa.Table:
-        """The roots of a bucket's subtrees; of a bucket of words one row with group -1: tokens and distinct ones."""
-        _, unique, _, count = added(table)
+        """The roots of a bucket's subtrees."""
         if table.column("bucket")[0].as_py() < buckets:
-            return rows_of(np.array([-1]), np.zeros(1, np.uint64), np.array([count.sum()]), np.array([float((count > 0).sum())]), np.zeros(1), names=up_names)
+            return rows_of(*(np.zeros(0, x) for x in (np.int64, np.uint64, np.float64, np.float64, np.float64)), names=up_names)
+        _, unique, _, count = added(table)
         leaf = leaves(unique, count)[0]
         nodes = [leaf, *(x for x, _ in climb(leaf, depth - lower))][-1]
         return rows_of(_bucket(nodes.ids >> above_upper, 44, groups), nodes.ids, nodes.n0, nodes.n1, nodes.weighted, names=up_names)
 
-    roots = X.cut(by_bucket.applyInArrow(bottom, up_schema))
-    by_group = roots.filter("group >= 0").groupBy("group")
+    by_group = by_bucket.applyInArrow(bottom, up_schema).groupBy("group")
+
+    def totals(table: pa.Table) -> pa.Table:
+        """Tokens and distinct tokens of a bucket of words."""
+        count = added(table)[3] if table.column("bucket")[0].as_py() < buckets else np.zeros(0)
+        return pa.table({"n": pa.array([int(count.sum())], pa.int64()), "v": pa.array([int((count > 0).sum())], pa.int64())})
 
     def middle_up(table: pa.Table) -> pa.Table:
         level = _level(table)
@@ -353,7 +357,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), **{k: pa.array(np.concatenate(v)) for k, v in out.items()}})
 
     scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCORED)
-    sums = roots.filter("group < 0").agg(*(F.coalesce(F.sum(c).cast("long"), F.lit(0)).alias(v) for c, v in (("n0", "n"), ("n1", "v"))))
+    sums = by_bucket.applyInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     counted = scored.withColumn("sums", sums.select(F.struct("n", "v")).scalar())
     train, words = F.col("sums.n"), F.col("sums.v")
     base = F.col("log_counts") - F.col("n_tokens") * F.log10((train + words + 1).cast("double"))
