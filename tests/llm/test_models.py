@@ -59,7 +59,9 @@ def test_ids_beyond_doubles_stay_apart(spark):
 # --- decontamination -----------------------------------------------------------------
 
 
-def test_leaks(spark, docs, no_docs):
+@pytest.mark.parametrize("index_bytes", [16 << 20, 2000])
+def test_leaks(spark, docs, no_docs, index_bytes, monkeypatch):
+    monkeypatch.setattr(de, "INDEX_BYTES", index_bytes)
     rng = random.Random(2)
     letters = "abcdefghijklmnop"
     word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))

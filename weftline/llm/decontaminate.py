@@ -24,11 +24,12 @@ besides ``doc_id``, ``text`` and ``item_id``, ``text``, ``answer`` are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,54 +240,63 @@ def leaks_of(block: W.Block, index: Index, overlap: float) -> list[tuple[int, in
     return out
 
 
-def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
-    """One index for each part of the items that keeps to INDEX_BYTES (a single item may exceed it)."""
+def _parts(items: DataFrame) -> tuple[DataFrame, int]:
+    """The items, and in how many parts each keeps to INDEX_BYTES (a single item may exceed it)."""
     answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.cast("string").alias("answer"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0))).alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // INDEX_BYTES))
+    return rows, max(1, -(-total // INDEX_BYTES))
+
+
+def _in_turn(items: DataFrame, threshold: float, search: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """What ``search`` finds with the index of each part of the items. Of several
+    parts, each one's rows are written down and its index is given up before
+    the next is made, so the driver and the executors hold one at a time."""
+    rows, parts = _parts(items)
     for k in range(parts):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield Index([(r["item_id"], r["text"], r["answer"]) for r in own.toLocalIterator()], threshold)
+        shared = items.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"], r["answer"]) for r in own.toLocalIterator()], threshold))
+        found = search(shared)
+        if parts == 1:
+            yield found
+        else:
+            yield X.cut(found)
+            shared.destroy()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every leak."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return X.union([_search(texts, index, overlap) for index in _indexes(items, threshold)])
-
 
-def _search(texts: DataFrame, index: Index, overlap: float) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(index)
+    def with_index(shared: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in W.slices(whole):
+                    found = leaks_of(W.Block(batch.column("text"), lower=True), shared.value, overlap)
+                    ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in W.slices(whole):
-                found = leaks_of(W.Block(batch.column("text"), lower=True), shared.value, overlap)
-                ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.float64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+        return texts.mapInArrow(search, LEAK)
 
-    return texts.mapInArrow(search, LEAK)
+    return X.union(list(_in_turn(items, threshold, with_index)))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """The rows of docs that hold no leak, with all their columns."""
-    for index in _indexes(items, threshold):
-        docs = _without_leaks(docs, index, overlap)
-    return docs
-
 
-def _without_leaks(docs: DataFrame, index: Index, overlap: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    def with_index(shared: Broadcast) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in W.slices(whole):
+                    clean = np.ones(batch.num_rows, dtype=bool)
+                    clean[[x[0] for x in leaks_of(W.Block(batch.column("text"), lower=True), shared.value, overlap)]] = False
+                    yield batch.filter(pa.array(clean))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in W.slices(whole):
-                clean = np.ones(batch.num_rows, dtype=bool)
-                clean[[x[0] for x in leaks_of(W.Block(batch.column("text"), lower=True), shared.value, overlap)]] = False
-                yield batch.filter(pa.array(clean))
+        return docs.mapInArrow(keep, docs.schema)
 
-    return docs.mapInArrow(keep, docs.schema)
+    for left in _in_turn(items, threshold, with_index):
+        docs = left
+    return docs
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

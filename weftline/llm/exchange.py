@@ -10,6 +10,7 @@ holds it, so a very frequent key costs at most one entry per block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -33,6 +34,24 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named)
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder, for rows that are read back from it."""
+    checkpoint_dir(spark)
+    _SCRATCH.append(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession, *keep: str) -> None:
+    """Delete the folders of ``scratch`` that nothing reads any more, all but ``keep``."""
+    for path in [x for x in _SCRATCH if x not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _SCRATCH.remove(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them from there."""
     checkpoint_dir(df.sparkSession)
