@@ -44,7 +44,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
-def drop_scratch(spark: SparkSession, *keep: str) -> None:
+def scratch_folders() -> list[str]:
+    return list(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, keep: list[str]) -> None:
     """Delete the folders of ``scratch`` that nothing reads any more, all but ``keep``."""
     for path in [x for x in _SCRATCH if x not in keep]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
