@@ -1,11 +1,14 @@
 """From raw documents to packed batches: language ID, line dedup, near-dedup,
 decontamination, packing. Each stage takes (spark, docs, sf_dir) and works on
 all that the one before it kept; all but the last return the columns of
-``documents``."""
+``documents``.
 
-from __future__ import annotations
+All stages: an empty table gives an empty result; columns besides the five of
+``documents`` are left out, whatever their names, and missing ones are null.
+Ids may repeat or be missing: rows are judged by themselves, never by their id
+alone."""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +29,12 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are in some language (operator 9)."""
+    """Keeps the documents that are in some language (operator 9), as they are.
+
+    Null and empty texts and texts without a letter go, and so do long texts
+    whose phrases are as short as those of gibberish; if no text is labelled,
+    all texts go. Very long texts are judged whole. Repeated rows share one
+    verdict."""
     docs = _documents(docs)
     learned = docs.withColumn("held_out", language_id.held_out()).filter("not held_out")
     found = language_id.identify(docs, language_id.gather_samples(learned), ["lang", "source", "n_chars", "text"])
@@ -35,8 +43,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay in the document with the
-    smallest id alone (operator 5); documents that lose every line so go."""
+    """Lines found in ten documents or more stay in the rows with the smallest
+    id that hold them alone (operator 5); documents that lose every line so go.
+
+    Null and empty texts become empty ones and stay, for they lose nothing.
+    Missing ids come after all others; if only rows without an id hold a line,
+    it stays in them. n_chars is that of the text that is left."""
     docs = _documents(docs)
     kept = line_dedup.drop_frequent_lines(docs, MIN_DOCS, keep_owner=True, carry=["lang", "source"])
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.col("kept_text"), F.lit(" \t\n\x0b\x0c\r")) == "")
@@ -47,22 +59,32 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that with the smallest id
     (operator 8: five words, 0.8). Rows are told apart by a number that is
-    written down with them, so ids may repeat or be missing."""
-    exchange.checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    written down with them.
+
+    Texts without words (or null) are copies of nothing and stay. A missing id
+    comes after all others; of rows with one id, or of repeated rows, one of
+    the group stays, whichever has the smallest set digest and number."""
+    path = exchange.scratch(spark, "rows")
     _documents(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
     return rows.join(minhash_dedup.surplus_rows(rows, size=5, percent=80), "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go (operator 2)."""
+    """Documents that hold a test item go (operator 2), others stay as they are.
+
+    Null texts and texts without words hold nothing; items that are null or
+    without words are held by nothing. Repeated rows share one verdict; of a
+    very long text every passage is looked at."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.clean_documents(_documents(docs), items)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches (operator 10)."""
+    """Length buckets and batches (operator 10).
+
+    Null and empty texts have length 0 and are packed too, repeated rows each.
+    Rows of one length may stand in any order within their bucket."""
     return packing.pack(_documents(docs))
 
 
@@ -74,18 +96,20 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express near-duplicate clusters or the packing; see tests/llm.
+#: SQL can't express the suffix automata of the first stage; tests/llm restates all five in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written to the shared
-    folder and read again by the next."""
-    exchange.checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder, read again by the next, and deleted when that is written. The last
+    one's stay, for the returned rows are read from them."""
+    before = exchange.scratch_folders()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    for name, stage in STAGES:
+        rows = stage(spark, docs, sf_dir)
+        path = exchange.scratch(spark, name)
+        rows.write.parquet(path)
+        exchange.drop_scratch(spark, [*before, path])
         docs = spark.read.parquet(path)
     return docs
