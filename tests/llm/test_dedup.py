@@ -225,9 +225,9 @@ def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
 
 def test_likely_pairs_of_bands():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 256, (3, 256)).astype(np.uint8)
+    base = rng.integers(0, 16, (3, 256)).astype(np.uint8)
     near = base.copy()
-    near[:, :40] = rng.integers(0, 256, (3, 40))
+    near[:, :40] = rng.integers(0, 16, (3, 40))
     band = np.array([1, 1, 1, 2, 2, 3, 3, 3])
     bins = np.stack([base[0], near[0], base[1], base[1], near[2], base[2], near[2], base[1]])
     i, j = md.alike(band, bins)

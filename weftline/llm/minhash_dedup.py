@@ -10,7 +10,7 @@ reported that isn't there, and a link at similarity 0.8 escapes the bands with
 probability (1 - 0.8**6)**42, about 3 in a million (less at higher similarity).
 
 Documents with the same set form a class; only one document of a class goes
-further. Classes that share a band are compared by their sketches (one byte of
+further. Classes that share a band are compared by their sketches (four bits of
 each bin): pairs whose bins agree in fewer than ``LIKELY`` of 256 places are let
 go (at similarity 0.8 that is six standard deviations off), the others join
 classes to clusters. So a cluster holds what is nearly alike, and clusters don't
@@ -44,10 +44,10 @@ from weftline.llm import words as W
 from weftline.llm.components import connected
 
 BINS, BANDS, BAND_BINS = 256, 42, 6
-CELL_CLASSES, CELL_SHINGLES = 128, 1 << 20
+CELL_CLASSES, CELL_SHINGLES = 64, 1 << 20
 #: Bins of two sketches that agree in a pair worth an exact comparison; classes of a band that are compared pair by
 #: pair; members of bands, and pairs, that a task compares at once.
-LIKELY, BAND_CLASSES, BAND_MEMBERS, PAIRS = 166, 512, 50_000, 1 << 15
+LIKELY, BAND_CLASSES, BAND_MEMBERS, PAIRS = 170, 512, 50_000, 1 << 15
 
 
 def shingle_sets(block: W.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def _row() -> Column:
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, row, n_shingles, cls (128 bits that stand for the set), bands, bins
-    (a byte of each bin). docs: doc_id, row, text."""
+    (four bits of each bin). docs: doc_id, row, text."""
     names = ["doc_id", "row"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,8 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             for batch in W.slices(whole):
                 key, first = shingle_sets(W.Block(batch.column("text"), lower=True), size)
                 made = sketches(key, first)
-                bands, bins = band_keys(made), W.mix(made, 5).astype(np.uint8)
+                bands, low = band_keys(made), (W.mix(made, 5) & np.uint64(15)).astype(np.uint8)
+                bins = low[:, ::2] << 4 | low[:, 1::2]
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(set_classes(key, first), pa.binary()), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (bands, bins))], [*names, "n_shingles", "cls", "bands", "bins"])
 
@@ -141,7 +142,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def alike(band: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (place, place) of a forest of the likely pairs of each band; band: ascending."""
+    """Links (place, place) of a forest of the likely pairs of each band; band: ascending; bins: one in each column."""
     first = np.flatnonzero(np.diff(band, prepend=band[0] - 1)) if len(band) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(band)))
     later = np.repeat(first + size, size) - np.arange(len(band)) - 1  # members of its band after each place
@@ -179,19 +180,23 @@ def _band_links(classes: DataFrame) -> DataFrame:
 
     rows = classes.select("cls", "bands").mapInArrow(unpack, "band long, cls binary")
     own = F.xxhash64("cls")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.sum(F.shiftright(own, 32)).alias("sum"), F.bit_xor(own).alias("all")).filter("n > 1")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("low"), F.bit_xor(own).alias("all")).filter("n > 1")
     # of the bands that the same classes share, one
-    once = X.cut(shared.groupBy("n", "low", "sum", "all").agg(F.min("band").alias("band")).select("band", "n", "low"))
-    members = X.cut(rows.join(once, "band"))
-    star = members.filter((F.col("n") > BAND_CLASSES) & (F.col("cls") != F.col("low"))).select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    once = X.cut(shared.groupBy("n", "low", "all").agg(F.min("band").alias("band")).select("band", "n", "low"))
+    members = rows.join(once, "band")
     few = members.filter(F.col("n") <= BAND_CLASSES).select("band", "cls")
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-few.count() // BAND_MEMBERS))
+    in_few = once.filter(F.col("n") <= BAND_CLASSES).agg(F.sum("n")).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-in_few // BAND_MEMBERS))
+    # a larger band's classes join the one with the smallest hash
+    many = members.filter(F.col("n") > BAND_CLASSES).select("band", "cls", (own == F.col("low")).alias("first"))
+    center = many.filter("first").groupBy("band").agg(F.min("cls").alias("b"))
+    star = many.join(center, "band").filter("cls <> b").select(F.col("cls").alias("a"), "b")
 
     def compare(table: pa.Table) -> pa.Table:
         band = np.asarray(table.column("band"))
         order = np.argsort(band, kind="stable")
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order]
-        i, j = alike(band[order], bins)
+        both = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS // 2)[order]
+        i, j = alike(band[order], np.concatenate([both >> 4, both & 15], axis=1))
         cls = table.column("cls").combine_chunks()
         return pa.table({"a": cls.take(pa.array(order[i])), "b": cls.take(pa.array(order[j]))})
 
@@ -236,9 +241,9 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _exact_links(docs: DataFrame, cells: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links of a spanning forest of each cell. cells: node, row, cluster, i, j,
-    side; the cell i = j compares its nodes with each other, others side 0 with side 1."""
+def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """members (node, row and more) with the shingle set of each, less row. docs: row, text."""
+    rest = [c for c in members.columns if c not in ("node", "row")]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # rows that repeat id and text are sent once by a task
@@ -250,12 +255,15 @@ def _exact_links(docs: DataFrame, cells: DataFrame, size: int, percent: int) ->
                 for x, y in zip(set_classes(key, first), batch.column("node").to_pylist(), strict=True):
                     good.append(x == y and y not in seen)
                     seen.add(y)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cells"), pa.array(own, pa.binary())], ["node", "cells", "set"]).filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", *rest)), pa.array(own, pa.binary())], ["node", *rest, "set"]).filter(pa.array(good))
+
+    texts = docs.select("row", "text").join(members, "row").select("text", "node", *rest)
+    return texts.mapInArrow(sets, members.select("node", *rest).schema.add("set", "binary"))
 
-    places = cells.groupBy("node", "row").agg(F.collect_list(F.struct("cluster", "i", "j", "side")).alias("cells"))
-    texts = docs.select("row", "text").join(places, "row").select("text", "node", "cells")
-    schema = places.select("node", "cells").schema.add("set", "binary")
-    rows = texts.mapInArrow(sets, schema).select("node", "set", F.explode("cells").alias("c")).select("node", "set", "c.*")
+
+def _exact_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Links of a spanning forest of each cell. cells: node, set, cluster, i, j,
+    side; the cell i = j compares its nodes with each other, others side 0 with side 1."""
 
     def compare(table: pa.Table) -> pa.Table:
         held: dict[tuple[int, bytes], bytes] = dict(zip(zip(table.column("side").to_pylist(), table.column("node").to_pylist(), strict=True), table.column("set").to_pylist(), strict=True))
@@ -273,7 +281,7 @@ def _exact_links(docs: DataFrame, cells: DataFrame, size: int, percent: int) ->
         pairs = [(nodes[k], nodes[x]) for k, x in enumerate(_forest(linked).tolist()) if nodes[k] != nodes[x]]
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return cells.select("node", "set", "cluster", "i", "j", "side").groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def _components(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
@@ -288,29 +296,30 @@ def _components(docs: DataFrame, signed: DataFrame, size: int, percent: int) ->
     blocks = F.greatest(F.ceil(F.col("members") / CELL_CLASSES), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
     members = clusters.join(size_of.select("cluster", blocks.alias("blocks")), "cluster")
     members = members.select("node", "cluster", "row", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    members = X.cut(_sets(docs, members, size))
     # round 1: each block with itself, and with the first
     cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     own, one = F.col("own"), F.lit(1)
     others = F.transform(F.when(F.col("blocks") > 1, F.sequence(one, F.col("blocks") - 1)).otherwise(F.array().cast("array<int>")), lambda j: cell(F.lit(0), j, 0))
     places = F.concat(F.array(cell(own, own, 0)), F.when(own == 0, others).otherwise(F.array(cell(F.lit(0), own, 1))))
-    cells = members.select("node", "row", "cluster", F.explode(places).alias("c")).select("node", "row", "cluster", "c.*")
-    links = X.cut(_exact_links(docs, cells, size, percent))
+    links = X.cut(_exact_links(members.withColumn("c", F.explode(places)).select("node", "set", "cluster", "c.*"), percent))
     # round 2: where there are three blocks or more, what isn't in the main component with all blocks
     large = members.filter("blocks > 2")
     if not large.isEmpty():
-        roots = connected(links)
-        large = X.cut(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        sizes = large.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+        roots = connected(links).withColumnRenamed("node", "_node")
+        known = large.select("node", "cluster").join(roots, F.col("node") == F.col("_node"), "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
+        known = X.cut(known)
+        sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
         main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("best"), F.sum("n").alias("all"))
         rest_blocks = F.ceil((F.col("all") - F.col("best.n")) / CELL_CLASSES).cast("int")
         main = main.select("cluster", F.col("best.root").alias("main"), rest_blocks.alias("rest")).filter("rest > 0")
-        open_ = large.join(main, "cluster")
-        left = open_.filter("root <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rest")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_ = known.join(main, "cluster").select("node", "rest", (F.col("root") != F.col("main")).alias("apart"))
+        open_ = large.join(open_, "node")
+        left = open_.filter("apart").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rest")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         right = open_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rest") - 1))).withColumn("j", F.col("own"))
         cells = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
         # block numbers of the left are kept apart from those of the right, so no cell is one block with itself
-        cells = cells.select("node", "row", "cluster", (-1 - F.col("i")).alias("i"), "j", "side")
-        links = links.unionByName(X.cut(_exact_links(docs, cells, size, percent)))
+        links = links.unionByName(X.cut(_exact_links(cells.withColumn("i", -1 - F.col("i")), percent)))
     roots = X.cut(connected(links))
     return classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
@@ -331,14 +340,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def surplus_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """row of all rows but one of each group; ``row`` (a long) tells the rows of
-    docs apart. The one has the smallest id; a missing id comes last."""
+    docs apart, or rows that are the same share it. The one has the smallest id;
+    a missing id comes last."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text")
     signed = X.cut(_signed(docs, size))
     some = signed.filter("n_shingles > 0")
     roots = _components(docs, signed, size, percent).select("cls", "root")
     best = some.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "row")).alias("best"))
     stay = best.join(roots, "cls").groupBy("root").agg(F.min("best").alias("best")).select("best.row")
-    return some.select("row").join(stay, "row", "left_anti")
+    return some.select("row").distinct().join(stay, "row", "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
