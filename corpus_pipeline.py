@@ -58,16 +58,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that with the smallest id
-    (operator 8: five words, 0.8). Rows are told apart by a number that is
-    written down with them.
+    (operator 8: five words, 0.8). Rows are told apart by a hash of all five
+    columns, and of rows that are the same in all five one stays.
 
     Texts without words (or null) are copies of nothing and stay. A missing id
-    comes after all others; of rows with one id, or of repeated rows, one of
-    the group stays, whichever has the smallest set digest and number."""
-    path = exchange.scratch(spark, "rows")
-    _documents(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    return rows.join(minhash_dedup.surplus_rows(rows, size=5, percent=80), "row", "left_anti").select(*COLUMNS)
+    comes after all others; of rows with one id the one with the smallest set
+    digest and row hash stays."""
+    rows = _documents(docs).withColumn("row", F.xxhash64(*COLUMNS))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    apart = rows.filter(worded).dropDuplicates(["row"])
+    kept = apart.join(minhash_dedup.surplus_rows(rows, size=5, percent=80), "row", "left_anti")
+    return kept.unionByName(rows.filter(~worded)).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
