@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,13 +18,11 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
 
 def shown(column: Column | str, kind: T.DataType) -> Column:
-    """A value as text the same way in every engine: doubles with at most two
-    decimals and no exponent, dates in ISO form, bytes as UTF-8."""
+    """A value as text that gives the same value back: doubles with all their
+    digits, times in ISO form with what fractions they have, bytes as UTF-8."""
     c = F.col(column) if isinstance(column, str) else column
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.cast("decimal(38,2)").cast("string")
-    if isinstance(kind, T.TimestampType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
     if isinstance(kind, T.BinaryType):
         return F.decode(c, "UTF-8")
     return c.cast("string")
@@ -99,5 +99,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def fields(document: Column) -> Column:
+    """array<struct<key, value>> of a document's ``key: value`` parts between
+    bars, each key once at its first place with its last value."""
+    parts = F.filter(F.transform(F.split(F.coalesce(document, F.lit("")), r"\|"), F.trim), lambda p: F.contains(p, F.lit(":")))
+    named = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.substr(p, F.instr(p, ":") + 1)).alias("value")))
+    keys = F.array_distinct(F.transform(named, lambda p: p["key"]))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(named, lambda p: p["key"] == k), -1)["value"].alias("value")))
+
+
+def shown_fields(found: Column) -> Column:
+    """Fields without those that are never shown."""
+    hidden = lambda k: reduce(lambda a, b: a | b, [F.contains(F.lower(k), F.lit(part)) for part in HIDDEN_PARTS])
+    return F.filter(found, lambda p: ~hidden(p["key"]))
+
+
 def visible(columns: list[str]) -> list[str]:
     return [c for c in columns if not any(part in c.lower() for part in HIDDEN_PARTS)]

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +14,6 @@ from pyspark.sql import types as T
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 
-#: Bytes of query vectors that may be broadcast at once; more go in several blocks.
-QUERY_BYTES = 32 << 20
-
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 8, threshold: float | None = None, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """id, similarity (0 at least), distance of the k rows nearest to one query
@@ -29,107 +27,197 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 8, threshold: float |
     return out if threshold is None else out.filter(F.col("similarity") >= threshold)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, id, rank, similarity: the k nearest rows (other than the query's
-    own id) of every row of queries. Query blocks of bounded bytes are
-    broadcast; each task keeps k rows per query, a window merges the tasks."""
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", embedding: str = "embedding", query_col: str | None = None, threshold: float | None = None) -> DataFrame:
+    """query_id, id, rank, similarity: the k nearest rows of every row of queries,
+    other than the row's own if both tables have the same ids (``query_col`` not
+    given). Rows under the threshold go after the cut. Vectors that are null,
+    hold nulls or differ in length from the query's take no part.
+
+    Queries are packed into blocks and rows into shards on the executors; a grid
+    of tiles brings each block and each shard together, a tile keeps k rows of
+    each query, and a window merges the tiles. Nothing passes the driver."""
     spark = vectors.sparkSession
-    asked = queries.filter(F.col(embedding).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("q"), F.col(embedding).cast("array<double>").alias("e"))
-    size = asked.agg(F.sum(8 * F.size("e") + 8).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size // QUERY_BYTES))
-    lists = []
-    for number in range(parts):
-        rows = asked.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == number).collect()
-        if not rows:
-            continue
-        block = (np.array([r["q"] for r in rows]), _unit(np.array([r["e"] for r in rows], dtype=np.float64)))
-        lists.append(_search_block(vectors, spark.sparkContext.broadcast(block), k, id_col, embedding))
-    if not lists:
-        return spark.createDataFrame([], f"query_id long, {id_col} long, rank int, similarity double")
-    found = lists[0]
-    for more in lists[1:]:
-        found = found.unionByName(more)
+    key = query_col or id_col
+    asked = _packed(_vectors(queries, key, embedding, "long").repartition(F.col("id")), "q", QUERY_BLOCK)
+    stored = _packed(_vectors(vectors, id_col, embedding, vectors.schema[id_col].dataType), "v", SHARD_BLOCK)
+    columns = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    stored = stored.withColumn("column", F.pmod(F.xxhash64("v_data"), F.lit(columns)).cast("int"))
+    tiles = stored.join(asked, "column").filter("q_dim = v_dim").drop("column", "q_dim")
+    kind = vectors.schema[id_col].dataType.simpleString()
+    found = tiles.mapInArrow(_tile_search(k, query_col is None, id_col), f"query_id long, {id_col} {kind}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(id_col))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", id_col, "rank", "similarity")
+    out = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", id_col, "rank", "similarity")
+    return out if threshold is None else out.filter(F.col("similarity") >= threshold)
+
+
+#: Rows of a block of queries and of a shard.
+QUERY_BLOCK, SHARD_BLOCK = 256, 4096
+
+
+def _vectors(rows: DataFrame, id_col: str, embedding: str, kind) -> DataFrame:
+    whole = F.col(embedding).isNotNull() & F.coalesce(~F.exists(embedding, lambda x: x.isNull()), F.lit(False))
+    return rows.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("id"), F.col(embedding).cast("array<double>").alias("e"))
+
+
+def _packed(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """Blocks of up to ``most`` unit vectors of one length: dim, ids (array) and data."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, e = batch.column("id"), batch.column("e")
+            size = np.asarray(e.value_lengths()).astype(np.int64)
+            flat, first = np.asarray(e.flatten(), dtype=np.float64), np.cumsum(size) - size
+            for dim in np.unique(size).tolist():
+                own = np.flatnonzero(size == dim)
+                for at in range(0, len(own), most):
+                    part = own[at : at + most]
+                    data = _unit(flat[first[part][:, None] + np.arange(dim)[None, :]])
+                    held = ids.take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), held), pa.array([data.tobytes()], pa.binary())], [f"{name}_dim", f"{name}_ids", f"{name}_data"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(pack, f"{name}_dim int, {name}_ids array<{kind}>, {name}_data binary")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-10)
 
 
-def _search_block(vectors: DataFrame, shared, k: int, id_col: str, embedding: str) -> DataFrame:
+def _tile_search(k: int, others_only: bool, id_col: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, probes = shared.value
         for batch in batches:
-            own = batch.column("id").to_numpy(zero_copy_only=False)
-            rows = np.array(batch.column("e").to_pylist(), dtype=np.float64)
-            if not len(own):
-                continue
-            for at in range(0, len(ids), 256):
-                sims = np.maximum(probes[at : at + 256] @ _unit(rows).T, 0.0)
-                sims[ids[at : at + 256, None] == own[None, :]] = -1
+            for r in range(batch.num_rows):
+                dim = batch.column("v_dim")[r].as_py()
+                ids, own = batch.column("q_ids")[r].values, batch.column("v_ids")[r].values
+                q, v = (np.frombuffer(batch.column(c)[r].as_buffer(), np.float64).reshape(-1, dim) for c in ("q_data", "v_data"))
+                turn = np.argsort(np.asarray(own.to_pylist()), kind="stable")  # ties go to the smaller id
+                own, v = own.take(pa.array(turn)), v[turn]
+                sims = np.maximum(q @ v.T, 0.0)
+                if others_only:
+                    sims[np.asarray(ids)[:, None] == np.asarray(own)[None, :]] = -1
+                rounded = np.round(sims, 12)
                 take = min(k, len(own))
-                q, c, s = [], [], []
-                for i, row in enumerate(np.round(sims, 12)):
-                    pick = np.lexsort((own, -row))[:take]
-                    pick = pick[row[pick] >= 0]
-                    q.append(np.full(len(pick), ids[at + i]))
-                    c.append(own[pick])
-                    s.append(sims[i, pick])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, c, s)], ["query_id", id_col, "similarity"])
-
-    slim = vectors.filter(F.col(embedding).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
-    return slim.mapInArrow(search, f"query_id long, {id_col} long, similarity double")
-
-
-def bm25_statistics(docs: DataFrame, terms: list[str], text: str = "text") -> dict:
-    """Documents, mean length and document frequency of some terms, in one pass."""
-    own = docs.select(tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    counts = [F.sum(F.array_contains("t", t).cast("long")).alias(f"d{i}") for i, t in enumerate(terms)]
-    row = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"), *counts).first()
+                edge = -np.partition(-rounded, take - 1, axis=1)[:, take - 1] if take else np.zeros(len(q))
+                at, place = [], []
+                for i in range(len(q)):
+                    some = np.flatnonzero(rounded[i] >= edge[i])
+                    some = some[np.argsort(-rounded[i, some], kind="stable")][:take]
+                    some = some[rounded[i, some] >= 0]
+                    at.append(np.full(len(some), i))
+                    place.append(some)
+                at, place = np.concatenate(at), np.concatenate(place)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), own.take(pa.array(place)), pa.array(sims[at, place])], ["query_id", id_col, "similarity"])
+
+    return search
+
+
+def bm25_statistics(counted: DataFrame, terms: list[str]) -> dict:
+    """Documents, mean length and document frequency of the terms of ``term_counts``."""
+    row = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     return {"n": row["n"], "mean": row["mean"] or 0.0, "df": {t: row[f"d{i}"] or 0 for i, t in enumerate(terms)}}
 
 
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
+def term_counts(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, length (tokens) and tf (how often each of the terms stands in the text), of every document."""
+    own = docs.select(id_col, tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    # one look at each token: those that are terms, as their places among the terms
+    places = F.filter(F.transform("_t", lambda x: F.array_position(F.lit(terms), x)), lambda p: p > 0)
+    slim = own.select(id_col, F.size("_t").alias("length"), places.alias("_p"))
+    return slim.select(id_col, "length", F.array(*[F.size(F.filter("_p", _equals_place(i + 1))) for i in range(len(terms))]).alias("tf"))
+
+
+def _equals_place(place: int):
+    return lambda x: x == F.lit(place)
 
 
 def bm25(docs: DataFrame, query_tokens: list[str], k: int | None = 10, id_col: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """id, score of the documents with a query token, best first. A token that
-    stands twice in the query counts twice."""
+    stands twice in the query counts twice. The corpus is tokenised once: the
+    counts of the query's terms are written down, statistics and scores come
+    from them."""
     terms = list(dict.fromkeys(query_tokens))
     spark = docs.sparkSession
     if not terms:
         return spark.createDataFrame([], T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())]))
-    stats = bm25_statistics(docs, terms, text)
-    own = docs.select(id_col, tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    length = F.size("t") / F.lit(stats["mean"] or 1.0)
+    counted = written(term_counts(docs, terms, id_col, text))
+    stats = bm25_statistics(counted, terms)
+    length = F.col("length") / F.lit(stats["mean"] or 1.0)
     score = F.lit(0.0)
     for term in query_tokens:
         df = stats["df"][term]
         idf = float(np.log((stats["n"] - df + 0.5) / (df + 0.5) + 1.0))
-        tf = F.size(F.filter("t", _equals(term))).cast("double")
+        tf = F.col("tf")[terms.index(term)].cast("double")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
-    hits = own.filter(F.arrays_overlap("t", F.array(*[F.lit(t) for t in terms]))).select(id_col, score.alias("score"))
+    hits = counted.filter(F.exists("tf", lambda n: n > 0)).select(id_col, score.alias("score"))
     return hits if k is None else hits.orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index: term, id, tf, length."""
-    own = docs.select(id_col, tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("length", F.size("t"))
-    return own.select(id_col, "length", F.explode("t").alias("term")).groupBy("term", id_col, "length").agg(F.count(F.lit(1)).alias("tf"))
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder once and read from there."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or rows.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints")
+    return rows.checkpoint()
+
+
+#: Bytes of distinct query terms in one pass of ``bm25_batch``; more take several passes over the postings.
+TERM_BYTES = 8 << 20
+
+
+def postings(docs: DataFrame, terms: set[str] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The inverted index: term, id, tf, length; of some terms only, if given.
+    A document's tokens are counted where it is read, so no token is shuffled."""
+    own = docs.select(id_col, tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if shared.value is None else pa.array(sorted(shared.value), pa.string())
+        for batch in batches:
+            lists = batch.column("_t")
+            length = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            doc, token = np.repeat(np.arange(len(length)), length), lists.flatten()
+            if asked is not None:
+                code = pc.index_in(token, asked)
+                known = np.asarray(code.is_valid())
+                doc, code, names = doc[known], np.asarray(code.drop_null()).astype(np.int64), asked
+            else:
+                coded = token.dictionary_encode()
+                code, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+            pair, tf = np.unique(doc * max(1, len(names)) + code, return_counts=True)
+            doc, code = pair // max(1, len(names)), pair % max(1, len(names))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(code)), batch.column(id_col).take(pa.array(doc)), pa.array(length[doc], pa.int32()), pa.array(tf, pa.int64())], ["term", id_col, "length", "tf"])
+
+    return own.mapInArrow(count, f"term string, {id_col} {kind}, length int, tf long")
 
 
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, id, rank, score for each row of queries (query_id, text): the
-    query's terms meet the index by an equi-join on the term."""
-    index = postings(docs, id_col, text)
-    size = docs.select(F.size(tx.tokens(F.coalesce(F.col(text), F.lit("")))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    """query_id, id, rank, score for each row of queries (query_id, text).
+
+    Of the corpus only the postings of the queries' terms are kept, counted
+    where the documents are read and written down once. Terms of at most
+    TERM_BYTES are looked for at a time. Scores are summed per query and
+    document with partial sums on each task."""
+    spark = docs.sparkSession
     asked = queries.select("query_id", F.explode(tx.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = written(asked)
+    distinct = asked.select("term").distinct()
+    size = distinct.agg(F.sum(F.octet_length("term") + 8).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // TERM_BYTES))
+    lists = []
+    for number in range(parts):
+        own = {r["term"] for r in distinct.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == number).toLocalIterator()}
+        lists.append(written(postings(docs, own, id_col, text)))
+    index = lists[0]
+    for more in lists[1:]:
+        index = index.unionByName(more)
+    stats = docs.select(F.size(tx.tokens(F.coalesce(F.col(text), F.lit("")))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = asked.join(df, "term").withColumn("idf", F.log((F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).select("query_id", "term", "times", "idf")
+    weight = asked.join(df, "term").withColumn("idf", F.log((F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).select("query_id", "term", "times", "idf")
     tf = F.col("tf").cast("double")
-    part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(size["mean"] or 1.0)))
+    part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(stats["mean"] or 1.0)))
     scored = index.join(weight, "term").groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
     # sums differ in their last bits with the order of the terms: equal to six decimals is equal
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.asc(id_col))
