@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from weftline.operators import profile
 from weftline.plans import rag
 from weftline.sources import collection as co
 from weftline.sources import sinks
+from weftline.sources import strategies as st
 from weftline.sources import tables as ta
 from weftline.streaming import cdc
 
@@ -131,6 +133,54 @@ def test_collection_versions_upsert_delete(spark, tmp_path):
     assert sorted(r["id"] for r in box.read().collect()) == ["2", "3"]
 
 
+def test_writers_and_buckets(spark, tmp_path):
+    """A change rewrites its buckets only; of two writers that began together the second fails; the first to arrive wins."""
+    box = co.Collection(spark, str(tmp_path / "c"), buckets=8)
+    rows = lambda *x: spark.createDataFrame([(i, None, d, {"rowid": i}) for i, d in x], co.COLLECTION).coalesce(1)
+    box.replace(rows(*[(str(i), "a") for i in range(50)]))
+    before = box._manifest(box.version())["files"]
+    box.change(rows(("7", "z"), ("7", "b")), spark.createDataFrame([("7",), ("404",)], "id string"))
+    after = box._manifest(box.version())["files"]
+    assert sum(before[k] != after[k] for k in before) <= 2
+    assert {r["id"]: r["document"] for r in box.read().collect()} == {**{str(i): "a" for i in range(50)}, "7": "z"}
+    stale = co.Collection(spark, str(tmp_path / "c"))
+    stale.version = lambda now=box.version(): now
+    box.upsert(rows(("1", "mine")))
+    with pytest.raises(co.OtherWriter):
+        stale.upsert(rows(("1", "late")))
+    assert {r["document"] for r in box.read().filter("id = '1'").collect()} == {"mine"}
+
+
+def test_chunks_move_fail_and_are_reset(spark):
+    log = spark.createDataFrame([(0, "running", 1, None), (0, "done", 2, None), (1, "running", 1, None), (1, "failed", 3, "boom"), (2, "running", 4, None), (3, "running", 1, None), (3, "failed", 2, "x"), (3, "running", 3, None), (3, "failed", 4, "y")], "chunk_id long, status string, at long, error string")
+    assert sorted((r["chunk_id"], r["attempts"], r["error"]) for r in co.failed_chunks(log).collect()) == [(1, 1, "boom"), (3, 2, "y")]
+    assert [r["chunk_id"] for r in co.to_retry(log, 2).collect()] == [1]
+    assert [tuple(r) for r in co.reset(log, F.lit(9)).collect()] == [(2, "pending", 9, None)]
+    some = spark.range(5).withColumnRenamed("id", "chunk_id")
+    assert sorted(r["chunk_id"] for r in co.moved(log, some, "running", F.lit(9)).collect()) == [1, 3, 4]
+    assert sorted(r["chunk_id"] for r in co.moved(log, some, "done", F.lit(9)).collect()) == [2]
+
+
+def test_newest_strategy(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    assert st.newest(spark, folder) is None
+    with pytest.raises(st.NoStrategy):
+        st.load(spark, folder, "a")
+    st.save(spark, folder, Strategy("id", "old"), "a", 1.0)
+    st.save(spark, folder, Strategy("id", "new"), "a", 2.0)
+    st.save(spark, folder, Strategy("id", "other"), "b", 3.0)
+    assert (st.load(spark, folder, "a").template, st.load(spark, folder).template) == ("new", "other")
+
+
+def test_row_texts_lose_nothing(spark):
+    values = [0.001, 1234.56789, 1e300, -0.1, float("nan"), float("inf"), 1e-7, None]
+    df = spark.createDataFrame([(i, v, f"n{i}", datetime(2024, 1, 2, 3, 4, 5, 678 if i else 0)) for i, v in enumerate(values)], "id int, price double, name string, created timestamp")
+    strategy = Strategy("id", "", ["name"], ["price"], ["id"], ["created"])
+    texts = df.select(F.col("id").cast("string").alias("id"), tx.serialize(df, strategy).alias("document"))
+    got = {r["id"]: (str(r["price"]), r["created"]) for r in tx.parse(texts, strategy, kinds={"created": "timestamp", "id": "int"}, with_dates=True).collect()}
+    assert got == {r["id"]: (str(r["price"]), r["created"]) for r in df.collect()}
+
+
 def test_resume_keeps_zero_and_drops_null(spark):
     rows = spark.createDataFrame([(0,), (1,), (None,), (2,)], "id int")
     done = spark.createDataFrame([("1",)], "row_id string")

@@ -73,19 +73,19 @@ def spark_type(sql: str) -> T.DataType:
     return {"INTEGER": T.LongType(), "REAL": T.DoubleType()}.get(sql, T.StringType())
 
 
-def infer_types(documents: DataFrame, strategy: Strategy, samples: int = 200, catalog: T.StructType | None = None) -> dict[str, str]:
+def infer_types(documents: DataFrame, strategy: Strategy, samples: int | None = None, catalog: T.StructType | None = None) -> dict[str, str]:
     """Types of the strategy's columns: from the source's schema where there is
-    one, else from up to ``samples`` documents. Numeric columns: none seen or a
-    point anywhere REAL, anything that is no number TEXT, else INTEGER."""
+    one, else from all documents (or ``samples`` of them). Numeric columns: none seen or a
+    point or exponent anywhere REAL, anything that is no number TEXT, else INTEGER."""
     cols = strategy.all_cols()
     out = {c: t for c, t in (sql_types(catalog) if catalog else {}).items() if c in cols}
     left = [c for c in strategy.numeric_cols if c not in out]
     if left:
-        found = documents.limit(samples).select(tx.pairs(F.col("document")).alias("p"))
+        found = (documents if samples is None else documents.limit(samples)).select(tx.pairs(F.col("document")).alias("p"))
         values = [F.trim(tx.last_value(F.col("p"), c)).alias(c) for c in left]
         blank = lambda c: F.col(c).isNull() | F.lower(c).isin("", "none", "null")
         row = found.select(*values).agg(*[e for c in left for e in (
-            F.count_if(~blank(c)).alias(f"{c}.n"), F.count_if(~blank(c) & F.col(c).try_cast("double").isNull()).alias(f"{c}.odd"), F.count_if(~blank(c) & F.contains(c, F.lit("."))).alias(f"{c}.point"))]).first()
+            F.count_if(~blank(c)).alias(f"{c}.n"), F.count_if(~blank(c) & F.col(c).try_cast("double").isNull()).alias(f"{c}.odd"), F.count_if(~blank(c) & F.col(c).rlike(r"(?i)[.e]|inf|nan")).alias(f"{c}.point"))]).first()
         for c in left:
             n, odd, point = (row[f"{c}.{x}"] for x in ("n", "odd", "point"))
             out[c] = "REAL" if not n else "TEXT" if odd else "REAL" if point else "INTEGER"

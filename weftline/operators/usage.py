@@ -33,29 +33,27 @@ def summary(events: DataFrame, hours: int = 24) -> DataFrame:
     )
 
 
-def p95_latency(events: DataFrame) -> DataFrame:
-    """Nearest rank by truncation among uncached events: the value at place
-    min(int(0.95 n), n - 1) from 0; no events: 0. The values are first counted
-    per distinct value, so the sort is over a histogram."""
-    from pyspark.sql import Window
-
-    counted = events.filter(~F.col("cache_hit")).groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    place = min(total * 95 // 100, total - 1)
-    # ranges of the values, each range's count, then only the range that holds the place is sorted
-    run = Window.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    edges = counted.approxQuantile("latency_ms", [i / 64 for i in range(65)], 1 / 256) if total else []
-    if not edges:
-        return counted.agg(F.lit(0.0).alias("p95_ms"))
-    number = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e < F.col("latency_ms")))
-    sized = sorted((r["k"], r["n"]) for r in counted.groupBy(number.alias("k")).agg(F.sum("n").alias("n")).collect())
-    before = 0
-    for k, n in sized:
-        if before + n > place:
-            break
-        before += n
-    inner = counted.filter(number == k).withColumn("upto", F.sum("n").over(run) + before)
-    return inner.filter(F.col("upto") > place).agg(F.round(F.min("latency_ms"), 1).alias("p95_ms"))
+def p95_latency(events: DataFrame, bins: int = 1024, most: int = 100_000) -> DataFrame:
+    """Nearest rank by truncation among uncached events with a finite latency:
+    the value at place min(int(0.95 n), n - 1) from 0; no events: 0. Counts in
+    ``bins`` ranges tell which range holds the place, and so on within it until
+    it has ``most`` events at most or a single value; only that range is sorted."""
+    x = F.col("latency_ms").cast("double")
+    own = events.filter(~F.col("cache_hit") & F.coalesce(F.abs(x) < float("inf"), F.lit(False))).select(x.alias("x"))
+    n, low, high = own.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return events.agg(F.lit(0.0).alias("p95_ms"))
+    place, size = min(n * 95 // 100, n - 1), n
+    while size > most and low < high:
+        number = F.least(F.floor((F.col("x") - low) / (high - low) * bins), F.lit(bins - 1))
+        ranges = own.groupBy(number.alias("k")).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for r in sorted(ranges.collect(), key=lambda r: r["k"]):
+            if place < r["n"]:
+                break
+            place -= r["n"]
+        size, low, high = r["n"], r["low"], r["high"]
+        own = own.filter(F.col("x").between(low, high))
+    return own.orderBy("x").offset(place).limit(1).agg(F.round(F.min("x"), 1).alias("p95_ms"))
 
 
 def _by_query(events: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ WITH k AS (SELECT count(DISTINCT c_mktsegment) / count(c_mktsegment) > 0.3 AS me
 SELECT c_custkey, concat_ws(' | ', 'c_name: ' || coalesce(c_name, 'None'),
   CASE WHEN meant THEN 'c_mktsegment: ' || coalesce(c_mktsegment, 'None') END,
   'c_custkey: ' || c_custkey, 'c_nationkey: ' || coalesce(CAST(c_nationkey AS VARCHAR), 'None'),
-  'c_acctbal: ' || coalesce(CAST(CAST(c_acctbal AS DECIMAL(38, 2)) AS VARCHAR), 'None'),
+  'c_acctbal: ' || coalesce(CAST(c_acctbal AS VARCHAR), 'None'),
   CASE WHEN NOT meant THEN 'c_mktsegment: ' || coalesce(c_mktsegment, 'None') END) AS document
 FROM customer, k
 """
@@ -37,10 +37,10 @@ def parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = rows.select(F.col("c_custkey").cast("string").alias("id"), tx.serialize(rows, strategy).alias("document"))
     kinds = {"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"}
     back = tx.parse(texts, strategy, kinds=kinds)
-    return back.select("c_custkey", "c_name", "c_nationkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+    return back.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-PARSE_ROUNDTRIP = "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer"
+PARSE_ROUNDTRIP = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
 
 def column_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,19 +97,20 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM (
 
 
 def upsert_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection of orders after the orders of the second half of the keys came in again with other texts."""
+    """A collection of orders after the finished ones came in again, each twice: the text that came first counts."""
     orders = table(spark, sf_dir, "orders")
     entry = lambda text: [F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("array<float>").alias("embedding"), text.alias("document"), F.create_map(F.lit("source"), F.lit("orders")).alias("metadata")]
     old = orders.select(*entry(F.col("o_orderstatus")))
     new = orders.filter("o_orderstatus = 'F'").select(*entry(F.concat("o_orderstatus", F.lit("*"), "o_orderpriority")))
-    return co.upserted(old, new).select("id", "document")
+    again = new.withColumn("document", F.lit("late")).withColumn("at", F.lit(2))
+    return co.upserted(old, again.unionByName(new.withColumn("at", F.lit(1))), "at").select("id", "document")
 
 
 UPSERT_APPLY = "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'F' THEN 'F*' || o_orderpriority ELSE o_orderstatus END AS document FROM orders"
 
 
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders without a line shipped in time: those still to do."""
+    """Orders without a line of more than 45 pieces: those still to do."""
     done = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("row_id"))
     return co.unprocessed(table(spark, sf_dir, "orders"), done, "o_orderkey").select("o_orderkey", "o_orderstatus")
 
@@ -138,11 +139,13 @@ def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of the customer columns as the texts alone tell them."""
     rows = table(spark, sf_dir, "customer")
     strategy = profile.classify(rows)
-    kinds = profile.infer_types(rows.orderBy("c_custkey").select(tx.serialize(rows, strategy).alias("document")), strategy)
+    kinds = profile.infer_types(rows.select(tx.serialize(rows, strategy).alias("document")), strategy)
     return spark.createDataFrame(sorted(kinds.items()), "column_name string, sql_type string")
 
 
-INFER_TYPES = "SELECT * FROM (VALUES ('c_acctbal', 'REAL'), ('c_custkey', 'INTEGER'), ('c_mktsegment', 'TEXT'), ('c_name', 'TEXT'), ('c_nationkey', 'INTEGER')) t(column_name, sql_type)"
+INFER_TYPES = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CASE WHEN count({c}) = 0 OR bool_or(contains(CAST({c} AS VARCHAR), '.')) THEN 'REAL' ELSE 'INTEGER' END AS sql_type FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")
+) + " UNION ALL " + " UNION ALL ".join(f"SELECT column_name, 'TEXT' AS sql_type FROM (DESCRIBE customer) WHERE column_name = '{c}' AND column_type = 'VARCHAR'" for c in ("c_name", "c_mktsegment"))
 
 
 def cdc_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +176,33 @@ def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNK_STATUS = "SELECT status, count(*) AS chunks FROM (SELECT floor(o_orderkey / 100) AS c, max_by(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY c) GROUP BY status"
 
 
+def chunk_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed chunks to try again, of a log made of the orders: priorities of chunks of ten keys
+    are what happened to them in turn."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.element_at(F.create_map(*[F.lit(x) for x in ("1-URGENT", "running", "2-HIGH", "failed", "3-MEDIUM", "running", "4-NOT SPECIFIED", "failed", "5-LOW", "done")]), F.col("o_orderpriority"))
+    log = orders.select(F.floor(F.col("o_orderkey") / 10).alias("chunk_id"), status.alias("status"), F.col("o_orderkey").alias("at"), F.concat(F.lit("order "), "o_orderkey").alias("error"))
+    return co.to_retry(log, 5).select("chunk_id", "attempts", "error")
+
+
+CHUNK_RETRY = """
+WITH l AS (SELECT floor(o_orderkey / 10) AS chunk_id, o_orderkey AS k, CASE WHEN o_orderpriority IN ('1-URGENT', '3-MEDIUM') THEN 'running' WHEN o_orderpriority = '5-LOW' THEN 'done' WHEN o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED') THEN 'failed' END AS status FROM orders)
+SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(count_if(status = 'running') AS BIGINT) AS attempts, 'order ' || max(CASE WHEN status = 'failed' THEN k END) AS error
+FROM l GROUP BY chunk_id HAVING arg_max(status, k) = 'failed' AND count_if(status = 'running') < 5
+"""
+
+
+def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a prompt shows of every customer's text: its fields, less hidden ones."""
+    rows = table(spark, sf_dir, "customer")
+    text = F.concat(tx.serialize(rows, profile.classify(rows)), F.lit(" | api_token: x | c_name: again"))
+    shown = tx.shown_fields(tx.fields(text))
+    return rows.select("c_custkey", F.size(shown).cast("long").alias("fields"), F.array_join(F.transform(F.filter(shown, lambda f: f["key"] == "c_name"), lambda f: f["value"]), ",").alias("name"), F.array_contains(F.transform(shown, lambda f: f["key"]), "api_token").alias("leaks"))
+
+
+DOCUMENT_FIELDS = "SELECT c_custkey, CAST(5 + 0 * c_custkey AS BIGINT) AS fields, 'again' AS name, false AS leaks FROM customer"
+
+
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.aligned_lines(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
 
@@ -196,5 +226,7 @@ QUERIES = {
     "infer_types": (infer_types, INFER_TYPES),
     "cdc_apply": (cdc_apply, CDC_APPLY),
     "chunk_status": (chunk_status, CHUNK_STATUS),
+    "chunk_retry": (chunk_retry, CHUNK_RETRY),
+    "document_fields": (document_fields, DOCUMENT_FIELDS),
     "export_lines": (export_lines, EXPORT_LINES),
 }

@@ -227,15 +227,13 @@ FROM r
 def number_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns against the other turns' texts before them in the conversation."""
     turns = table(spark, sf_dir, "conversations")
-    # numbers, not texts, are gathered: distinct numbers of a conversation stay few
-    own = turns.select("conv_id", "turn", "role", guards.numbers(F.coalesce("text", F.lit(""))).alias("own"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.flatten(F.collect_list(F.when(F.col("role") != "assistant", F.col("own"))).over(before))
-    rest = F.array_except("own", F.array_distinct("known"))
-    value = lambda n: n.try_cast("decimal(38,0)")
-    odd = F.filter(rest, lambda n: F.coalesce(~value(n).between(1900, 2100) & (value(n) > 10), F.lit(True)))
-    out = own.withColumn("known", known).filter("role = 'assistant'")
-    return out.select("conv_id", "turn", F.size(odd).cast("long").alias("unsupported"), (F.size(odd) > 3).alias("warned"))
+    own = turns.select("conv_id", "turn", "role", F.explode_outer(guards.numbers(F.coalesce("text", F.lit("")))).alias("number"))
+    # a number is known to an assistant's turn if another's first turn with it comes before
+    first = own.filter("role <> 'assistant' and number is not null").groupBy("conv_id", "number").agg(F.min("turn").alias("first"))
+    value = F.col("number").try_cast("decimal(38,0)")
+    odd = F.col("number").isNotNull() & F.coalesce(~value.between(1900, 2100) & (value > 10), F.lit(True)) & F.coalesce(F.col("first") >= F.col("turn"), F.lit(True))
+    out = own.filter("role = 'assistant'").join(first, ["conv_id", "number"], "left").groupBy("conv_id", "turn").agg(F.count_if(odd).alias("unsupported"))
+    return out.select("conv_id", "turn", "unsupported", (F.col("unsupported") > 3).alias("warned"))
 
 
 NUMBER_HALLUCINATION = r"""
@@ -263,17 +261,50 @@ QUERY_REWRITE = None  # tests compare it with a plain restatement
 
 
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", state.cache_key(F.col("text")).alias("cache_key"))
+    """The cache key of every turn."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", state.cache_key(F.col("text")).alias("cache_key"))
 
 
-CACHE_KEYS = "SELECT item_id, substr(sha256(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13)))), 1, 16) AS cache_key FROM benchmark"
+CACHE_KEYS = "SELECT conv_id, turn, substr(sha256(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13)))), 1, 16) AS cache_key FROM conversations"
+
+
+def response_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns looked up in a cache of the assistants' turns, which keeps the last answer of each key."""
+    turns = table(spark, sf_dir, "conversations").filter("text is not null")
+    at = F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn"))
+    filled = state.cache_put(turns.limit(0).select(F.lit("").alias("cache_key"), F.col("text").alias("response"), at.alias("created_at"), at.alias("last_used")), turns.filter("role = 'assistant'").select(state.cache_key(F.col("text")).alias("cache_key"), F.concat_ws("/", "conv_id", "turn").alias("response"), at.alias("created_at"), at.alias("last_used")), 1_000_000)
+    found = state.cache_get(filled, turns.select("conv_id", "turn", F.col("text").alias("query")), F.lit("1970-01-01").cast("timestamp"), 300)
+    return found.select("conv_id", "turn", F.coalesce("response", F.lit("-")).alias("response"))
+
+
+RESPONSE_CACHE = """
+WITH k AS (SELECT conv_id, turn, role, substr(sha256(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13)))), 1, 16) AS key FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT key, arg_max(conv_id || '/' || turn, conv_id * 1000 + turn) AS response FROM k WHERE role = 'assistant' GROUP BY key)
+SELECT conv_id, turn, coalesce(response, '-') AS response FROM k LEFT JOIN c USING (key)
+"""
+
+
+def output_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as an answer, with its conversation's role as the only source text."""
+    turns = table(spark, sf_dir, "conversations")
+    checked = turns.select("conv_id", "turn", guards.check_output(F.coalesce("text", F.lit("")), F.array("role")).alias("g"))
+    return checked.select("conv_id", "turn", "g.safe", F.array_join("g.warnings", "; ").alias("warnings"))
+
+
+OUTPUT_GUARD = r"""
+WITH n AS (
+  SELECT conv_id, turn, len(list_filter(list_distinct(regexp_extract_all(coalesce(text, ''), '\b\d{2,}\b')),
+    lambda x: coalesce(NOT (TRY_CAST(x AS HUGEINT) BETWEEN 1900 AND 2100) AND TRY_CAST(x AS HUGEINT) > 10, true))) AS k FROM conversations
+)
+SELECT conv_id, turn, k <= 3 AS safe, CASE WHEN k > 3 THEN 'Response contains ' || k || ' numbers not found in retrieved data' ELSE '' END AS warnings FROM n
+"""
 
 
 def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", tx.truncated(F.col("text"), 200).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.truncated(F.col("text"), 200).alias("short"))
 
 
-TRUNCATE_TEXT = "SELECT item_id, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 199) || '…' END AS short FROM benchmark"
+TRUNCATE_TEXT = "SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 199) || '…' END AS short FROM documents"
 
 
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +345,8 @@ QUERIES = {
     "number_hallucination": (number_hallucination, NUMBER_HALLUCINATION),
     "query_rewrite": (query_rewrite, QUERY_REWRITE),
     "cache_keys": (cache_keys, CACHE_KEYS),
+    "response_cache": (response_cache, RESPONSE_CACHE),
+    "output_guard": (output_guard, OUTPUT_GUARD),
     "truncate_text": (truncate_text, TRUNCATE_TEXT),
     "context_budget": (context_budget, CONTEXT_BUDGET),
     "embed_rows": (embed_rows, EMBED_ROWS),

@@ -139,6 +139,19 @@ def rate_limit_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.rate_limit(events, "session_id", 3, 3600.0).select("event_id", "session_id", "accepted")
 
 
+RATE_LIMIT_ACCEPT = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT user_id, n, event_id, true AS accepted, [t] AS held FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, e.event_id, len(list_filter(r.held, lambda x: e.t - x < 3600)) < 3,
+         CASE WHEN len(list_filter(r.held, lambda x: e.t - x < 3600)) < 3 THEN list_append(list_filter(r.held, lambda x: e.t - x < 3600), e.t) ELSE list_filter(r.held, lambda x: e.t - x < 3600) END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1
+)
+SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, accepted FROM r
+"""
+
+
 def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last two pairs of turns of every conversation."""
     return state.last_turns(table(spark, sf_dir, "conversations"), 2, "conv_id", "turn").select("conv_id", "turn", "role")
@@ -170,7 +183,7 @@ QUERIES = {
     "ttl_purge": (ttl_purge, TTL_PURGE),
     "sessions_1h": (sessions_1h, SESSIONS_1H),
     "active_sessions": (active_sessions, ACTIVE_SESSIONS),
-    "rate_limit_accept": (rate_limit_accept, None),
+    "rate_limit_accept": (rate_limit_accept, RATE_LIMIT_ACCEPT),
     "last_turns": (last_turns, LAST_TURNS),
     "worker_share": (worker_share, WORKER_SHARE),
 }

@@ -1,58 +1,108 @@
 """The vector collection: entries (id, embedding, document, metadata) in
-Parquet versions under one folder.
-
-Every write makes a new version next to the old ones and then names it in a
-pointer file, so readers see whole versions and a lost job leaves nothing half
-done. Paths go through Spark's file systems.
+Parquet under one folder, dealt into buckets by a hash of the id.
+
+A write makes new files for the buckets that it touches and then commits a
+list of all buckets' files under the next number, so readers see whole
+versions, a lost job leaves nothing half done, and a small change rewrites
+only its buckets. A number can be committed once: of two writers that began
+with the same version the second fails and must begin anew. Paths go through
+Spark's file systems.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.model import COLLECTION, Strategy
 
+#: Buckets of a new collection.
+BUCKETS = 64
+
+
+class OtherWriter(RuntimeError):
+    """Another writer committed since this one began."""
+
 
 class Collection:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self._new = spark, folder.rstrip("/"), buckets
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _names(self, name: str) -> list[str]:
+        fs, path = self._fs(), self._path(name)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def version(self) -> str | None:
         """The newest committed version."""
-        fs = self._fs()
-        if not fs.exists(self._path("")):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(self._path("")) if s.getPath().getName().startswith("commit-")]
+        names = [n for n in self._names("") if n.startswith("commit-")]
         return max(names).removeprefix("commit-") if names else None
 
+    def _manifest(self, version: str | None) -> dict:
+        """buckets (how many) and files (bucket to folder) of a version."""
+        if version is None:
+            return {"buckets": self._new, "files": {}}
+        return json.loads(self.spark.read.text(f"{self.folder}/commit-{version}").first()["value"])
+
+    def _read(self, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(COLLECTION).parquet(*[f"{self.folder}/{f}" for f in files]) if files else self.spark.createDataFrame([], COLLECTION)
+
     def read(self) -> DataFrame:
-        now = self.version()
-        return self.spark.createDataFrame([], COLLECTION) if now is None else self.spark.read.parquet(f"{self.folder}/v-{now}")
+        return self._read(list(self._manifest(self.version())["files"].values()))
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+    def _commit(self, base: str | None, entries: DataFrame, manifest: dict, kept: dict[str, str]) -> str:
+        name = f"v-{uuid.uuid4().hex}"
+        entries.select("id", "embedding", "document", "metadata").withColumn("bucket", self._bucket(manifest["buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        made = {n.removeprefix("bucket="): f"{name}/{n}" for n in self._names(name) if n.startswith("bucket=")}
+        number = f"{(int(base) + 1 if base else 0):012d}"
+        try:
+            out = self._fs().create(self._path(f"commit-{number}"), False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in str(error.java_exception):
+                raise OtherWriter(f"version {number} is there already") from error
+            raise
+        out.write(bytearray(json.dumps({"buckets": manifest["buckets"], "files": kept | made}).encode()))
+        out.close()
+        return number
 
     def replace(self, entries: DataFrame) -> str:
-        """Write all entries as a new version, then commit it."""
-        now = self.version()
-        name = f"{(int(now.split('-')[0]) + 1 if now else 0):012d}-{uuid.uuid4().hex[:8]}"
-        entries.write.parquet(f"{self.folder}/v-{name}")
-        self._fs().create(self._path(f"commit-{name}"), False).close()
-        return name
+        """Commit these entries as the whole collection."""
+        base = self.version()
+        return self._commit(base, entries, self._manifest(base), {})
+
+    def change(self, entries: DataFrame | None = None, gone: DataFrame | None = None) -> str:
+        """Delete the ids ``gone`` and upsert ``entries``; only their buckets are
+        read and rewritten."""
+        base = self.version()
+        manifest = self._manifest(base)
+        ids = [x.select("id") for x in (entries, gone) if x is not None]
+        touched = [str(r["b"]) for x in ids for r in x.select(self._bucket(manifest["buckets"]).alias("b")).distinct().collect()]
+        files = {k: f for k, f in manifest["files"].items() if k in set(touched)}
+        now = self._read(list(files.values()))
+        if gone is not None:
+            now = now.join(gone.select("id"), "id", "left_anti")
+        if entries is not None:
+            now = upserted(now, entries)
+        return self._commit(base, now, manifest, {k: f for k, f in manifest["files"].items() if k not in files})
 
     def upsert(self, entries: DataFrame) -> str:
-        return self.replace(upserted(self.read(), entries))
+        return self.change(entries)
 
     def delete(self, ids: DataFrame) -> str:
-        return self.replace(self.read().join(ids.select("id"), "id", "left_anti"))
+        return self.change(gone=ids)
 
 
 def first_of_each(rows: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
@@ -61,9 +111,11 @@ def first_of_each(rows: DataFrame, key: str, order: list[Column | str]) -> DataF
     return rows.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
-def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old entries whose id isn't new, and the first new entry of each id."""
-    own = first_of_each(new, "id", ["document", F.xxhash64("embedding")]).select("id", "embedding", "document", "metadata")
+def upserted(old: DataFrame, new: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Old entries whose id isn't new, and of each new id the entry that came
+    first: by the column ``arrival``, or in the order in which they are read."""
+    at = new.withColumn("_at", F.col(arrival) if arrival else F.monotonically_increasing_id())
+    own = first_of_each(at, "id", ["_at", "document"]).select("id", "embedding", "document", "metadata")
     return old.join(own.select("id"), "id", "left_anti").select("id", "embedding", "document", "metadata").unionByName(own)
 
 
@@ -97,3 +149,37 @@ def chunk_status(log: DataFrame) -> DataFrame:
     """Newest status of every chunk of an append-only manifest (chunk_id, status, at), counted."""
     newest = log.groupBy("chunk_id").agg(F.max_by("status", "at").alias("status"))
     return newest.groupBy("status").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+#: What may follow a chunk's status; a chunk that has none is pending.
+NEXT = {"pending": ("running",), "running": ("done", "failed", "pending"), "failed": ("running",), "done": ()}
+
+
+def chunk_states(log: DataFrame) -> DataFrame:
+    """chunk_id, status (the newest), attempts (times it began) and error (of the
+    newest failure) of an append-only manifest (chunk_id, status, at, error)."""
+    return log.groupBy("chunk_id").agg(F.max_by("status", "at").alias("status"), F.count_if(F.col("status") == "running").alias("attempts"), F.max_by("error", F.when(F.col("status") == "failed", F.col("at"))).alias("error"))
+
+
+def moved(log: DataFrame, chunks: DataFrame, status: str, at: Column, error: Column | None = None) -> DataFrame:
+    """The rows to append so that these chunks (chunk_id) get a status; chunks
+    for which it may not follow get none."""
+    now = chunks.select("chunk_id").distinct().join(chunk_states(log).select("chunk_id", F.col("status").alias("was")), "chunk_id", "left")
+    legal = [k for k, v in NEXT.items() if status in v]
+    good = F.coalesce("was", F.lit("pending")).isin(legal) if legal else F.lit(False)
+    return now.filter(good).select("chunk_id", F.lit(status).alias("status"), at.alias("at"), (F.lit(None) if error is None else error).cast("string").alias("error"))
+
+
+def failed_chunks(log: DataFrame) -> DataFrame:
+    """chunk_id, attempts, error of the chunks that stand failed."""
+    return chunk_states(log).filter("status = 'failed'").drop("status")
+
+
+def to_retry(log: DataFrame, most: int = 3) -> DataFrame:
+    """Failed chunks that began fewer than ``most`` times."""
+    return failed_chunks(log).filter(F.col("attempts") < most)
+
+
+def reset(log: DataFrame, at: Column) -> DataFrame:
+    """The rows to append after a lost run: running chunks are pending again."""
+    return moved(log, chunk_states(log).filter("status = 'running'"), "pending", at)

@@ -47,11 +47,15 @@ def apply(collection: DataFrame, last: DataFrame, strategy, embed, source: str,
 
 
 def start(stream: DataFrame, collection: Collection, row: T.StructType, strategy, embed, checkpoint: str, key: str = "id", source: str = "cdc", table: str = "cdc"):
-    """A streaming query that keeps the collection in step. A batch that runs
-    again after a failure gives the same collection."""
+    """A streaming query that keeps the collection in step. A batch rewrites only
+    the buckets that its rows are in; one that runs again after a failure gives
+    the same collection."""
 
     def batch(raw: DataFrame, number: int) -> None:
-        last = latest(changes(raw, row, key))
-        collection.replace(apply(collection.read(), last, strategy, embed, source, table))
+        last = latest(changes(raw, row, key)).persist()
+        gone = last.filter("op = 'd'").select(F.col("rowid").alias("id"))
+        rows = last.filter("op = 'u' and after is not null").select("after.*")
+        collection.change(entries(rows, strategy, embed, source, table), gone)
+        last.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
