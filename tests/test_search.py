@@ -61,6 +61,32 @@ def test_bm25_repeated_unknown_accented_and_empty(spark):
     assert all(abs(batch[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_bm25_batch_equals_single_queries(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(150)] + [(150, None), (151, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [(f"q{i}", " ".join(rng.choice([*words, "unknown"]) for _ in range(4))) for i in range(6)] + [("none", ""), ("odd", "unknown")]
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    want = {q: [(r["doc_id"], round(r["score"], 6)) for r in search.bm25(docs, t.split(), 5).collect()] for q, t in asked}
+    for room in (8 << 20, 60):
+        monkeypatch.setattr(search, "TERM_BYTES", room)
+        got = {}
+        for r in sorted(search.bm25_batch(docs, queries, 5).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 6)))
+        assert got == {q: x for q, x in want.items() if x}
+    assert search.bm25_batch(docs.limit(0), queries).count() == 0 and search.bm25_batch(docs, queries.limit(0)).count() == 0
+
+
+def test_batch_search_of_odd_vectors(spark):
+    vectors = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0]), ("short", [1.0]), ("hole", [1.0, None]), ("none", None), (None, [1.0, 0.0])], "id string, embedding array<float>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, [5.0]), (9, None)], "q long, embedding array<double>")
+    got = search.top_k_batch(vectors, queries, 2, "id", query_col="q").collect()
+    assert sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 6)) for r in got) == [(7, 1, "a", 1.0), (7, 2, "b", 1.0), (8, 1, "short", 1.0)]
+    assert search.top_k_batch(vectors, queries, 2, "id", query_col="q", threshold=1.1).count() == 0
+    assert search.top_k_batch(vectors.limit(0), queries, 2, "id", query_col="q").count() == 0
+
+
 def test_fuse_and_hydrate(spark):
     a = spark.createDataFrame([(1, 1, 0.9), (2, 2, 0.5)], "doc_id long, rank int, similarity double")
     b = spark.createDataFrame([(2, 1, 0.1), (3, 2, 0.2)], "doc_id long, rank int, similarity double")
