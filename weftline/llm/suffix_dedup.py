@@ -249,7 +249,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, keep_text: bool
     total = X.text_bytes(docs)
     texts, _ = X.dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], total, 2 << 20)
     key_buckets = X.bucket_count(spark, total // 100)
-    buckets = X.bucket_count(spark, total, 2 << 20)
+    buckets = X.bucket_count(spark, total, 1 << 20)
 
     def pack(table: pa.Table) -> pa.Table:
         _, _, gram = _anchors(_sorted_block(table)[1], length)
