@@ -200,9 +200,10 @@ def _anchors(block: W.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     if not len(starts):
         return none, none, np.zeros(0, np.uint64)
     prefix = W.rolling(W._BYTE_KEY[block.data], W.BASES[0])
-    at = np.arange(len(block.data) - GRAM + 1)
-    gram = W.mix(W.span_hash(prefix, W.BASES[0], at, at + GRAM))
-    low = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    gram = W.mix(W.equal_spans(prefix, W.BASES[0], GRAM))
+    del prefix
+    low = gram & np.uint64(0xFFFFFFFF00000000)
+    low |= np.arange(len(low), dtype=np.uint64)
     width, span = length - GRAM + 1, 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])

@@ -63,6 +63,15 @@ def span_hash(prefix: np.ndarray, base: int, start: np.ndarray, end: np.ndarray)
         return (prefix[end] - prefix[start]) * down[start]
 
 
+def equal_spans(prefix: np.ndarray, base: int, size: int) -> np.ndarray:
+    """``span_hash`` of the ``size`` values from each place on, without index arrays."""
+    _, down = powers(base, len(prefix))
+    with np.errstate(over="ignore"):
+        out = prefix[size:] - prefix[:-size]
+        out *= down[: len(out)]
+    return out
+
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: All ASCII bytes but letters and digits.
