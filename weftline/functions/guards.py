@@ -50,7 +50,8 @@ def redacted(text: Column) -> Column:
 
 def check_input(query: Column, settings: Settings | None = None) -> Column:
     """struct<allowed, block_reason, warnings, modified_query>; the first failed
-    check decides. The rate limit is stateful and stands in ``streaming``."""
+    check decides. The rate limit is stateful and stands in ``streaming``. The
+    messages are fixed values."""
     s = settings or Settings()
     blocked = F.lit(False)
     for word in s.blocked_keywords:
@@ -87,7 +88,8 @@ def unsupported_numbers(response: Column, sources: Column) -> Column:
 
 
 def check_output(response: Column, sources: Column, settings: Settings | None = None) -> Column:
-    """struct<safe, warnings, modified_response>: more than three unsupported numbers are unsafe."""
+    """struct<safe, warnings, modified_response>: more than three unsupported
+    numbers are unsafe. The messages are fixed values."""
     s = settings or Settings()
     odd, kinds = unsupported_numbers(response, sources), pii_kinds(response)
     invented = (F.size(sources) > 0) & (F.size(odd) > 3)

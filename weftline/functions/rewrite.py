@@ -27,7 +27,10 @@ COUNTRIES = {
 ACTIVE = ("active", "enabled", "live", "online", "current")
 INACTIVE = ("inactive", "disabled", "deactivated", "banned", "suspended")
 RECENT = ("recent", "recently", "latest", "new", "newest", "just joined", "just registered", "fresh", "last week", "last month", "today")
+#: Words that lead a question, a mail provider's name before a word for its accounts, and a dialling code.
 LEAD = r"(?i)^(who is|what is|find|show me|get|list|fetch|give me)\s+"
+PROVIDER = r"(?U)\b(\w+)\s+(?:email|account|mail)\b"
+DIALLING_CODE = r"(\+(\d{1,3}))"
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -44,8 +47,8 @@ def expand(query: Column, most: int = 3, more: Column | None = None) -> Column:
     country = F.lit(None).cast("string")
     for name, code in reversed(COUNTRIES.items()):
         country = F.when(F.contains(q, F.lit(name)), F.replace(q, F.lit(name), F.lit(code))).otherwise(country)
-    domain = F.regexp_extract(q, r"(?U)\b(\w+)\s+(?:email|account|mail)\b", 1)
-    phone = F.regexp_extract(query, r"(\+(\d{1,3}))", 1)
+    domain = F.regexp_extract(q, PROVIDER, 1)
+    phone = F.regexp_extract(query, DIALLING_CODE, 1)
     bare = F.trim(F.regexp_replace(q, LEAD, ""))
     variants = F.array(
         query,
