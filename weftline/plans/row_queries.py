@@ -128,11 +128,16 @@ APPEND_ONCE = "SELECT CAST(o_orderkey AS VARCHAR) AS __orig_rowid__, o_orderstat
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("array<float>").alias("embedding"), F.col("text").alias("document"))
-    return co.collection_stats(rows)
+    """A collection of all vectors and all documents by their ids."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("document"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding").join(texts, "k", "full")
+    return co.collection_stats(rows.select(F.col("k").cast("string").alias("id"), "embedding", "document"))
 
 
-COLLECTION_STATS = "SELECT count(*) AS total_entries, coalesce(bool_or(text IS NOT NULL), false) AS has_documents, CAST(0 AS BIGINT) AS with_embedding FROM documents"
+COLLECTION_STATS = """
+SELECT count(*) AS total_entries, coalesce(bool_or(text IS NOT NULL), false) AS has_documents, count(embedding) AS with_embedding
+FROM documents FULL JOIN embeddings ON doc_id = vec_id
+"""
 
 
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,14 +198,18 @@ FROM l GROUP BY chunk_id HAVING arg_max(status, k) = 'failed' AND count_if(statu
 
 
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a prompt shows of every customer's text: its fields, less hidden ones."""
+    """What a prompt shows of every customer's text: its fields, the last of equal ones, less hidden ones."""
     rows = table(spark, sf_dir, "customer")
-    text = F.concat(tx.serialize(rows, profile.classify(rows)), F.lit(" | api_token: x | c_name: again"))
-    shown = tx.shown_fields(tx.fields(text))
-    return rows.select("c_custkey", F.size(shown).cast("long").alias("fields"), F.array_join(F.transform(F.filter(shown, lambda f: f["key"] == "c_name"), lambda f: f["value"]), ",").alias("name"), F.array_contains(F.transform(shown, lambda f: f["key"]), "api_token").alias("leaks"))
+    more = F.when(F.col("c_custkey") % 3 == 0, F.lit(" | api_token: x | c_name: again")).otherwise(F.lit(" | api_token: x"))
+    shown = tx.shown_fields(tx.fields(F.concat(tx.serialize(rows, profile.classify(rows)), more)))
+    of = lambda key: F.array_join(F.transform(F.filter(shown, lambda f: f["key"] == key), lambda f: f["value"]), ",")
+    return rows.select("c_custkey", F.size(shown).cast("long").alias("fields"), of("c_name").alias("name"), of("c_nationkey").alias("nation"), F.array_contains(F.transform(shown, lambda f: f["key"]), "api_token").alias("leaks"))
 
 
-DOCUMENT_FIELDS = "SELECT c_custkey, CAST(5 + 0 * c_custkey AS BIGINT) AS fields, 'again' AS name, false AS leaks FROM customer"
+DOCUMENT_FIELDS = """
+SELECT c_custkey, (SELECT count(*) FROM (DESCRIBE customer)) AS fields, CASE WHEN c_custkey % 3 = 0 THEN 'again' ELSE coalesce(c_name, 'None') END AS name,
+       coalesce(CAST(c_nationkey AS VARCHAR), 'None') AS nation, false AS leaks FROM customer
+"""
 
 
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,14 +250,39 @@ SELECT conv_id, turn, CAST(k AS BIGINT) AS unsupported, k > 3 AS warned FROM odd
 """
 
 
-def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants of questions made of the test items."""
-    lead = F.element_at(F.array(*[F.lit(x) for x in ("find ", "show me new ", "inactive ", "germany ", "+91 ")]), (F.col("item_id") % 5 + 1).cast("int"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(lead, F.substring_index("text", " ", 4)).alias("q"))
-    return items.select("item_id", F.array_join(rewrite.expand(F.col("q")), "#").alias("variants"))
+#: What stands before a turn's text, to make a question of it that each rule of the expansion meets.
+_LEADS = ("find ", "show me new ", "inactive ", "germany ", "+91 ")
 
 
-QUERY_REWRITE = None  # tests compare it with a plain restatement
+def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of questions made of all turns: how many, and their digest."""
+    lead = F.element_at(F.array(*[F.lit(x) for x in _LEADS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) + 1).cast("int"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", rewrite.expand(F.concat(lead, F.coalesce("text", F.lit("")))).alias("v"))
+    return asked.select("conv_id", "turn", F.size("v").cast("long").alias("n_variants"), F.sha2(F.array_join("v", "#"), 256).alias("variants_sha256"))
+
+
+def _holds(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+
+
+QUERY_REWRITE = f"""
+WITH t AS (SELECT conv_id, turn, {list(_LEADS)}[(conv_id + turn) % 5 + 1] || coalesce(text, '') AS query FROM conversations),
+l AS (SELECT *, lower(query) AS q FROM t),
+p AS (
+  SELECT *, CASE {" ".join(f"WHEN contains(q, '{k}') THEN replace(q, '{k}', '{v}')" for k, v in rewrite.COUNTRIES.items())} END AS country,
+         regexp_extract(q, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])([\\p{{L}}\\p{{M}}\\p{{N}}_]+)\\s+(?:email|account|mail)(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 1) AS domain,
+         regexp_extract(query, '{rewrite.DIALLING_CODE}', 1) AS phone, trim(regexp_replace(q, '{rewrite.LEAD}', '')) AS bare
+  FROM l
+), v AS (
+  SELECT conv_id, turn, list_transform(list_filter([query, country,
+    CASE WHEN {_holds(rewrite.ACTIVE)} THEN query || ' is_active 1' END, CASE WHEN {_holds(rewrite.INACTIVE)} THEN query || ' is_active 0' END,
+    CASE WHEN {_holds(rewrite.RECENT)} THEN query || ' created_at recent registration' END, CASE WHEN domain <> '' THEN '@' || domain || '.com email' END,
+    CASE WHEN phone <> '' THEN 'phone_number ' || phone END, CASE WHEN bare <> '' AND bare <> q THEN bare END
+  ], lambda x: x IS NOT NULL), lambda x: trim(x)) AS v FROM p
+), f AS (SELECT *, list_transform(v, lambda x: lower(x)) AS f FROM v),
+u AS (SELECT conv_id, turn, list_filter(v, lambda x, i: list_position(f, lower(x)) = i)[1:4] AS u FROM f)
+SELECT conv_id, turn, CAST(len(u) AS BIGINT) AS n_variants, sha256(array_to_string(u, '#')) AS variants_sha256 FROM u
+"""
 
 
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,13 +346,23 @@ SELECT * FROM s WHERE used <= 2000
 
 
 def embed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed embeddings of the test items: how many there are and their squared lengths."""
-    embed = vx.embedder()
-    rows = table(spark, sf_dir, "benchmark").select("item_id", embed(F.col("text")).alias("e"))
-    return rows.select("item_id", F.size("e").alias("dim"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
-
-
-EMBED_ROWS = "SELECT item_id, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM benchmark"
+    """Hashed embeddings of all whole texts: places, filled ones, and a sum that weighs each place by its number."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", vx.embedder()(F.col("text")).alias("e"))
+    weighed = F.aggregate(F.transform("e", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("doc_id", F.size("e").cast("long").alias("dim"), F.size(F.filter("e", lambda x: x != 0)).cast("long").alias("filled"), F.round(weighed, 4).alias("weighed"))
+
+
+EMBED_ROWS = r"""
+WITH tab AS (SELECT list(list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY x) AS tab FROM range(256) r(x)),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS word FROM documents),
+h AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, 2 * octet_length(encode(word)), 2), lambda i: CAST('0x' || substr(hex(encode(word)), i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT word FROM w), tab
+), e AS (SELECT doc_id, crc % 64 AS place, sum(CASE WHEN crc & 65536 > 0 THEN 1 ELSE -1 END) AS x FROM w JOIN h USING (word) GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sqrt(sum(x * x)) AS FLOAT) AS norm FROM e GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS filled, sum((place + 1) * CAST(CAST(x AS FLOAT) / norm AS DOUBLE) ORDER BY place) AS weighed FROM e JOIN n USING (doc_id) WHERE x <> 0 GROUP BY doc_id)
+SELECT doc_id, CAST(64 AS BIGINT) AS dim, coalesce(filled, 0) AS filled, round(coalesce(weighed, 0.0), 4) AS weighed FROM documents LEFT JOIN s USING (doc_id)
+"""
 
 QUERIES = {
     "vector_topk": (vector_topk, VECTOR_TOPK),
