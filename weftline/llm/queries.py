@@ -9,7 +9,7 @@ from weftline.llm.lm_score import op7_lm_score
 from weftline.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from weftline.llm.packing import op10_packing
 from weftline.llm.substring_dedup import OP3_SQL, op3_substring_dedup
-from weftline.llm.suffix_dedup import op4_suffix_dedup
+from weftline.llm.suffix_dedup import OP4_SQL, op4_suffix_dedup
 from weftline.llm.topk import OP1_SQL, op1_topk_search
 from weftline.llm.url_filter import OP6_SQL, op6_url_filter
 
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that DuckDB answers on whole tables in reasonable time."""
-    return {"op1_topk_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_minhash_dedup": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_minhash_dedup": OP8_SQL}

@@ -358,3 +358,21 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, keep_text: bool
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeated_strings(docs, 400, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: All 400-byte windows by their MD5.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, i, md5(t[i + 1:i + 400]) AS k FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 399)) AS i FROM d WHERE octet_length(t) >= 400)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS times FROM w) WHERE times > 1),
+edges AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS opens FROM again),
+runs AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM edges),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, max(b) OVER (PARTITION BY doc_id) AS tail FROM spans),
+kept AS (
+  SELECT doc_id, string_agg(hex(t[since + 1:a]), '' ORDER BY a) || any_value(hex(t[tail + 1:octet_length(t)])) AS h, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(h), t)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
