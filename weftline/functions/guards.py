@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions import text as tx
 from weftline.model import Settings
 
 #: Patterns of attempts to change the instructions (any case).
@@ -38,14 +39,24 @@ def injections(text: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    """What a text must hold for the kind's pattern to match: cheap to look for, and most texts lack it."""
+    return F.contains(text, F.lit("@")) if kind == "email" else text.rlike(r"(?U)\d")
+
+
 def pii_kinds(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike("(?iU)" + p), F.lit(k)) for k, p in PII_PATTERNS.items()]))
+    return F.array_compact(F.array(*[F.when(_may_hold(text, k) & text.rlike("(?iU)" + p), F.lit(k)) for k, p in PII_PATTERNS.items()]))
 
 
 def redacted(text: Column) -> Column:
-    for kind, pattern in PII_PATTERNS.items():
-        text = F.regexp_replace(text, "(?iU)" + pattern, f"[REDACTED_{kind.upper()}]")
-    return text
+    def replaced(own: Column, kinds: list[str]) -> Column:
+        new = own
+        for kind in kinds:
+            new = F.regexp_replace(new, "(?iU)" + PII_PATTERNS[kind], f"[REDACTED_{kind.upper()}]")
+        return F.when(_may_hold(own, kinds[0]), new).otherwise(own)
+
+    first, *rest = PII_PATTERNS
+    return tx.once(tx.once(text, lambda own: replaced(own, [first])), lambda own: replaced(own, rest))
 
 
 def check_input(query: Column, settings: Settings | None = None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions import text as tx
+
 #: Country names in the order they are looked for, and their codes.
 COUNTRIES = {
     "india": "IN",
@@ -43,7 +45,11 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 def expand(query: Column, most: int = 3, more: Column | None = None) -> Column:
     """The query, then its variants, each once whatever its case and outer
     spaces, at most ``most`` + 1. ``more``: an array of further variants."""
-    q = F.lower(query)
+    return tx.once(query, lambda own: tx.once(F.lower(own), lambda q: _variants(own, q, most, more)))
+
+
+def _variants(query: Column, q: Column, most: int, more: Column | None) -> Column:
+    """q: the query in lower case."""
     country = F.lit(None).cast("string")
     for name, code in reversed(COUNTRIES.items()):
         country = F.when(F.contains(q, F.lit(name)), F.replace(q, F.lit(name), F.lit(code))).otherwise(country)
@@ -63,6 +69,9 @@ def expand(query: Column, most: int = 3, more: Column | None = None) -> Column:
     if more is not None:
         variants = F.concat(variants, more)
     trimmed = F.transform(F.array_compact(variants), lambda v: F.trim(v))
-    folded = F.transform(trimmed, lambda v: F.lower(v))
-    first = F.filter(F.transform(trimmed, lambda v, i: F.when(F.array_position(folded, F.lower(v)) == i + 1, v)), lambda v: v.isNotNull())
-    return F.slice(first, 1, most + 1)
+
+    def distinct(found: Column, folded: Column) -> Column:
+        first = F.transform(found, lambda v, i: F.when(F.array_position(folded, F.lower(v)) == i + 1, v))
+        return F.slice(F.array_compact(first), 1, most + 1)
+
+    return tx.once(trimmed, lambda found: tx.once(F.transform(found, lambda v: F.lower(v)), lambda folded: distinct(found, folded)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,12 @@ HIDDEN_PARTS = ("password", "password_hash", "secret", "token", "salt")
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed one time a row, however often
+    ``use`` names it, in functions of array elements too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shown(column: Column | str, kind: T.DataType) -> Column:
     """A value as text that gives the same value back: doubles with all their
     digits, times in ISO form with what fractions they have, bytes as UTF-8."""
@@ -104,8 +111,8 @@ def fields(document: Column) -> Column:
     bars, each key once at its first place with its last value."""
     parts = F.filter(F.transform(F.split(F.coalesce(document, F.lit("")), r"\|"), F.trim), lambda p: F.contains(p, F.lit(":")))
     named = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.substr(p, F.instr(p, ":") + 1)).alias("value")))
-    keys = F.array_distinct(F.transform(named, lambda p: p["key"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(named, lambda p: p["key"] == k), -1)["value"].alias("value")))
+    last = lambda own, k: F.element_at(F.filter(own, lambda p: p["key"] == k), -1)["value"]
+    return once(named, lambda own: F.transform(F.array_distinct(F.transform(own, lambda p: p["key"])), lambda k: F.struct(k.alias("key"), last(own, k).alias("value"))))
 
 
 def shown_fields(found: Column) -> Column:

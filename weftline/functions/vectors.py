@@ -37,10 +37,14 @@ def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
         import zlib
 
         out = np.zeros((len(texts), dim), dtype=np.float32)
+        places: dict[str, int] = {}  # of the words of these texts: twice the place, and 1 for a plus
         for i, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
+            words = re.findall(r"\w+", text.lower())
+            for word in set(words).difference(places):
                 h = zlib.crc32(word.encode())
-                out[i, h % dim] += 1 if h & 0x10000 else -1
+                places[word] = h % dim * 2 + (h >> 16 & 1)
+            counts = np.bincount([places[w] for w in words], minlength=2 * dim) if words else np.zeros(2 * dim)
+            out[i] = counts[1::2] - counts[::2]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 

@@ -201,9 +201,10 @@ def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a prompt shows of every customer's text: its fields, the last of equal ones, less hidden ones."""
     rows = table(spark, sf_dir, "customer")
     more = F.when(F.col("c_custkey") % 3 == 0, F.lit(" | api_token: x | c_name: again")).otherwise(F.lit(" | api_token: x"))
-    shown = tx.shown_fields(tx.fields(F.concat(tx.serialize(rows, profile.classify(rows)), more)))
-    of = lambda key: F.array_join(F.transform(F.filter(shown, lambda f: f["key"] == key), lambda f: f["value"]), ",")
-    return rows.select("c_custkey", F.size(shown).cast("long").alias("fields"), of("c_name").alias("name"), of("c_nationkey").alias("nation"), F.array_contains(F.transform(shown, lambda f: f["key"]), "api_token").alias("leaks"))
+    text = F.concat(tx.serialize(rows, profile.classify(rows)), more)
+    shown = rows.select("c_custkey", tx.shown_fields(tx.fields(text)).alias("f"))
+    of = lambda key: F.array_join(F.transform(F.filter("f", lambda f: f["key"] == key), lambda f: f["value"]), ",")
+    return shown.select("c_custkey", F.size("f").cast("long").alias("fields"), of("c_name").alias("name"), of("c_nationkey").alias("nation"), F.exists("f", lambda f: f["key"] == "api_token").alias("leaks"))
 
 
 DOCUMENT_FIELDS = """
