@@ -122,6 +122,19 @@ def test_pages_and_export(spark):
     assert sinks.sse(["a\nb"]) == ["data: a\\nb\n\n", "data: [DONE]\n\n"]
 
 
+def test_sources_that_fail_stop_no_other(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    found, failed = ta.read_all(spark, {"good": {"kind": "parquet", "path": str(tmp_path / "t")}, "gone": {"kind": "parquet", "path": str(tmp_path / "x")}, "odd": {"kind": "xml"}})
+    assert found["good"].count() == 3 and sorted(failed) == ["gone", "odd"] and "no source named xml" in failed["odd"]
+
+
+def test_numbers_and_progress(spark):
+    rows = sinks.numbered(spark.range(10).repartition(3), after=7).collect()
+    assert len({r["__extract_id"] for r in rows}) == 10 and min(r["__extract_id"] for r in rows) == 8
+    log = spark.createDataFrame([(3, 2), (9, 5)], "row_id long, rows_written long")
+    assert tuple(co.progress(log).first()) == (2, 9, 7) and tuple(co.progress(log.limit(0)).first()) == (0, 0, 0)
+
+
 def test_collection_versions_upsert_delete(spark, tmp_path):
     box = co.Collection(spark, str(tmp_path / "c"))
     assert box.read().count() == 0
@@ -129,6 +142,9 @@ def test_collection_versions_upsert_delete(spark, tmp_path):
     box.upsert(rows(("1", "a"), ("2", "b"), ("2", "c")))
     box.upsert(rows(("2", "new"), ("3", "d")))
     assert {r["id"]: r["document"] for r in box.read().collect()} == {"1": "a", "2": "new", "3": "d"}
+    pages = [box.page(p) for p in box.pages()]
+    assert sorted(r["id"] for p in pages for r in p.collect()) == ["1", "2", "3"] and "embedding" not in pages[0].columns
+    assert box.page("no such page", with_embedding=True).count() == 0
     box.delete(spark.createDataFrame([("1",)], "id string"))
     assert sorted(r["id"] for r in box.read().collect()) == ["2", "3"]
 

@@ -219,6 +219,16 @@ def test_cache_ttl_edge_and_lru(spark):
     assert value(spark, state.cache_key, "  Hello\n") == value(spark, state.cache_key, "hello")
 
 
+def test_semantic_cache_by_vector(spark):
+    now = datetime(2024, 1, 1, 1)
+    rows = [("a", [1.0, 0.0], "east", now), ("b", [1.0, 0.0], "also east", now), ("c", [0.0, 1.0], "old north", now - timedelta(seconds=301)), ("d", None, "none", now)]
+    cache = spark.createDataFrame(rows, "cache_key string, embedding array<double>, response string, created_at timestamp")
+    asked = spark.createDataFrame([(1, [2.0, 0.1]), (2, [0.0, 1.0]), (3, None)], "query_id long, embedding array<double>")
+    got = {r["query_id"]: r["response"] for r in state.semantic_get(cache, asked, F.lit(now)).collect()}
+    assert got == {1: "east", 2: None, 3: None}
+    assert [r["response"] for r in state.semantic_get(cache.limit(0), asked, F.lit(now)).collect()] == [None] * 3
+
+
 def test_rate_limited_stream(spark, tmp_path):
     from weftline.streaming.rate_limit import rate_limited
 

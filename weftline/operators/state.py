@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators import search
+
 
 def cache_key(query: Column) -> Column:
     """First 16 hex digits of SHA-256 of the query, stripped and in lower case."""
@@ -29,6 +31,17 @@ def cache_get(cache: DataFrame, queries: DataFrame, now: Column, ttl_s: int = 30
     return queries.withColumn("cache_key", cache_key(F.col("query"))).join(live, "cache_key", "left")
 
 
+def semantic_get(cache: DataFrame, queries: DataFrame, now: Column, threshold: float = 0.95, ttl_s: int = 300) -> DataFrame:
+    """queries (query_id, embedding) with response and similarity of the live
+    entry (embedding, cache_key, response, created_at) whose vector is the
+    closest, if it is close enough (else null: a miss); ties to the smaller key.
+    Entries and queries meet in tiles (``search.top_k_batch``), none passes the driver."""
+    live = fresh(cache, now, ttl_s)
+    best = search.top_k_batch(live, queries, 1, "cache_key", query_col="query_id", threshold=threshold)
+    found = best.join(live.select("cache_key", "response"), "cache_key").select("query_id", "response", "similarity")
+    return queries.select("query_id").join(found, "query_id", "left")
+
+
 def cache_put(cache: DataFrame, new: DataFrame, entries: int = 500) -> DataFrame:
     """The cache after newer entries replace older ones of the same key; of
     different keys the ``entries`` most recently used stay."""

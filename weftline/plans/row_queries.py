@@ -140,6 +140,15 @@ FROM documents FULL JOIN embeddings ON doc_id = vec_id
 """
 
 
+def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far an ingest of the orders is that wrote each of their lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.count(F.lit(1)).alias("rows_written"))
+    return co.progress(lines)
+
+
+INGEST_PROGRESS = "SELECT count(DISTINCT l_orderkey) AS processed, coalesce(max(l_orderkey), 0) AS last_row, count(*) AS rows_written FROM lineitem"
+
+
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of the customer columns as the texts alone tell them."""
     rows = table(spark, sf_dir, "customer")
@@ -233,6 +242,7 @@ QUERIES = {
     "resume_antijoin": (resume_antijoin, RESUME_ANTIJOIN),
     "append_once": (append_once, APPEND_ONCE),
     "collection_stats": (collection_stats, COLLECTION_STATS),
+    "ingest_progress": (ingest_progress, INGEST_PROGRESS),
     "infer_types": (infer_types, INFER_TYPES),
     "cdc_apply": (cdc_apply, CDC_APPLY),
     "chunk_status": (chunk_status, CHUNK_STATUS),

@@ -63,6 +63,25 @@ SELECT query_id, vec_id, round(s, 6) AS similarity, s >= 0.95 AS hit FROM r WHER
 """
 
 
+def semantic_cache_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector looked up in a cache of all others, those with the smallest ids expired."""
+    vectors = table(spark, sf_dir, "embeddings")
+    cache = vectors.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("cache_key"), "embedding", F.concat(F.lit("label "), "label").alias("response"), F.timestamp_seconds("vec_id").alias("created_at"))
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = state.semantic_get(cache, asked, F.timestamp_seconds(F.lit(400)), 0.5)
+    return found.select("query_id", F.coalesce("response", F.lit("-")).alias("response"), F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
+
+
+SEMANTIC_CACHE_GET = """
+WITH s AS (
+  SELECT a.vec_id AS query_id, b.label, greatest(0.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS s, b.vec_id
+  FROM embeddings a JOIN embeddings b ON b.vec_id % 50 <> 0 AND b.vec_id >= 100 WHERE a.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM s)
+SELECT e.vec_id AS query_id, coalesce('label ' || r.label, '-') AS response, round(coalesce(r.s, 0.0), 6) AS similarity
+FROM embeddings e LEFT JOIN r ON e.vec_id = r.query_id AND n = 1 AND r.s >= 0.5 WHERE e.vec_id % 50 = 0
+"""
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), TOKENS, 10).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -368,6 +387,7 @@ QUERIES = {
     "vector_topk": (vector_topk, VECTOR_TOPK),
     "vector_topk_batch": (vector_topk_batch, VECTOR_TOPK_BATCH),
     "semantic_cache_hit": (semantic_cache_hit, SEMANTIC_CACHE_HIT),
+    "semantic_cache_get": (semantic_cache_get, SEMANTIC_CACHE_GET),
     "bm25_topk": (bm25_topk, BM25_TOPK),
     "bm25_batch": (bm25_batch, BM25_BATCH),
     "rrf_fuse": (rrf_fuse, RRF_FUSE),

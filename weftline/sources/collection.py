@@ -60,6 +60,16 @@ class Collection:
     def read(self) -> DataFrame:
         return self._read(list(self._manifest(self.version())["files"].values()))
 
+    def pages(self) -> list[str]:
+        """The pages of the newest version: its buckets, in order."""
+        return sorted(self._manifest(self.version())["files"], key=int)
+
+    def page(self, number: str, with_embedding: bool = False) -> DataFrame:
+        """The entries of one page, without their vectors if those aren't asked for; an unknown page is empty."""
+        held = self._manifest(self.version())["files"].get(str(number))
+        rows = self._read([held] if held else [])
+        return rows if with_embedding else rows.drop("embedding")
+
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
 
@@ -145,6 +155,13 @@ def collection_stats(collection: DataFrame) -> DataFrame:
     return collection.agg(F.count(F.lit(1)).alias("total_entries"), F.coalesce(F.bool_or(F.col("document").isNotNull()), F.lit(False)).alias("has_documents"), F.count("embedding").alias("with_embedding"))
 
 
+def progress(processed: DataFrame) -> DataFrame:
+    """processed, last_row (the greatest row_id) and rows_written of processed
+    entries (row_id, rows_written); zeros where there are none."""
+    zero = F.lit(0).cast("long")
+    return processed.agg(F.count("row_id").alias("processed"), F.coalesce(F.max("row_id").cast("long"), zero).alias("last_row"), F.coalesce(F.sum("rows_written").cast("long"), zero).alias("rows_written"))
+
+
 def chunk_status(log: DataFrame) -> DataFrame:
     """Newest status of every chunk of an append-only manifest (chunk_id, status, at), counted."""
     newest = log.groupBy("chunk_id").agg(F.max_by("status", "at").alias("status"))

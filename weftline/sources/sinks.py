@@ -11,6 +11,12 @@ def write_table(rows: DataFrame, path: str, mode: str = "append", partition_by:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def numbered(rows: DataFrame, after: int = 0) -> DataFrame:
+    """The rows with ``__extract_id``, unique numbers greater than ``after`` that
+    ascend within each partition; no row moves for them."""
+    return rows.select((F.monotonically_increasing_id() + F.lit(after + 1)).alias("__extract_id"), *[c for c in rows.columns if c != "__extract_id"])
+
+
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """What a workbook would hold: a header and the rows."""
     rows.write.mode(mode).option("header", True).csv(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def read(spark: SparkSession, kind: str, path: str | None = None, **options) ->
     return reader.load(path) if path else reader.load()
 
 
+def read_all(spark: SparkSession, sources: dict[str, dict]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Named sources (the arguments of ``read``): those that can be read, and
+    the reasons of those that can't, so that one missing source stops no other."""
+    found, failed = {}, {}
+    for name, source in sources.items():
+        try:
+            found[name] = read(spark, **source)
+        except (ValueError, PySparkException, Py4JError) as error:
+            failed[name] = str(error)
+    return found, failed
+
+
 def jdbc_options(env: dict[str, str]) -> dict[str, str]:
     """JDBC options from the environment: one URL, or its parts."""
     url = env.get("SOURCE_URL") or f"jdbc:{env.get('SOURCE_TYPE', 'postgresql')}://{env.get('DB_HOST', 'localhost')}:{env.get('DB_PORT', '5432')}/{env.get('DB_NAME', 'postgres')}"
