@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.decontaminate import op2_decontaminate
+from weftline.llm.fill_middle import OP13_SQL, op13_fill_middle
 from weftline.llm.language_id import op9_language_id
 from weftline.llm.line_dedup import OP5_SQL, op5_line_dedup
 from weftline.llm.lm_score import op7_lm_score
@@ -13,7 +14,7 @@ from weftline.llm.suffix_dedup import OP4_SQL, op4_suffix_dedup
 from weftline.llm.topk import OP1_SQL, op1_topk_search
 from weftline.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_line_dedup, op6_url_filter, op7_lm_score, op8_minhash_dedup, op9_language_id, op10_packing)
+QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_line_dedup, op6_url_filter, op7_lm_score, op8_minhash_dedup, op9_language_id, op10_packing, op13_fill_middle)
 
 
 def queries() -> dict:
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that DuckDB answers on whole tables in reasonable time."""
-    return {"op1_topk_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_minhash_dedup": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_minhash_dedup": OP8_SQL, "op13_fill_middle": OP13_SQL}
