@@ -11,10 +11,11 @@ from weftline.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from weftline.llm.packing import op10_packing
 from weftline.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from weftline.llm.suffix_dedup import OP4_SQL, op4_suffix_dedup
+from weftline.llm.token_files import op11_token_files
 from weftline.llm.topk import OP1_SQL, op1_topk_search
 from weftline.llm.url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_line_dedup, op6_url_filter, op7_lm_score, op8_minhash_dedup, op9_language_id, op10_packing, op13_fill_middle)
+QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_line_dedup, op6_url_filter, op7_lm_score, op8_minhash_dedup, op9_language_id, op10_packing, op11_token_files, op13_fill_middle)
 
 
 def queries() -> dict:
