@@ -14,8 +14,9 @@ from weftline.llm.suffix_dedup import OP4_SQL, op4_suffix_dedup
 from weftline.llm.token_files import op11_token_files
 from weftline.llm.topk import OP1_SQL, op1_topk_search
 from weftline.llm.url_filter import OP6_SQL, op6_url_filter
+from weftline.llm.whitening import op12_whitening
 
-QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_line_dedup, op6_url_filter, op7_lm_score, op8_minhash_dedup, op9_language_id, op10_packing, op11_token_files, op13_fill_middle)
+QUERIES = (op1_topk_search, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_line_dedup, op6_url_filter, op7_lm_score, op8_minhash_dedup, op9_language_id, op10_packing, op11_token_files, op12_whitening, op13_fill_middle)
 
 
 def queries() -> dict:
