@@ -48,6 +48,18 @@ def test_top_k(spark, monkeypatch):
     assert tk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("vectors", [2, 3, 6, 7])
+def test_top_k_of_ids_with_several_vectors(spark, vectors):
+    """The query's own vectors take no place, and an id's vectors with one score are one candidate."""
+    rng = random.Random(vectors)
+    rows = [(50, [float(j), 1.0, 9.0]) for j in range(vectors)] + [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(30)]
+    rows += [(31, [0.0, float(j), 1.0]) for j in range(vectors)] + [(32, [1.0, 1.0, float(-j)]) for j in range(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = tk.top_k(df.filter("vec_id % 50 = 0"), df, 5).collect()
+    want = plain_top_k(rows, 5)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want and len([w for w in want if w[0] == 50]) == 5
+
+
 def test_ids_beyond_doubles_stay_apart(spark):
     far = 1 << 53
     rows = [(50, [1.0, 0.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (far + 100, [1.0, 1.0]), (far + 101, [1.0, 1.0]), (far + 102, [1.0, 1.0])]

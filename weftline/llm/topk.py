@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERY_ROWS, SHARD_ROWS, FAN_IN = 512, 8192, 64
+#: Tiles that a cell of the grid, and so a task, has at most on average.
+TILES = 64
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -102,23 +104,28 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     order = both[np.argsort(c_ids[both], kind="stable")]
     c_ids, c = c_ids[order], c[order]
     scores = _products(q, c)
-    m = len(c_ids)
+    several = len(np.unique(c_ids)) < len(c_ids)
     out_q, out_c, out_s = [], [], []
-    take = min(k + 1, m)  # one more, for the query itself
     for i in range(len(q_ids)):
-        s = scores[i]
-        if take < m:
-            edge = np.partition(s, m - take)[m - take]
-            above = np.flatnonzero(s > edge)
-            equal = np.flatnonzero(s == edge)
-            own = int((c_ids[above] == q_ids[i]).sum())
-            pick = np.concatenate([above, equal[: take - len(above) + int((c_ids[equal[:take]] == q_ids[i]).sum()) + own]])
+        s, ids = scores[i], c_ids
+        first, last = np.searchsorted(c_ids, q_ids[i], "left"), np.searchsorted(c_ids, q_ids[i], "right")
+        if first < last:  # the query's own rows, however many, take no place
+            s, ids = np.delete(s, slice(first, last)), np.delete(ids, slice(first, last))
+        take = min(k, len(ids))
+        if several:  # an id's vectors with one score are one candidate
+            pick = np.lexsort((ids, -s))
+            new = np.ones(len(pick), dtype=bool)
+            new[1:] = (s[pick][1:] != s[pick][:-1]) | (ids[pick][1:] != ids[pick][:-1])
+            pick = pick[new]
+        elif take < len(ids):
+            edge = np.partition(s, len(ids) - take)[len(ids) - take]
+            above, equal = np.flatnonzero(s > edge), np.flatnonzero(s == edge)
+            pick = np.concatenate([above, equal[: take - len(above)]])
         else:
-            pick = np.arange(m)
-        pick = pick[c_ids[pick] != q_ids[i]]
-        pick = pick[np.lexsort((c_ids[pick], -s[pick]))][:k]
+            pick = np.arange(len(ids))
+        pick = pick[np.lexsort((ids[pick], -s[pick]))][:k]
         out_q.append(np.full(len(pick), q_ids[i]))
-        out_c.append(c_ids[pick])
+        out_c.append(ids[pick])
         out_s.append(s[pick].astype(np.int64))
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
@@ -138,7 +145,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     n_asked, n_rows = asked.count(), candidates.count()
     n_blocks, n_shards = max(1, -(-n_asked // QUERY_ROWS)), max(1, -(-n_rows // SHARD_ROWS))
     # a grid of some cells for each partition: queries are copied to each column, candidates to each row
-    cells = min(4 * parts, n_blocks * n_shards)
+    cells = min(max(4 * parts, n_blocks * n_shards // TILES), n_blocks * n_shards)
     columns = min(n_shards, cells, max(1, round(math.sqrt(cells * n_rows / max(n_asked, 1)))))
     rows = min(n_blocks, max(1, -(-cells // columns)))
     blocks = _packed(asked.repartition(n_blocks, F.xxhash64("vec_id", "e")), QUERY_ROWS, "q")
