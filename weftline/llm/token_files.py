@@ -31,8 +31,11 @@ its longest text (with ``words`` only by its ids).
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +59,10 @@ TABLE_MAGIC, FOOTER_MAGIC, SKIP_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 #: version, bytes of an id, token frames, index frames, documents, ids.
 HEAD = struct.Struct("<HHIIQQ")
 ENTRY, FOOTER, SKIP = struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<II")
-#: Words that a task remembers, and bytes of a word from which on it isn't remembered.
-KNOWN_WORDS, LONG_WORD = 1 << 18, 256
+#: Words, and ids of words, that a task remembers.
+KNOWN_WORDS, KNOWN_IDS = 1 << 19, 1 << 22
+#: Letters that are looked at one by one: the Latin ones of the first 256 code points.
+LETTERS = [chr(c) for c in range(256) if chr(c).isalpha()]
 
 FILES = "file int, path string, docs long, tokens long"
 
@@ -72,43 +77,83 @@ def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
 class Encoder:
     """Ids of texts by a tokenizer of the tokenizers library (its JSON).
 
-    ``words``: texts are encoded in runs between ASCII white space, each distinct
-    run once while it is remembered. That gives the ids of the whole text if the
-    tokenizer drops white space and joins nothing across it, as word_bpe_49k does;
-    for one that doesn't, leave it out."""
+    ``words``: texts are taken apart at ASCII white space and each distinct word
+    is encoded once while it is remembered. That gives the ids of the whole text
+    if the tokenizer drops white space, joins nothing across it, and makes one
+    piece of a run of Latin letters, whose form is that of its letters in a row,
+    as word_bpe_49k does; for one that doesn't, leave it out. Words of such letters
+    with marks after them go straight to the tokenizer's model, all others through
+    the whole tokenizer."""
 
     def __init__(self, tokenizer_json: str, words: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_str(tokenizer_json), words
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if words:
+            self.model, self.forms = self.tokenizer.model, self._letter_forms()
+            self.plain = re.compile(f"([{''.join(map(chr, self.forms))}]+)([.,;:!?]*)")
+            self._forget()
+
+    def _letter_forms(self) -> dict[int, str]:
+        """The form in which the model gets each Latin letter, where that is one piece."""
+        before, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        out = {}
+        for c in LETTERS:
+            normal = before.normalize_str(c) if before else c
+            pieces = cut.pre_tokenize_str(normal) if cut else [(normal, (0, 1))]
+            if len(pieces) == 1:
+                out[ord(c)] = pieces[0][0]
+        return out
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.sizes, self.flat = array("q"), array("I")
+
+    def _learn(self, words: list[str]) -> None:
+        """Give each new word a code, its number of ids and its ids."""
+        made: list[list[int] | None] = []
+        for word in words:
+            match = self.plain.fullmatch(word)
+            made.append(self._piece(match[1].translate(self.forms)) + self._marks(match[2]) if match else None)
+        others = iter(self.tokenizer.encode_batch_fast([w for w, ids in zip(words, made, strict=True) if ids is None], add_special_tokens=False))
+        for word, ids in zip(words, made, strict=True):
+            ids = next(others).ids if ids is None else ids
+            self.codes[word] = len(self.codes)
+            self.sizes.append(len(ids))
+            self.flat.extend(ids)
+
+    def _piece(self, form: str) -> list[int]:
+        ids = self.pieces.get(form)
+        if ids is None:
+            ids = self.pieces[form] = [t.id for t in self.model.tokenize(form)]
+        return ids
+
+    def _marks(self, marks: str) -> list[int]:
+        ids = self.pieces.get(marks)
+        if ids is None:
+            ids = self.pieces[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+        return ids
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.words:
-            own = self._encode(texts.to_pylist())
+            own = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *own]), np.array([len(x) for x in own], dtype=np.int64)
         runs = pc.ascii_split_whitespace(texts)
         per_text = np.asarray(runs.value_lengths()).astype(np.int64)
         coded = runs.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [x for x in distinct if x not in self.known]
-        made = dict(zip(new, self._encode(new), strict=True))
-        ids = [self.known[x] if x in self.known else made[x] for x in distinct]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-        self.known.update((x, y) for x, y in made.items() if len(x) < LONG_WORD)
-        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        first = np.cumsum(size) - size
-        run = np.asarray(coded.indices).astype(np.int64)
-        count = size[run]
+        if len(self.codes) > KNOWN_WORDS or len(self.flat) > KNOWN_IDS:
+            self._forget()
+        self._learn([w for w in distinct if w not in self.codes])
+        size, flat = np.array(self.sizes, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
+        code = np.fromiter((self.codes[w] for w in distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
+        count = size[code]
         after = np.concatenate([[0], np.cumsum(count)])
-        place = np.arange(int(after[-1])) + np.repeat(first[run] - after[:-1], count)
+        place = np.arange(int(after[-1])) + np.repeat((np.cumsum(size) - size)[code] - after[:-1], count)
         edge = np.concatenate([[0], np.cumsum(per_text)])
         return flat[place], np.diff(after[edge])
 
