@@ -16,6 +16,7 @@ from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 from weftline.model import Settings, Strategy
 from weftline.operators import context, search, state, usage
+from weftline.operators import keywords as kw
 from weftline.plans import rag
 from weftline.sources import collection as co
 
@@ -70,7 +71,7 @@ def test_bm25_batch_equals_single_queries(spark, monkeypatch):
     queries = spark.createDataFrame(asked, "query_id string, text string")
     want = {q: [(r["doc_id"], round(r["score"], 6)) for r in search.bm25(docs, t.split(), 5).collect()] for q, t in asked}
     for room in (8 << 20, 60):
-        monkeypatch.setattr(search, "TERM_BYTES", room)
+        monkeypatch.setattr(kw, "TERM_BYTES", room)
         got = {}
         for r in sorted(search.bm25_batch(docs, queries, 5).collect(), key=lambda r: r["rank"]):
             got.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 6)))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
+from weftline.operators import keywords as kw
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 8, threshold: float | None = None, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -154,120 +154,44 @@ def bm25(docs: DataFrame, query_tokens: list[str], k: int | None = 10, id_col: s
     return hits if k is None else hits.orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder once and read from there."""
-    sc = rows.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, shared by driver and executors:
+    that in spark.checkpoint.dir; on one machine, where none is named, one beside the warehouse."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or rows.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints")
-    return rows.checkpoint()
-
-
-#: Bytes of the queries' terms in one pass of ``bm25_batch``; more queries take several passes over the corpus.
-TERM_BYTES = 8 << 20
-
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints")
+    return sc.getCheckpointDir()
 
-def postings(docs: DataFrame, terms: set[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index of some terms: term, id, tf, length; rows of a document
-    stand together. A document's tokens are counted where it is read, so no token
-    is shuffled. Rows without a term hold how many documents (tf) and tokens
-    (length) were read."""
-    own = docs.select(id_col, tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(terms))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = pa.array(shared.value, pa.string())
-        for batch in batches:
-            lists = batch.column("_t")
-            length = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            doc = np.repeat(np.arange(len(length)), length)
-            code = pc.index_in(lists.flatten(), asked)
-            known = np.asarray(code.is_valid())
-            pair, tf = np.unique(doc[known] * max(1, len(asked)) + np.asarray(code.drop_null()).astype(np.int64), return_counts=True)
-            doc, code = pair // max(1, len(asked)), pair % max(1, len(asked))
-            whole = pa.array([None, *doc.tolist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([asked.take(pa.array([None, *code.tolist()], pa.int64())), batch.column(id_col).take(whole), pa.array(np.append(length.sum(), length[doc])), pa.array(np.append(len(length), tf))], ["term", id_col, "length", "tf"])
 
-    return own.mapInArrow(count, f"term string, {id_col} {kind}, length long, tf long")
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder once and read from there."""
+    checkpoint_folder(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, id, rank, score for each row of queries (query_id, text).
-
-    Queries are taken in parts whose terms have TERM_BYTES at most. For a part the
-    corpus is tokenised once and the postings of its terms are written down; the
-    statistics come from them, and the scores are summed where the postings lie,
-    each task keeping k documents of every query. Rows without an id take no part."""
-    spark, docs = docs.sparkSession, docs.filter(F.col(id_col).isNotNull())
-    asked = queries.filter("query_id is not null").select("query_id", F.explode(tx.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = written(asked)
-    size = asked.agg(F.sum(F.octet_length("term") + 24).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size // TERM_BYTES))
-    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, {id_col} {docs.schema[id_col].dataType.simpleString()}, score double"
-    lists = []
-    for number in range(parts):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number).collect()
-        index = written(postings(docs, {r["term"] for r in rows}, id_col, text))
-        counted = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.sum("length").alias("length")).collect()
-        total = next((r for r in counted if r["term"] is None), None)
-        n, mean = (total["tf"], total["length"] / max(total["tf"], 1)) if total else (0, 0.0)
-        idf = {r["term"]: math.log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1.0) for r in counted if r["term"] is not None}
-        pairs = sorted((r["term"], r["query_id"], r["times"] * idf[r["term"]]) for r in rows if r["term"] in idf)
-        lists.append(index.filter("term is not null").select("term", id_col, "length", "tf").mapInArrow(_scored(spark.sparkContext.broadcast((pairs, mean or 1.0)), k, id_col, k1, b), kinds))
-    found = lists[0]
-    for more in lists[1:]:
-        found = found.unionByName(more)
-    # sums differ in their last bits with the order of the terms: equal to six decimals is equal
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.asc(id_col))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", id_col, "rank", "score")
-
-
-def _scored(shared, k: int, id_col: str, k1: float, b: float):
-    """Postings of whole documents to (query_id, id, score): the k best of each query in each batch of them."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, mean = shared.value
-        terms = pa.array(list(dict.fromkeys(t for t, _, _ in pairs)), pa.string())
-        names = list(dict.fromkeys(q for _, q, _ in pairs))
-        place = {q: i for i, q in enumerate(names)}
-        query, weight = np.array([place[q] for _, q, _ in pairs], np.int64), np.array([w for _, _, w in pairs])
-        first = np.searchsorted(np.asarray(pc.index_in(pa.array([t for t, _, _ in pairs], pa.string()), terms)), np.arange(len(terms) + 1))
-        held = None  # the last document's postings may go on in the next batch
-        for batch in _and_end(batches):
-            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if table is None or not table.num_rows:
-                continue
-            ids = table.column(id_col).combine_chunks()
-            new = np.asarray(pc.not_equal(ids[1:], ids[:-1]).fill_null(True)) if len(ids) > 1 else np.zeros(0, bool)
-            starts = np.append(0, np.flatnonzero(new) + 1)
-            stop = len(ids) if batch is None else int(starts[-1])
-            held = None if batch is None else table.slice(stop)
-            if not stop:
-                continue
-            doc = np.searchsorted(starts, np.arange(stop), side="right") - 1
-            code = np.asarray(pc.index_in(table.column("term").slice(0, stop).combine_chunks(), terms)).astype(np.int64)
-            tf, length = (np.asarray(table.column(c).slice(0, stop)).astype(np.float64) for c in ("tf", "length"))
-            own = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
-            size = first[code + 1] - first[code]
-            entry = np.arange(int(size.sum())) + np.repeat(first[code] - (np.cumsum(size) - size), size)
-            key = np.repeat(doc, size) * len(names) + query[entry]
-            both, at = np.unique(key, return_inverse=True)
-            total = np.bincount(at, weights=np.repeat(own, size) * weight[entry])
-            q, d = both % len(names), both // len(names)
-            own_ids = ids.take(pa.array(starts[d]))
-            turn = np.lexsort((np.asarray(own_ids.to_pylist()), -np.round(total, 6), q))
-            begin = np.searchsorted(q[turn], q[turn])
-            best = turn[np.arange(len(turn)) - begin < k]
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q[best].tolist()]), own_ids.take(pa.array(best)), pa.array(total[best])], ["query_id", id_col, "score"])
-
-    return score
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches, then None."""
-    yield from batches
-    yield None
+    """query_id, id, rank, score for each row of queries (query_id, text), without a
+    stored index (``sources.text_index`` holds one).
+
+    Queries are taken in parts whose terms have ``keywords.TERM_BYTES`` at most. For
+    a part the corpus is tokenised once and the packed postings of its terms are
+    written down; statistics come from them, and scores are summed page by page
+    where the postings lie, each task keeping k documents of every query. Rows
+    without an id take no part."""
+    asked = written(kw.asked_terms(queries))
+    kind, parts = asked.schema["query_id"].dataType.simpleString(), []
+    for rows in kw.query_parts(asked, kw.TERM_BYTES):
+        blocks = written(kw.packed(docs, id_col, text, {r["term"] for r in rows}))
+        tokens = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+        counted = blocks.groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("term").isNull(), tokens)).alias("tokens")).collect()
+        n, total = next(((r["n"], r["tokens"]) for r in counted if r["term"] is None), (0, 0))
+        df = {r["term"]: r["n"] for r in counted if r["term"] is not None}
+        pairs = sorted((r["term"], r["query_id"], r["times"] * kw.idf(n, df[r["term"]])) for r in rows if r["term"] in df)
+        parts.append(kw.batch_scores(blocks.filter("term is not null"), pairs, total / max(n, 1), k, k1, b, kind))
+    return kw.ranked_batch(reduce(DataFrame.unionByName, parts), k, id_col)
 
 
 def fuse(ranked: list[DataFrame], id_col: str = "doc_id", k: int = 60) -> DataFrame:

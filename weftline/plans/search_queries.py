@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from weftline.functions import guards, rewrite
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 from weftline.operators import context, search, state
+from weftline.sources.tables import files_state
+from weftline.sources.text_index import TextIndex
 
 #: The keyword question: four tokens, one of them twice.
 TOKENS = ["the", "thon", "einer", "the"]
@@ -82,8 +86,18 @@ FROM embeddings e LEFT JOIN r ON e.vec_id = r.query_id AND n = 1 AND r.s >= 0.5
 """
 
 
+def documents_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of the documents: made by the first query of a session that
+    needs it, found by the others as long as the table's files stay as they are."""
+    made = hashlib.md5("\n".join(files_state(spark, f"{sf_dir}/documents.parquet")).encode()).hexdigest()
+    index = TextIndex(spark, f"{search.checkpoint_folder(spark)}/documents-index-{made}")
+    if index.newest() is None:
+        index.upsert(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return index
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), TOKENS, 10).select("doc_id", F.round("score", 6).alias("score"))
+    return documents_index(spark, sf_dir).search(TOKENS, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _BM25 = """
@@ -103,7 +117,7 @@ BM25_TOPK = f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORD
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25_batch(table(spark, sf_dir, "documents"), items, 3).select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"))
+    return documents_index(spark, sf_dir).search_batch(items, 3).select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"))
 
 
 BM25_BATCH = """
@@ -122,7 +136,7 @@ SELECT query_id, rank, doc_id, round(score, 5) AS score FROM r WHERE rank <= 3
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    words = search.ranked(search.bm25(docs, TOKENS, 20), "score").withColumn("similarity", F.lit(0.0))
+    words = search.ranked(documents_index(spark, sf_dir).search(TOKENS, 20), "score").withColumn("similarity", F.lit(0.0))
     long = docs.orderBy(F.desc("n_chars"), F.asc("doc_id")).limit(20).select("doc_id", F.col("n_chars").cast("double").alias("score"))
     return [words, search.ranked(long, "score").withColumn("similarity", F.lit(0.5))]
 
@@ -160,7 +174,7 @@ SELECT b.doc_id, round(rrf, 8) AS rrf_score, CAST(coalesce(l.quality, -1) AS BIG
 def rerank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 candidates in a new order by token overlap, as probabilities."""
     docs = table(spark, sf_dir, "documents")
-    hits = search.ranked(search.bm25(docs, TOKENS, 20), "score").join(docs.select("doc_id", "text"), "doc_id")
+    hits = search.ranked(documents_index(spark, sf_dir).search(TOKENS, 20), "score").join(docs.select("doc_id", "text"), "doc_id")
     out = search.rerank(hits, search.overlap_scorer(TOKENS, "text"), 5)
     return out.select("doc_id", F.col("rank").cast("int").alias("rank"), F.round("similarity", 6).alias("similarity"))
 

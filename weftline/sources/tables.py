@@ -76,3 +76,14 @@ def column_constraints(columns: DataFrame, constraints: DataFrame, usage: DataFr
     unique = usage.join(kinds, ["constraint_name", "table_name"]).select("column_name").distinct().withColumn("is_unique", F.lit(True))
     own = columns.filter(F.col("table_name") == table).join(unique, "column_name", "left")
     return own.select("column_name", "data_type", (F.col("is_nullable") == "YES").alias("is_nullable"), "column_default", F.coalesce("is_unique", F.lit(False)).alias("is_unique")).orderBy("ordinal_position")
+
+
+def files_state(spark: SparkSession, path: str) -> list[str]:
+    """Name, size and time of change of every file under a path: equal as long as nothing there changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sorted(out)
