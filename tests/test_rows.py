@@ -149,22 +149,83 @@ def test_collection_versions_upsert_delete(spark, tmp_path):
     assert sorted(r["id"] for r in box.read().collect()) == ["2", "3"]
 
 
-def test_writers_and_buckets(spark, tmp_path):
-    """A change rewrites its buckets only; of two writers that began together the second fails; the first to arrive wins."""
+def rows_of(spark, *x):
+    return spark.createDataFrame([(i, None, d, {"rowid": i}) for i, d in x], co.COLLECTION).coalesce(1)
+
+
+def held(box):
+    return {r["id"]: r["document"] for r in box.read().collect()}
+
+
+def test_a_change_writes_its_own_rows_only(spark, tmp_path):
+    """The first to arrive wins, a deleted id that comes again is there, and the base stays as it is."""
     box = co.Collection(spark, str(tmp_path / "c"), buckets=8)
-    rows = lambda *x: spark.createDataFrame([(i, None, d, {"rowid": i}) for i, d in x], co.COLLECTION).coalesce(1)
-    box.replace(rows(*[(str(i), "a") for i in range(50)]))
-    before = box._manifest(box.version())["files"]
-    box.change(rows(("7", "z"), ("7", "b")), spark.createDataFrame([("7",), ("404",)], "id string"))
-    after = box._manifest(box.version())["files"]
-    assert sum(before[k] != after[k] for k in before) <= 2
-    assert {r["id"]: r["document"] for r in box.read().collect()} == {**{str(i): "a" for i in range(50)}, "7": "z"}
-    stale = co.Collection(spark, str(tmp_path / "c"))
-    stale.version = lambda now=box.version(): now
-    box.upsert(rows(("1", "mine")))
+    box.replace(rows_of(spark, *[(str(i), "a" * 500 + str(i)) for i in range(3000)]))
+    base = box.manifest()[1]["layers"][0]
+    box.change(rows_of(spark, ("7", "z"), ("7", "b")), spark.createDataFrame([("7",), ("4040",), ("9",)], "id string"))
+    layers = box.manifest()[1]["layers"]
+    assert layers[0] == base and layers[1]["bytes"] * 20 < base["bytes"]
+    want = {str(i): "a" * 500 + str(i) for i in range(3000) if i != 9} | {"7": "z"}
+    assert held(box) == want
+    box.upsert(rows_of(spark, ("9", "back")))
+    assert held(box) == want | {"9": "back"}
+    assert {i for p in box.pages() for i in (r["id"] for r in box.page(p).collect())} == set(want) | {"9"} and len(box.pages()) == 8
+    assert {r["id"]: r["document"] for r in box.read(0).collect()}["9"].startswith("a")  # the first version
+    plan = box.read()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [id" in plan and "LeftAnti" in plan  # the base isn't moved
+
+
+def test_deltas_are_merged_and_buckets_split(spark, tmp_path):
+    box = co.Collection(spark, str(tmp_path / "c"), buckets=2, bucket_bytes=2_000)
+    want = {}
+    for k in range(12):
+        new = {str(i): f"{k}/{i}" for i in range(k, 40, 3)}
+        gone = [str(i) for i in range(k, 40, 7)] if k % 2 else []
+        want = {i: d for i, d in want.items() if i not in gone} | new
+        box.change(rows_of(spark, *new.items()), spark.createDataFrame([(i,) for i in gone], "id string"))
+        box.tidy()
+        assert held(box) == want
+    layers = box.manifest()[1]["layers"]
+    assert len(layers) <= co.DELTAS + 1
+    box.compact()
+    assert held(box) == want and [x["kind"] for x in box.manifest()[1]["layers"]] == ["base"] and box.manifest()[1]["layers"][0]["buckets"] > 2
+    newest = box.version()
+    assert box.clean_up() and box.numbers() == [newest] and held(box) == want
+    assert sum(n.startswith("v-") for n in box.names()) == 1
+
+
+def test_writers(spark, tmp_path):
+    """Changes of different ids both succeed, of the same id the second fails; a merge in between is no conflict."""
+    box = co.Collection(spark, str(tmp_path / "c"), buckets=2)
+    box.replace(rows_of(spark, *[(str(i), "a") for i in range(20)]))
+
+    def stale(version):
+        other = co.Collection(spark, str(tmp_path / "c"), buckets=2)
+        told, real = iter([(version, other.content(version))]), other.manifest
+        other.manifest = lambda v=None: real(v) if v is not None else next(told, None) or real()
+        return other
+
+    before = box.version()
+    box.upsert(rows_of(spark, ("1", "mine")))
+    box.compact()
+    stale(before).upsert(rows_of(spark, ("2", "theirs")))
+    assert (held(box)["1"], held(box)["2"]) == ("mine", "theirs")
     with pytest.raises(co.OtherWriter):
-        stale.upsert(rows(("1", "late")))
-    assert {r["document"] for r in box.read().filter("id = '1'").collect()} == {"mine"}
+        stale(before).upsert(rows_of(spark, ("1", "late")))
+    now = box.version()
+    box.replace(rows_of(spark, ("3", "all")))
+    with pytest.raises(co.OtherWriter):
+        stale(now).delete(spark.createDataFrame([("5",)], "id string"))
+    assert held(box) == {"3": "all"}
+
+
+def test_a_change_with_a_known_number_is_not_made_again(spark, tmp_path):
+    box = co.Collection(spark, str(tmp_path / "c"), buckets=2)
+    box.change(rows_of(spark, ("1", "a")), tag=("stream", 4))
+    box.change(rows_of(spark, ("1", "b")), tag=("stream", 4))
+    assert held(box) == {"1": "a"}
+    box.change(rows_of(spark, ("1", "c")), tag=("other", 4))
+    assert held(box) == {"1": "c"}
 
 
 def test_chunks_move_fail_and_are_reset(spark):
@@ -255,6 +316,10 @@ def test_cdc_stream(spark, tmp_path):
     write("b.json", [(3, {"op": "d", "before": {"id": 1}}), (4, {"op": "u", "after": {"id": 2, "name": "z"}})])
     run()
     assert {r["id"]: r["document"] for r in box.read().collect()} == {"2": "name: z | id: 2"}
+    before = box.size("")
+    write("c.json", [(5, {"op": "c", "after": {"id": 3, "name": "w"}})])
+    run()
+    assert box.size("") - before < 10_000 and box.read().count() == 2  # a batch writes its rows
     assert len(box.read().first()["embedding"]) == 64
 
 

@@ -20,13 +20,19 @@ from weftline.model import QUERY_EVENT, Settings, Strategy
 from weftline.operators import context, profile, search, state, usage
 from weftline.sources import sinks
 from weftline.sources.collection import Collection, append_new, collection_stats, entries, unprocessed, upserted
+from weftline.sources.text_index import TextIndex
+
+
+def new_entries(table: DataFrame, processed: DataFrame, embed=None, strategy: Strategy | None = None, source: str = "table", name: str = "rows") -> tuple[DataFrame, Strategy]:
+    """Entries of the table's unprocessed rows, for ``Collection.change``, and the strategy."""
+    strategy = strategy or profile.classify(table)
+    return entries(unprocessed(table, processed, strategy.rowid_col), strategy, embed or vx.embedder(), source, name), strategy
 
 
 def forward(table: DataFrame, collection: DataFrame, processed: DataFrame, embed=None, strategy: Strategy | None = None, source: str = "table", name: str = "rows") -> tuple[DataFrame, Strategy]:
     """The collection after the table's unprocessed rows went in, and the strategy."""
-    strategy = strategy or profile.classify(table)
-    new = unprocessed(table, processed, strategy.rowid_col)
-    return upserted(collection, entries(new, strategy, embed or vx.embedder(), source, name)), strategy
+    new, strategy = new_entries(table, processed, embed, strategy, source, name)
+    return upserted(collection, new), strategy
 
 
 def reverse(collection: DataFrame, strategy: Strategy, kinds: dict[str, str] | None = None, target: DataFrame | None = None) -> DataFrame:
@@ -64,7 +70,8 @@ class Cached:
 class Engine:
     """Answers questions over a collection. encode: texts to vectors; complete:
     messages to text (the stand-in repeats what was retrieved); stream: messages
-    to pieces of text; rows: the source table, by the strategy's row id. Sessions,
+    to pieces of text; rows: the source table, by the strategy's row id; index: the
+    documents' keyword index, else a hybrid question reads all documents. Sessions,
     cache and events are those of this process; ``save_events`` writes the latter
     for ``operators.usage``, and ``operators.state`` holds the same state as tables."""
 
@@ -78,6 +85,7 @@ class Engine:
     stream: Callable[[list[dict]], Iterator[str]] | None = None
     model_name: str = "stand-in"
     mode: str = "semantic"
+    index: TextIndex | None = None
     clock: Callable[[], float] = time.time
     turns: dict[str, list[dict]] = field(default_factory=dict)
     active: dict[str, float] = field(default_factory=dict)
@@ -159,7 +167,10 @@ class Engine:
         lists = [found.select("id", "rank", "similarity")]
         if self.mode == "hybrid":
             words = re.findall(r"\w+", queries[0].lower())
-            hits = search.bm25(stored, words, s.top_k, "id", "document", s.bm25_k1, s.bm25_b)
+            if self.index:
+                hits = self.index.search(words, s.top_k, "id", s.bm25_k1, s.bm25_b)
+            else:
+                hits = search.bm25(stored, words, s.top_k, "id", "document", s.bm25_k1, s.bm25_b)
             lists.append(search.ranked(hits, "score", "id").withColumn("similarity", F.lit(0.0)))
         fused = search.fuse(lists, "id", s.rrf_k).orderBy(F.desc("rrf_score"), F.asc("id")).limit(s.rerank_top_n)
         out = search.ranked(fused, "rrf_score", "id").join(stored.select("id", "document", F.col("metadata")["source"].alias("source")), "id", "left")

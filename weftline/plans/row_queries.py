@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import text as tx
-from weftline.operators import profile
+from weftline.functions import vectors as vx
+from weftline.model import Strategy
+from weftline.operators import profile, search
 from weftline.plans.search_queries import table
 from weftline.sources import collection as co
 from weftline.sources import sinks
@@ -181,6 +185,33 @@ WHERE n = 1 AND event_type <> 'error'
 """
 
 
+def cdc_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of the users' first events that got all events in three batches,
+    by event_id modulo 3, each a delta on top; what a later batch says counts."""
+    events = table(spark, sf_dir, "events").filter("user_id is not null")
+    row = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    box = co.Collection(spark, f"{search.checkpoint_folder(spark)}/users-{uuid.uuid4().hex}", buckets=8)
+    strategy = Strategy("id", "", ["name"], [], ["id"])
+    first = events.groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("name"))
+    box.replace(co.entries(first, strategy, vx.embedder(), "events", "users"))
+    image = F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("name"))
+    delete = F.col("event_type") == "error"
+    value = F.to_json(F.struct(F.when(delete, "d").otherwise("u").alias("op"), F.when(delete, image).alias("before"), F.when(~delete, image).alias("after")))
+    raw = events.select(value.alias("value"), F.struct("ts", "event_id").alias("offset"), F.pmod("event_id", F.lit(3)).alias("batch"))
+    for number in range(3):
+        cdc.apply(box, cdc.latest(cdc.changes(raw.filter(F.col("batch") == number), row)), strategy, vx.embedder(), "events", "users", ("events", number))
+        box.tidy()
+    return box.read().select("id", "document", F.size("embedding").cast("long").alias("dim"))
+
+
+CDC_COLLECTION = """
+WITH e AS (SELECT *, event_id % 3 AS batch FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch DESC, ts DESC, event_id DESC) AS n FROM e)
+SELECT CAST(user_id AS VARCHAR) AS id, 'name: ' || coalesce(event_type, 'None') || ' | id: ' || user_id AS document, CAST(64 AS BIGINT) AS dim
+FROM l WHERE n = 1 AND event_type <> 'error'
+"""
+
+
 def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest status of the chunks of an ingest log read from the orders."""
     log = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("chunk_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("at"))
@@ -245,6 +276,7 @@ QUERIES = {
     "ingest_progress": (ingest_progress, INGEST_PROGRESS),
     "infer_types": (infer_types, INFER_TYPES),
     "cdc_apply": (cdc_apply, CDC_APPLY),
+    "cdc_collection": (cdc_collection, CDC_COLLECTION),
     "chunk_status": (chunk_status, CHUNK_STATUS),
     "chunk_retry": (chunk_retry, CHUNK_RETRY),
     "document_fields": (document_fields, DOCUMENT_FIELDS),

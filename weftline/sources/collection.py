@@ -1,119 +1,206 @@
 """The vector collection: entries (id, embedding, document, metadata) in
-Parquet under one folder, dealt into buckets by a hash of the id.
-
-A write makes new files for the buckets that it touches and then commits a
-list of all buckets' files under the next number, so readers see whole
-versions, a lost job leaves nothing half done, and a small change rewrites
-only its buckets. A number can be committed once: of two writers that began
-with the same version the second fails and must begin anew. Paths go through
-Spark's file systems.
+Parquet under one folder, as numbered versions (``sources.commits``).
+
+A version is a list of *layers*: a base, dealt into buckets by a hash of the id,
+and deltas on top, each the entries that one change brought and the ids that it
+took out (``gone``). A change writes its own rows and nothing else; a read takes
+of each id what the newest layer says. ``tidy`` merges deltas of like size, so
+few are read however many changes there were, and makes a new base when they
+have grown to a fair part of it; a new base has as many buckets as its size
+wants. ``clean_up`` deletes what no kept version names.
+
+Of two writers that began with the same version both succeed if no id is in
+both changes; else the second fails and must begin anew.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import text as tx
 from weftline.model import COLLECTION, Strategy
+from weftline.sources.commits import Commits, OtherWriter
 
-#: Buckets of a new collection.
-BUCKETS = 64
+__all__ = ["COLLECTION", "Collection", "OtherWriter"]
 
+#: Buckets of a new base at least; bytes of a bucket on average at most.
+BUCKETS, BUCKET_BYTES = 64, 256 << 20
+#: Deltas up to which nothing is merged; share of the base's bytes from which on deltas go into it.
+DELTAS, SHARE = 8, 0.25
+DELTA = T.StructType([*COLLECTION.fields, T.StructField("gone", T.BooleanType())])
+EMPTY = {"layers": [], "tags": {}}
 
-class OtherWriter(RuntimeError):
-    """Another writer committed since this one began."""
 
+class Collection(Commits):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, bucket_bytes: int = BUCKET_BYTES):
+        super().__init__(spark, folder)
+        self.buckets, self.bucket_bytes = buckets, bucket_bytes
 
-class Collection:
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder, self._new = spark, folder.rstrip("/"), buckets
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-
-    def _names(self, name: str) -> list[str]:
-        fs, path = self._fs(), self._path(name)
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-    def version(self) -> str | None:
+    def version(self) -> int | None:
         """The newest committed version."""
-        names = [n for n in self._names("") if n.startswith("commit-")]
-        return max(names).removeprefix("commit-") if names else None
+        return self.newest()
 
-    def _manifest(self, version: str | None) -> dict:
-        """buckets (how many) and files (bucket to folder) of a version."""
-        if version is None:
-            return {"buckets": self._new, "files": {}}
-        return json.loads(self.spark.read.text(f"{self.folder}/commit-{version}").first()["value"])
+    def manifest(self, version: int | None = None) -> tuple[int | None, dict]:
+        number = self.newest() if version is None else version
+        return number, EMPTY if number is None else self.content(number)
 
-    def _read(self, files: list[str]) -> DataFrame:
-        return self.spark.read.schema(COLLECTION).parquet(*[f"{self.folder}/{f}" for f in files]) if files else self.spark.createDataFrame([], COLLECTION)
+    # --- reading --------------------------------------------------------------------
 
-    def read(self) -> DataFrame:
-        return self._read(list(self._manifest(self.version())["files"].values()))
+    def read(self, version: int | None = None) -> DataFrame:
+        """The entries of a version (the newest)."""
+        return self._entries(self.manifest(version)[1])
 
     def pages(self) -> list[str]:
-        """The pages of the newest version: its buckets, in order."""
-        return sorted(self._manifest(self.version())["files"], key=int)
+        """The pages of the newest version: its base's buckets, in order."""
+        layers = self.manifest()[1]["layers"]
+        return [str(k) for k in range(self._page_count(layers))] if layers else []
 
-    def page(self, number: str, with_embedding: bool = False) -> DataFrame:
+    def page(self, number: str | int, with_embedding: bool = False) -> DataFrame:
         """The entries of one page, without their vectors if those aren't asked for; an unknown page is empty."""
-        held = self._manifest(self.version())["files"].get(str(number))
-        rows = self._read([held] if held else [])
+        rows = self._entries(self.manifest()[1], page=int(number) if str(number).isdigit() else -1)
         return rows if with_embedding else rows.drop("embedding")
 
-    def _bucket(self, buckets: int) -> Column:
+    def _page_count(self, layers: list[dict]) -> int:
+        return next((x["buckets"] for x in layers if x["kind"] == "base"), self.buckets)
+
+    def _layer(self, layer: dict, page: int | None, buckets: int) -> DataFrame:
+        """The rows of a layer; of a page only its bucket's folder is listed, or the rows whose id falls into it."""
+        if layer["kind"] == "base":
+            rows = self.spark.read.schema(T.StructType([*COLLECTION.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.folder}/{layer['name']}")
+            return (rows if page is None else rows.filter(F.col("bucket") == page)).drop("bucket")
+        rows = self.spark.read.schema(DELTA).parquet(f"{self.folder}/{layer['name']}")
+        return rows if page is None else rows.filter(self._bucket(buckets) == page)
+
+    def _entries(self, was: dict, page: int | None = None) -> DataFrame:
+        buckets = self._page_count(was["layers"])
+        base = [self._layer(x, page, buckets) for x in was["layers"] if x["kind"] == "base"]
+        deltas = [x for x in was["layers"] if x["kind"] == "delta"]
+        if not deltas:
+            return base[0] if base else self.spark.createDataFrame([], COLLECTION)
+        newest = self._newest(deltas, page, buckets)
+        live = newest.filter("not gone").drop("gone")
+        if not base:
+            return live
+        # only the ids of the deltas meet the base, which stays where it is as long as they can be broadcast
+        touched = reduce(DataFrame.unionByName, [self._layer(x, page, buckets).select("id") for x in deltas])
+        return base[0].join(touched, "id", "left_anti").select(*COLLECTION.names).unionByName(live)
+
+    def _newest(self, deltas: list[dict], page: int | None, buckets: int) -> DataFrame:
+        """Of each id of some deltas the row of the newest."""
+        if len(deltas) == 1:
+            return self._layer(deltas[0], page, buckets)
+        rows = reduce(DataFrame.unionByName, [self._layer(x, page, buckets).withColumn("_at", F.lit(x["at"])) for x in deltas])
+        return rows.groupBy("id").agg(F.max_by(F.struct(*DELTA.names[1:]), "_at").alias("r")).select("id", "r.*")
+
+    @staticmethod
+    def _bucket(buckets: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
 
-    def _commit(self, base: str | None, entries: DataFrame, manifest: dict, kept: dict[str, str]) -> str:
-        name = f"v-{uuid.uuid4().hex}"
-        entries.select("id", "embedding", "document", "metadata").withColumn("bucket", self._bucket(manifest["buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
-        made = {n.removeprefix("bucket="): f"{name}/{n}" for n in self._names(name) if n.startswith("bucket=")}
-        number = f"{(int(base) + 1 if base else 0):012d}"
-        try:
-            out = self._fs().create(self._path(f"commit-{number}"), False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" in str(error.java_exception):
-                raise OtherWriter(f"version {number} is there already") from error
-            raise
-        out.write(bytearray(json.dumps({"buckets": manifest["buckets"], "files": kept | made}).encode()))
-        out.close()
-        return number
-
-    def replace(self, entries: DataFrame) -> str:
+    # --- writing --------------------------------------------------------------------
+
+    def _base(self, entries: DataFrame, buckets: int) -> dict:
+        name = self.fresh_folder("v")
+        rows = entries.select(*COLLECTION.names).withColumn("bucket", self._bucket(buckets))
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        return {"name": name, "kind": "base", "buckets": buckets, "bytes": self.size(name)}
+
+    def _delta(self, rows: DataFrame) -> dict:
+        name = self.fresh_folder("v")
+        rows.select(*DELTA.names).write.parquet(f"{self.folder}/{name}")
+        return {"name": name, "kind": "delta", "bytes": self.size(name)}
+
+    def replace(self, entries: DataFrame) -> int:
         """Commit these entries as the whole collection."""
-        base = self.version()
-        return self._commit(base, entries, self._manifest(base), {})
-
-    def change(self, entries: DataFrame | None = None, gone: DataFrame | None = None) -> str:
-        """Delete the ids ``gone`` and upsert ``entries``; only their buckets are
-        read and rewritten."""
-        base = self.version()
-        manifest = self._manifest(base)
-        ids = [x.select("id") for x in (entries, gone) if x is not None]
-        touched = [str(r["b"]) for x in ids for r in x.select(self._bucket(manifest["buckets"]).alias("b")).distinct().collect()]
-        files = {k: f for k, f in manifest["files"].items() if k in set(touched)}
-        now = self._read(list(files.values()))
-        if gone is not None:
-            now = now.join(gone.select("id"), "id", "left_anti")
+        number, was = self.manifest()
+        layer = self._base(entries, self._page_count(was["layers"]))
+        after = 0 if number is None else number + 1
+        return self.add(after, {"op": "replace", "layers": [dict(layer, at=after)], "tags": was["tags"]})
+
+    def change(self, entries: DataFrame | None = None, gone: DataFrame | None = None, tag: tuple[str, int] | None = None) -> int | None:
+        """Delete the ids ``gone`` and upsert ``entries`` (of rows with one id the
+        first). ``tag``: a name and a growing number; a change whose number the
+        collection has already under that name is not made again."""
+        number, was = self.manifest()
+        if tag and was["tags"].get(tag[0], -1) >= tag[1]:
+            return number
+        parts = []
         if entries is not None:
-            now = upserted(now, entries)
-        return self._commit(base, now, manifest, {k: f for k, f in manifest["files"].items() if k not in files})
-
-    def upsert(self, entries: DataFrame) -> str:
+            at = entries.withColumn("_at", F.monotonically_increasing_id())
+            parts.append(first_of_each(at, "id", ["_at", "document"]).select(*COLLECTION.names, F.lit(False).alias("gone")))
+        if gone is not None:
+            ids = gone.select("id").distinct()
+            ids = ids if entries is None else ids.join(entries.select("id"), "id", "left_anti")
+            parts.append(ids.select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in COLLECTION.fields[1:]], F.lit(True).alias("gone")))
+        layer = self._delta(reduce(DataFrame.unionByName, parts))
+        began = -1 if number is None else number
+        while True:
+            after = 0 if number is None else number + 1
+            tags = dict(was["tags"], **({tag[0]: tag[1]} if tag else {}))
+            try:
+                return self.add(after, {"op": "change", "layers": [*was["layers"], dict(layer, at=after)], "tags": tags})
+            except OtherWriter:  # go after the other's change, if it is of other ids
+                number, was = self.manifest(self.newest())
+                self._check_apart(layer, began, number)
+
+    def _check_apart(self, layer: dict, began: int, number: int) -> None:
+        ids = self._layer(layer, None, 0).select("id")
+        for k in range(began + 1, number + 1):
+            other = self.content(k)
+            if other["op"] == "replace":
+                raise OtherWriter(f"version {k} replaced the collection")
+            theirs = [x for x in other["layers"] if x["at"] == k and x["kind"] == "delta"] if other["op"] == "change" else []
+            if any(not self._layer(x, None, 0).select("id").join(ids, "id", "left_semi").isEmpty() for x in theirs):
+                raise OtherWriter(f"version {k} changed some of the same ids")
+
+    def upsert(self, entries: DataFrame) -> int | None:
         return self.change(entries)
 
-    def delete(self, ids: DataFrame) -> str:
+    def delete(self, ids: DataFrame) -> int | None:
         return self.change(gone=ids)
 
+    def tidy(self) -> int | None:
+        """Merge what has gathered, if there is enough: the newest deltas of like
+        size into one, or all into a new base. Another writer's change meanwhile
+        leaves all as it is; a later call finds it."""
+        number, was = self.manifest()
+        base = [x for x in was["layers"] if x["kind"] == "base"]
+        deltas = [x for x in was["layers"] if x["kind"] == "delta"]
+        if base and deltas and sum(x["bytes"] for x in deltas) > SHARE * base[0]["bytes"] or not base and len(deltas) > DELTAS:
+            return self.compact()
+        if len(deltas) <= DELTAS:
+            return number
+        first, newer = len(deltas) - 1, deltas[-1]["bytes"]
+        while first and deltas[first - 1]["bytes"] <= 2 * newer:
+            first, newer = first - 1, newer + deltas[first - 1]["bytes"]
+        merged = dict(self._delta(self._newest(deltas[first:], None, 0)), at=deltas[-1]["at"])
+        return self._put(number, {"op": "merge", "layers": [*base, *deltas[:first], merged], "tags": was["tags"]})
+
+    def compact(self) -> int | None:
+        """A new base of all that counts, its buckets doubled until they are small enough."""
+        number, was = self.manifest()
+        if number is None:
+            return None
+        buckets = self._page_count(was["layers"])
+        while sum(x["bytes"] for x in was["layers"]) > buckets * self.bucket_bytes:
+            buckets *= 2
+        layer = self._base(self._entries(was), buckets)
+        return self._put(number, {"op": "merge", "layers": [dict(layer, at=number)], "tags": was["tags"]})
+
+    def _put(self, number: int, content: dict) -> int:
+        try:
+            return self.add(number + 1, content)
+        except OtherWriter:
+            return number
+
+    def clean_up(self, keep: int = 1) -> list[str]:
+        """Delete versions but the newest ``keep`` and the layers that only those named."""
+        kept = [self.content(n) for n in self.numbers()[-keep:]]
+        return self.clean(keep, {x["name"] for c in kept for x in c["layers"]}, ("v",))
+
 
 def first_of_each(rows: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """The first row of each key; ties in the order are settled by the caller's columns."""

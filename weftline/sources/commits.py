@@ -44,7 +44,7 @@ class Commits:
     def newest(self) -> int | None:
         return max(self.numbers(), default=None)
 
-    def read(self, number: int) -> dict:
+    def content(self, number: int) -> dict:
         fs, path = self._fs(), self._path(f"commit-{number:012d}")
         stream = fs.open(path)
         try:

@@ -42,7 +42,7 @@ class TextIndex(Commits):
 
     def manifest(self) -> tuple[int | None, dict]:
         number = self.newest()
-        return number, EMPTY if number is None else self.read(number)
+        return number, EMPTY if number is None else self.content(number)
 
     # --- changes ------------------------------------------------------------------
 
@@ -91,7 +91,7 @@ class TextIndex(Commits):
         return self.add(number + 1, dict(was, segments=[segment] if segment["docs"] else [], tombstones=[]))
 
     def clean_up(self, keep: int = 1) -> list[str]:
-        kept = [self.read(n) for n in self.numbers()[-keep:]]
+        kept = [self.content(n) for n in self.numbers()[-keep:]]
         named = {x["name"] for c in kept for x in [*c["segments"], *c["tombstones"]]}
         return self.clean(keep, named, ("segment", "tombstones"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.sources.collection import Collection, entries, upserted
+from weftline.sources.collection import Collection, entries
 
 
 def envelope(row: T.StructType) -> T.StructType:
@@ -39,23 +39,23 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("rowid").agg(F.max_by(F.struct("op", "after"), "offset").alias("c")).select("rowid", "c.op", "c.after")
 
 
-def apply(collection: DataFrame, last: DataFrame, strategy, embed, source: str, table: str) -> DataFrame:
-    """The collection after the last changes: deleted ids go, others are upserted with their documents."""
+def apply(collection: Collection, last: DataFrame, strategy, embed, source: str, table: str, tag: tuple[str, int] | None = None) -> None:
+    """Put the last changes into the collection: deleted ids go, others are
+    upserted with their documents. Only these rows are written."""
     gone = last.filter("op = 'd'").select(F.col("rowid").alias("id"))
     rows = last.filter("op = 'u' and after is not null").select("after.*")
-    return upserted(collection.join(gone, "id", "left_anti"), entries(rows, strategy, embed, source, table))
+    collection.change(entries(rows, strategy, embed, source, table), gone, tag)
 
 
 def start(stream: DataFrame, collection: Collection, row: T.StructType, strategy, embed, checkpoint: str, key: str = "id", source: str = "cdc", table: str = "cdc"):
-    """A streaming query that keeps the collection in step. A batch rewrites only
-    the buckets that its rows are in; one that runs again after a failure gives
-    the same collection."""
+    """A streaming query that keeps the collection in step. A batch writes its own
+    rows, and what has gathered is merged now and then; one that runs again after
+    a failure is known by its number and changes nothing."""
 
     def batch(raw: DataFrame, number: int) -> None:
         last = latest(changes(raw, row, key)).persist()
-        gone = last.filter("op = 'd'").select(F.col("rowid").alias("id"))
-        rows = last.filter("op = 'u' and after is not null").select("after.*")
-        collection.change(entries(rows, strategy, embed, source, table), gone)
+        apply(collection, last, strategy, embed, source, table, (checkpoint, number))
         last.unpersist()
+        collection.tidy()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
