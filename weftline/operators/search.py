@@ -35,25 +35,33 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     hold nulls or differ in length from the query's take no part.
 
     Queries are packed into blocks and rows into shards on the executors; a grid
-    of tiles brings each block and each shard together, a tile keeps k rows of
-    each query, and a window merges the tiles. Nothing passes the driver."""
+    of cells brings each block and each shard together, queries copied along one
+    side and rows along the other, whichever way copies least. A tile keeps k rows
+    of each query, and a window merges the tiles. Nothing passes the driver."""
     spark = vectors.sparkSession
     key = query_col or id_col
-    asked = _packed(_vectors(queries, key, embedding, "long").repartition(F.col("id")), "q", QUERY_BLOCK)
-    stored = _packed(_vectors(vectors, id_col, embedding, vectors.schema[id_col].dataType), "v", SHARD_BLOCK)
-    columns = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = _vectors(queries, key, embedding, queries.schema[key].dataType).repartition(F.col("id"))
+    stored = _vectors(vectors, id_col, embedding, vectors.schema[id_col].dataType)
+    n_asked, n_stored = asked.count(), stored.count()
+    blocks, shards = max(1, -(-n_asked // QUERY_BLOCK)), max(1, -(-n_stored // SHARD_BLOCK))
+    cells = min(blocks * shards, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * shards // TILES))
+    columns = min(shards, cells, max(1, round((cells * n_stored / max(n_asked, 1)) ** 0.5)))
+    rows = min(blocks, -(-cells // columns))
+    asked = _packed(asked, "q", QUERY_BLOCK).withColumn("row", F.pmod(F.xxhash64("q_data"), F.lit(rows)).cast("int"))
     asked = asked.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    stored = stored.withColumn("column", F.pmod(F.xxhash64("v_data"), F.lit(columns)).cast("int"))
-    tiles = stored.join(asked, "column").filter("q_dim = v_dim").drop("column", "q_dim")
-    kind = vectors.schema[id_col].dataType.simpleString()
-    found = tiles.mapInArrow(_tile_search(k, query_col is None, id_col), f"query_id long, {id_col} {kind}, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(id_col))
+    stored = _packed(stored, "v", SHARD_BLOCK).withColumn("column", F.pmod(F.xxhash64("v_data"), F.lit(columns)).cast("int"))
+    stored = stored.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    tiles = stored.join(asked, ["row", "column"]).filter("q_dim = v_dim").drop("row", "column", "q_dim")
+    of = lambda df, c: df.schema[c].dataType.simpleString()
+    found = tiles.mapInArrow(_tile_search(k, query_col is None, id_col), f"query_id {of(queries, key)}, {id_col} {of(vectors, id_col)}, similarity double")
+    # equal vectors may differ in the last bits from tile to tile: equal to twelve decimals is equal, as in a tile
+    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), F.asc(id_col))
     out = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", id_col, "rank", "similarity")
     return out if threshold is None else out.filter(F.col("similarity") >= threshold)
 
 
-#: Rows of a block of queries and of a shard.
-QUERY_BLOCK, SHARD_BLOCK = 256, 4096
+#: Rows of a block of queries and of a shard; tiles of a cell of the grid on average at most.
+QUERY_BLOCK, SHARD_BLOCK, TILES = 256, 4096, 64
 
 
 def _vectors(rows: DataFrame, id_col: str, embedding: str, kind) -> DataFrame:
@@ -96,7 +104,7 @@ def _tile_search(k: int, others_only: bool, id_col: str):
                 own, v = own.take(pa.array(turn)), v[turn]
                 sims = np.maximum(q @ v.T, 0.0)
                 if others_only:
-                    sims[np.asarray(ids)[:, None] == np.asarray(own)[None, :]] = -1
+                    sims[np.asarray(ids.to_pylist())[:, None] == np.asarray(own.to_pylist())[None, :]] = -1
                 rounded = np.round(sims, 12)
                 take = min(k, len(own))
                 edge = -np.partition(-rounded, take - 1, axis=1)[:, take - 1] if take else np.zeros(len(q))
