@@ -38,10 +38,10 @@ def ids_by_text(encoder, texts):
 
 
 def test_words_give_the_ids_of_the_whole_text(json_text, whole, texts, monkeypatch):
-    monkeypatch.setattr(tf, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(tf, "KNOWN_PIECES", 50)
     monkeypatch.setattr(tf, "KNOWN_IDS", 400)
     rng = random.Random(5)
-    parts = [chr(c) for c in range(256)] + ["́", "̣", "é", " ́", "\u0085", " ", " ", "　", "​", "﻿", "Σ", "İ", "가", "'s", "'LL", "don't", "12", "<|endoftext|>", "<|startoftext|>", "\U0001f600", "  ", "\r\n", "Ⅷ", "中文", "ſ", "ª", "µ", "ß", "Ÿ", "ÿ", "Å", "É.", "word,", "End!?", "it's.", "o'clock;"]
+    parts = [chr(c) for c in range(256)] + ["́", "̣", "é", " ́", "\u0085", " ", " ", "　", "​", "﻿", "Σ", "İ", "가", "'s", "'LL", "don't", "12", "<|endoftext|>", "<|startoftext|>", "\U0001f600", "  ", "\r\n", "Ⅷ", "中文", "ſ", "ª", "µ", "ß", "Ÿ", "ÿ", "Å", "É.", "word,", "End!?", "it's.", "a&&&", "b$%#", "c).", "d)e", "***", "o'clock;"]
     odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     own = [t for _, t in texts] + odd + [f"a{c}b" for c in parts]
     encoder = tf.Encoder(json_text, words=True)

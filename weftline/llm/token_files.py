@@ -59,8 +59,10 @@ TABLE_MAGIC, FOOTER_MAGIC, SKIP_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 #: version, bytes of an id, token frames, index frames, documents, ids.
 HEAD = struct.Struct("<HHIIQQ")
 ENTRY, FOOTER, SKIP = struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<II")
-#: Words, and ids of words, that a task remembers.
-KNOWN_WORDS, KNOWN_IDS = 1 << 19, 1 << 22
+#: Pieces of words, and their ids, that a worker remembers; bytes of text that are encoded at once.
+KNOWN_PIECES, KNOWN_IDS, ENCODE_BYTES = 1 << 19, 1 << 22, 1 << 22
+#: Marks that may stand behind the letters of a plain word.
+MARKS = ".,;:!?&*$%#)"
 #: Letters that are looked at one by one: the Latin ones of the first 256 code points.
 LETTERS = [chr(c) for c in range(256) if chr(c).isalpha()]
 
@@ -81,60 +83,51 @@ class Encoder:
     is encoded once while it is remembered. That gives the ids of the whole text
     if the tokenizer drops white space, joins nothing across it, and makes one
     piece of a run of Latin letters, whose form is that of its letters in a row,
-    as word_bpe_49k does; for one that doesn't, leave it out. Words of such letters
-    with marks after them go straight to the tokenizer's model, all others through
-    the whole tokenizer."""
+    as word_bpe_49k does; for one that doesn't, leave it out. Letters and the marks
+    after them are pieces of their own; runs of letters go straight to the
+    tokenizer's model, all else through the whole tokenizer."""
 
     def __init__(self, tokenizer_json: str, words: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_str(tokenizer_json), words
+        self.tokenizer, self.source, self.words = Tokenizer.from_str(tokenizer_json), tokenizer_json, words
         if words:
             self.model, self.forms = self.tokenizer.model, self._letter_forms()
-            self.plain = re.compile(f"([{''.join(map(chr, self.forms))}]+)([.,;:!?]*)")
+            self.class_ = "".join(map(chr, self.forms))
+            self.letters, self.plain = re.compile(f"[{self.class_}]+"), f"^[{self.class_}]+[{MARKS}]*$"
             self._forget()
 
     def _letter_forms(self) -> dict[int, str]:
-        """The form in which the model gets each Latin letter, where that is one piece."""
+        """The form in which the model gets each Latin letter, where that is one piece and its case doesn't matter."""
         before, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         out = {}
         for c in LETTERS:
-            normal = before.normalize_str(c) if before else c
-            pieces = cut.pre_tokenize_str(normal) if cut else [(normal, (0, 1))]
-            if len(pieces) == 1:
-                out[ord(c)] = pieces[0][0]
+            pieces = {tuple(p for p, _ in cut.pre_tokenize_str(before.normalize_str(x))) for x in (c, c.lower())}
+            if len(pieces) == 1 and len(form := pieces.pop()) == 1:
+                out[ord(c)] = form[0]
         return out
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.sizes, self.flat = array("q"), array("I")
-
-    def _learn(self, words: list[str]) -> None:
-        """Give each new word a code, its number of ids and its ids."""
-        made: list[list[int] | None] = []
-        for word in words:
-            match = self.plain.fullmatch(word)
-            made.append(self._piece(match[1].translate(self.forms)) + self._marks(match[2]) if match else None)
-        others = iter(self.tokenizer.encode_batch_fast([w for w, ids in zip(words, made, strict=True) if ids is None], add_special_tokens=False))
-        for word, ids in zip(words, made, strict=True):
-            ids = next(others).ids if ids is None else ids
-            self.codes[word] = len(self.codes)
-            self.sizes.append(len(ids))
-            self.flat.extend(ids)
-
-    def _piece(self, form: str) -> list[int]:
-        ids = self.pieces.get(form)
-        if ids is None:
-            ids = self.pieces[form] = [t.id for t in self.model.tokenize(form)]
-        return ids
-
-    def _marks(self, marks: str) -> list[int]:
-        ids = self.pieces.get(marks)
-        if ids is None:
-            ids = self.pieces[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
-        return ids
+        """Know the empty piece alone."""
+        self.known = pa.array([""], pa.large_string())
+        self.sizes, self.flat = array("q", [0]), array("I")
+
+    def _codes(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each piece among the known; new ones are encoded first."""
+        coded = pieces.dictionary_encode()
+        found = pc.index_in(coded.dictionary, self.known)
+        new = coded.dictionary.filter(found.is_null())
+        if len(new):
+            names = new.to_pylist()
+            others = iter(self.tokenizer.encode_batch_fast([x for x in names if not self.letters.fullmatch(x)], add_special_tokens=False))
+            for name in names:
+                ids = [t.id for t in self.model.tokenize(name.translate(self.forms))] if self.letters.fullmatch(name) else next(others).ids
+                self.sizes.append(len(ids))
+                self.flat.extend(ids)
+            self.known = pa.concat_arrays([self.known, new])
+            found = pc.index_in(coded.dictionary, self.known)
+        return np.asarray(found).astype(np.int64)[np.asarray(coded.indices)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
@@ -142,22 +135,35 @@ class Encoder:
         if not self.words:
             own = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *own]), np.array([len(x) for x in own], dtype=np.int64)
+        if len(self.known) > KNOWN_PIECES or len(self.flat) > KNOWN_IDS:
+            self._forget()
         runs = pc.ascii_split_whitespace(texts)
         per_text = np.asarray(runs.value_lengths()).astype(np.int64)
         coded = runs.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.codes) > KNOWN_WORDS or len(self.flat) > KNOWN_IDS:
-            self._forget()
-        self._learn([w for w in distinct if w not in self.codes])
+        word = coded.dictionary
+        plain = pc.match_substring_regex(word, self.plain)
+        # a plain word is its letters, without case, and the marks after them; another word is one piece
+        piece = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(word, characters=MARKS)), word)
+        marks = pc.if_else(plain, pc.replace_substring_regex(word, f"^[{self.class_}]+", ""), "")
+        both = self._codes(pa.concat_arrays([piece, marks.cast(pa.large_string())])).reshape(2, -1)[:, np.asarray(coded.indices)].T.reshape(-1)
         size, flat = np.array(self.sizes, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
-        code = np.fromiter((self.codes[w] for w in distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
-        count = size[code]
+        count = size[both]
         after = np.concatenate([[0], np.cumsum(count)])
-        place = np.arange(int(after[-1])) + np.repeat((np.cumsum(size) - size)[code] - after[:-1], count)
-        edge = np.concatenate([[0], np.cumsum(per_text)])
+        place = np.arange(int(after[-1])) + np.repeat((np.cumsum(size) - size)[both] - after[:-1], count)
+        edge = np.concatenate([[0], np.cumsum(2 * per_text)])
         return flat[place], np.diff(after[edge])
 
 
+_HELD: list[Encoder] = []
+
+
+def held_encoder(tokenizer_json: str, words: bool) -> Encoder:
+    """The encoder of this worker's last task, with the words it knows, if it is for the same tokenizer."""
+    if not _HELD or (_HELD[0].source, _HELD[0].words) != (tokenizer_json, words):
+        _HELD[:] = [Encoder(tokenizer_json, words)]
+    return _HELD[0]
+
+
 class Writer:
     """One file, written from front to back."""
 
@@ -290,7 +296,7 @@ class Reader:
 def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """doc_id, whether null, ids and counts (with the end id) of bounded parts of the rows."""
     for whole in batches:
-        for batch in W.slices(whole):
+        for batch in W.slices(whole, limit=ENCODE_BYTES):
             tokens, counts = encoder(batch.column("text"))
             ends = np.cumsum(counts)
             doc_ids = batch.column("doc_id")
@@ -321,7 +327,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int,
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder, number = Encoder(shared.value, words), TaskContext.get().partitionId()
+        encoder, number = held_encoder(shared.value, words), TaskContext.get().partitionId()
         system, path = filesystem(folder)
         name = f"tokens-{number:06d}-{uuid.uuid4().hex}.zst"
         system.create_dir(path, recursive=True)
