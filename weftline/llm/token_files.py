@@ -60,7 +60,7 @@ TABLE_MAGIC, FOOTER_MAGIC, SKIP_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 HEAD = struct.Struct("<HHIIQQ")
 ENTRY, FOOTER, SKIP = struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<II")
 #: Pieces of words, and their ids, that a worker remembers; bytes of text that are encoded at once.
-KNOWN_PIECES, KNOWN_IDS, ENCODE_BYTES = 1 << 19, 1 << 22, 1 << 22
+KNOWN_PIECES, KNOWN_IDS, ENCODE_BYTES = 1 << 18, 1 << 21, 1 << 21
 #: Marks that may stand behind the letters of a plain word.
 MARKS = ".,;:!?&*$%#)"
 #: Letters that are looked at one by one: the Latin ones of the first 256 code points.
