@@ -223,6 +223,36 @@ def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
     assert key((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == key(components(rows, 4))
 
 
+def test_shared_boilerplate_makes_no_clusters(spark, monkeypatch):
+    """Short pages of one site meet in large bands; none is near another, so nothing is compared exactly, however many there are."""
+    monkeypatch.setattr(md, "BAND_CLASSES", 16)
+    cells = []
+    monkeypatch.setattr(md, "_exact_links", lambda rows, percent, real=md._exact_links: cells.append(rows.count()) or real(rows, percent))
+    sizes = []
+    monkeypatch.setattr(md, "_rare_rows", lambda sets, percent, real=md._rare_rows: sizes.append(sets.count()) or real(sets, percent))
+    for n in (300, 600):
+        rows = [(i, f"this page is about item{i}") for i in range(n)]
+        got = md.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(n)]
+    assert cells == [0, 0] and all(sizes)
+    # with copies among them the copies are found
+    rows += [(1000 + i, f"this page is about item{i} and of nothing else than item{i} {'and on ' * (i % 2)}") for i in range(40)]
+    rows += [(2000 + i, t) for i, t in rows[-20:]]
+    got = md.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert key((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == key(components(rows, 4))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_near_sets_share_a_shingle_of_their_prefixes(percent):
+    rng = random.Random(percent)
+    for _ in range(3000):
+        a = set(rng.sample(range(30), rng.randint(1, 20)))
+        b = {x for x in a if rng.random() < 0.9} | set(rng.sample(range(30), rng.randint(0, 3)))
+        if b and 100 * len(a & b) >= percent * len(a | b):
+            first = [set(sorted(s)[: md.prefix_length(len(s), percent)]) for s in (a, b)]
+            assert first[0] & first[1]
+
+
 def test_likely_pairs_of_bands():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 16, (3, 256)).astype(np.uint8)

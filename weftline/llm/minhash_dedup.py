@@ -14,8 +14,15 @@ further. Classes that share a band are compared by their sketches (four bits of
 each bin): pairs whose bins agree in fewer than ``LIKELY`` of 256 places are let
 go (at similarity 0.8 that is six standard deviations off), the others join
 classes to clusters. So a cluster holds what is nearly alike, and clusters don't
-grow together as the corpus grows. Bands that the same classes share count once;
-a band with more than ``BAND_CLASSES`` classes joins them all.
+grow together as the corpus grows. Bands that the same classes share count once.
+
+A band with more than ``BAND_CLASSES`` classes, such as pages of one site with the
+same boilerplate make, is not compared pair by pair. Its classes meet by their
+rarest shingles instead: two sets at the similarity share one of the rarest fifth
+of each, in one order of all shingles (prefix filter, exact). Again up to
+``BAND_CLASSES`` classes that meet are compared by sketch. More than that which
+hold one rare shingle in their rarest fifth are copies of one another as a rule
+and join to a cluster, which is then compared exactly.
 
 Within a cluster classes are compared exactly, by products of blocks of the
 class-by-shingle matrix, in cells of bounded size; a cell returns only the links
@@ -46,7 +53,7 @@ from weftline.llm.components import connected
 BINS, BANDS, BAND_BINS = 256, 42, 6
 CELL_CLASSES, CELL_SHINGLES = 128, 1 << 20
 #: Bins of two sketches that agree in a pair worth an exact comparison; classes of a band that are compared pair by
-#: pair; members of bands, and pairs, that a task compares at once.
+#: pair (more meet by their rarest shingles); members of bands, and pairs, that a task compares at once.
 LIKELY, BAND_CLASSES, BAND_MEMBERS, PAIRS = 170, 512, 50_000, 1 << 15
 
 
@@ -168,9 +175,8 @@ def alike(band: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = low
 
 
-def _band_links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) that join the classes to clusters."""
-    spark = classes.sparkSession
+def _band_rows(classes: DataFrame) -> DataFrame:
+    """band, cls: each class with each of its bands."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,19 +184,23 @@ def _band_links(classes: DataFrame) -> DataFrame:
             cls = batch.column("cls").take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), cls], ["band", "cls"])
 
-    rows = classes.select("cls", "bands").mapInArrow(unpack, "band long, cls binary")
+    return classes.select("cls", "bands").mapInArrow(unpack, "band long, cls binary")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """band, cls, n, low of the classes of bands that several classes are in; of
+    bands that the same classes are in, one. n: how many; low: the least hash."""
     own = F.xxhash64("cls")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("low"), F.bit_xor(own).alias("all")).filter("n > 1")
-    # of the bands that the same classes share, one
     once = X.cut(shared.groupBy("n", "low", "all").agg(F.min("band").alias("band")).select("band", "n", "low"))
-    members = rows.join(once, "band")
-    few = members.filter(F.col("n") <= BAND_CLASSES).select("band", "cls")
-    in_few = once.filter(F.col("n") <= BAND_CLASSES).agg(F.sum("n")).first()[0] or 0
+    return rows.join(once, "band")
+
+
+def _compared(few: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of a forest of the likely pairs of each band (band, cls, n)."""
+    spark = classes.sparkSession
+    in_few = few.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-in_few // BAND_MEMBERS))
-    # a larger band's classes join the one with the smallest hash
-    many = members.filter(F.col("n") > BAND_CLASSES).select("band", "cls", (own == F.col("low")).alias("first"))
-    center = many.filter("first").groupBy("band").agg(F.min("cls").alias("b"))
-    star = many.join(center, "band").filter("cls <> b").select(F.col("cls").alias("a"), "b")
 
     def compare(table: pa.Table) -> pa.Table:
         band = np.asarray(table.column("band"))
@@ -200,8 +210,73 @@ def _band_links(classes: DataFrame) -> DataFrame:
         cls = table.column("cls").combine_chunks()
         return pa.table({"a": cls.take(pa.array(order[i])), "b": cls.take(pa.array(order[j]))})
 
-    dealt = few.join(classes.select("cls", "bins"), "cls").withColumn("group", F.pmod(F.xxhash64("band"), F.lit(groups)))
-    return star.unionByName(dealt.groupBy("group").applyInArrow(compare, "a binary, b binary")).distinct()
+    dealt = few.select("band", "cls").join(classes.select("cls", "bins"), "cls").withColumn("group", F.pmod(F.xxhash64("band"), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(compare, "a binary, b binary")
+
+
+def _stars(many: DataFrame) -> DataFrame:
+    """Links that join the classes of each band (band, cls, low) to the one with the least hash."""
+    many = many.withColumn("first", F.xxhash64("cls") == F.col("low"))
+    center = many.filter("first").groupBy("band").agg(F.min("cls").alias("b"))
+    return many.join(center, "band").filter("cls <> b").select(F.col("cls").alias("a"), "b")
+
+
+def _band_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the classes to clusters. docs: row, text."""
+    members = _shared(_band_rows(classes))
+    links = _compared(members.filter(F.col("n") <= BAND_CLASSES), classes)
+    large = X.cut(members.filter(F.col("n") > BAND_CLASSES).select("cls").distinct())
+    if not large.isEmpty():
+        own = large.join(classes.select("cls", "row"), "cls").withColumnRenamed("cls", "node")
+        meet = _shared(_rare_rows(X.cut(_sets(docs, own, size).dropDuplicates(["node"])), percent))
+        links = links.unionByName(_compared(meet.filter(F.col("n") <= BAND_CLASSES), classes))
+        links = links.unionByName(_stars(meet.filter(F.col("n") > BAND_CLASSES)))
+    return links.distinct()
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """Of so many of the shingles of a set of n, in one order of all shingles, two
+    sets of the similarity share one at least."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _rare_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """band, cls: each set (node, set) with its rarest shingles, enough of them that
+    two sets of the similarity share one. What many sets share, such as the
+    boilerplate of a site, is rarely among them. Shingles that no other set has
+    are left out. They are counted in the sets given, packed by block."""
+    spark = sets.sparkSession
+    total = sets.agg(F.sum(F.octet_length("set")).alias("n")).first()["n"] or 0
+    dealt, _ = X.dealt(sets, ["node", "set"], total)
+    buckets = X.bucket_count(spark, total // 8)
+
+    def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        held = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        return np.concatenate(held), np.array([len(x) for x in held])
+
+    def pack(table: pa.Table) -> pa.Table:
+        key, _ = keys_of(table)
+        bucket, key, place = X.distinct((W.mix(key, 9) % np.uint64(buckets)).astype(np.int64), key)
+        return X.packed(table.column("block")[0].as_py(), bucket, key, np.bincount(place, minlength=len(key)).astype(np.uint32))
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, own = X.unpacked(table, "keys"), X.unpacked(table, "extra", np.uint32)
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        times = np.bincount(place, weights=np.concatenate(own)).astype(np.uint32)[place]
+        return X.answers(table, [x.tobytes() for x in np.split(times, np.cumsum([len(k) for k in keys])[:-1])])
+
+    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+        key, n = keys_of(table)
+        bucket, distinct, place = X.distinct((W.mix(key, 9) % np.uint64(buckets)).astype(np.int64), key)
+        times = X.joined(replies, np.uint32)[place] if len(key) else np.zeros(0, np.uint32)
+        doc = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((key, times, doc))
+        rank = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+        wanted = np.repeat(np.array([prefix_length(int(x), percent) for x in n], dtype=np.int64), n)
+        some = order[(rank < wanted) & (times[order] > 1)]
+        return pa.table({"band": pa.array(key[some].view(np.int64)), "cls": table.column("node").take(pa.array(doc[some]))})
+
+    return X.by_block(dealt, pack, count, finish, "band long, cls binary")
 
 
 def _linked_blocks(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -290,7 +365,7 @@ def _components(docs: DataFrame, signed: DataFrame, size: int, percent: int) ->
     some = signed.filter("n_shingles > 0")
     classes = some.groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
     classes = X.cut(classes.select("cls", "doc_id", F.col("least.row").alias("row"), "n", "bands", "bins"))
-    clusters = connected(_band_links(classes)).withColumnRenamed("root", "cluster")
+    clusters = connected(_band_links(classes, docs, size, percent)).withColumnRenamed("root", "cluster")
     clusters = X.cut(clusters.join(classes.select(F.col("cls").alias("node"), "row", "n"), "node"))
     size_of = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("members") / CELL_CLASSES), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
