@@ -119,7 +119,7 @@ def test_pages_and_export(spark):
     assert (ta.pages(25, 10), ta.pages(0, 10)) == (3, 0)
     lines = [r["value"] for r in sinks.aligned_lines(spark.createDataFrame([(1, None), (100, "ab")], "n int, name string")).collect()]
     assert lines == ["1   | NULL", "100 | ab  "]
-    assert sinks.sse(["a\nb"]) == ["data: a\\nb\n\n", "data: [DONE]\n\n"]
+    assert list(sinks.sse(["a\nb"])) == ["data: a\\nb\n\n", "data: [DONE]\n\n"]
 
 
 def test_sources_that_fail_stop_no_other(spark, tmp_path):
@@ -275,6 +275,20 @@ def test_forward_then_reverse(spark):
     assert rag.reverse(stored, strategy, target=back.filter("id <> '5'")).count() == 1
 
 
+def test_drift_columns_come_back_typed(spark):
+    strategy = Strategy("id", "", ["name"], ["price"], ["id"])
+    docs = [("1", "name: a | price: 2 | id: 1"), ("2", '{"name": "b", "price": 3, "id": 2, "size": 4, "tag": "x", "ratio": 1.5}'), ("3", "name: c | price: 5 | id: 3 | colour: red | size: 7"), ("4", None), ("5", "no pairs"), ("6", '{"size": 9, "ratio": 2}')]
+    stored = spark.createDataFrame(docs, "id string, document string")
+    assert profile.drift(stored, strategy) == ["colour", "ratio", "size", "tag"] and profile.drift(stored.limit(0), strategy) == []
+    assert {r["column"]: r["documents"] for r in profile.seen_columns(stored).collect()} == {"name": 3, "price": 3, "id": 3, "size": 3, "tag": 1, "ratio": 2, "colour": 1}
+    back = rag.reverse(stored, strategy)
+    assert back.columns == ["name", "price", "id", "colour", "ratio", "size", "tag", "__orig_rowid__"]
+    got = {r["__orig_rowid__"]: (r["colour"], r["size"], r["ratio"]) for r in back.collect()}
+    assert got == {"1": (None, None, None), "2": (None, 4, 1.5), "3": ("red", 7, None), "6": (None, 9, 2.0)}
+    assert rag.reverse(stored, strategy, drift=False).columns == ["name", "price", "id", "__orig_rowid__"]
+    assert profile.json_types(stored.limit(1)) == {}
+
+
 ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
 
 

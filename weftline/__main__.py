@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import vectors as vx
-from weftline.operators import search, usage
+from weftline.operators import context, search, usage
 from weftline.plans import rag
 from weftline.sources import sinks, strategies
 from weftline.sources import tables as ta
@@ -66,7 +66,9 @@ def main(argv: list[str] | None = None) -> None:
     engine = rag.Engine(spark, box, strategy, encode=vx.hashing_encoder(), mode=args.mode, index=index)
     session = engine.new_session()
     for question in args.questions:
-        print(json.dumps(engine.ask(question, session).__dict__, ensure_ascii=False))
+        answer = engine.ask(question, session)
+        answer.citations = context.shown_citations(answer.citations)
+        print(json.dumps(answer.__dict__, ensure_ascii=False))
 
 
 if __name__ == "__main__":

@@ -33,6 +33,11 @@ PII_PATTERNS = {
 }
 
 
+#: The answers to a question over the limit, and to one that no model could answer.
+RATE_LIMITED = "Rate limit exceeded: max %d queries per minute"
+FAILED = "Error generating response: %s"
+
+
 def injections(text: Column) -> Column:
     """The first match (at most 50 characters) of every pattern that matches, in order."""
     hits = [F.when(text.rlike("(?iU)" + p), F.substring(F.regexp_extract(text, "(?iU)(" + p + ")", 1), 1, 50)) for p in INJECTION_PATTERNS]
@@ -61,7 +66,7 @@ def redacted(text: Column) -> Column:
 
 def check_input(query: Column, settings: Settings | None = None) -> Column:
     """struct<allowed, block_reason, warnings, modified_query>; the first failed
-    check decides. The rate limit is stateful and stands in ``streaming``. The
+    check decides. The rate limit is stateful, comes last, and stands in ``streaming``. The
     messages are fixed values."""
     s = settings or Settings()
     blocked = F.lit(False)

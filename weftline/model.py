@@ -42,6 +42,26 @@ TURN = T.StructType(
     ]
 )
 
+#: What the engine logs of its steps; each kind of event fills some fields.
+TRACE_EVENT = T.StructType(
+    [
+        T.StructField("event", T.StringType()),
+        T.StructField("session_id", T.StringType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("query", T.StringType()),
+        T.StructField("expanded", T.ArrayType(T.StringType())),
+        T.StructField("n_results", T.LongType()),
+        T.StructField("latency_ms", T.DoubleType()),
+        T.StructField("hit", T.BooleanType()),
+        T.StructField("backend", T.StringType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("prompt_tokens", T.LongType()),
+        T.StructField("completion_tokens", T.LongType()),
+        T.StructField("stage", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
 
 @dataclass
 class Strategy:
@@ -97,6 +117,7 @@ class Settings:
     truncate: int = 200
     turn_pairs: int = 10
     session_ttl_s: int = 3600
+    sessions: int = 128
     cache_ttl_s: int = 300
     cache_entries: int = 500
     semantic_threshold: float = 0.95

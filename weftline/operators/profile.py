@@ -92,6 +92,32 @@ def infer_types(documents: DataFrame, strategy: Strategy, samples: int | None =
     return {c: out.get(c, "TEXT") for c in cols}
 
 
+def seen_columns(documents: DataFrame, column: str = "document") -> DataFrame:
+    """column, documents (how many hold it) of all keys in all documents, JSON
+    objects and ``key: value`` texts: one pass, counted where the documents are read."""
+    doc = F.col(column)
+    own = F.when(F.ltrim(doc).startswith("{"), F.json_object_keys(doc)).otherwise(F.transform(tx.pairs(doc), lambda p: p["key"]))
+    return documents.select(F.explode(F.array_distinct(own)).alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def drift(documents: DataFrame, strategy: Strategy, most: int = 1000) -> list[str]:
+    """Columns in the documents that the strategy lacks, in order of name: the
+    ``most`` frequent ones (more are no columns of a table)."""
+    known = [*strategy.all_cols(True), *strategy.skip_cols, strategy.rowid_col]
+    new = seen_columns(documents).filter(~F.col("column").isin(known) & ~F.col("column").startswith("__"))
+    return sorted(r["column"] for r in new.orderBy(F.desc("documents"), "column").limit(most).collect())
+
+
+def json_types(documents: DataFrame, column: str = "document") -> dict[str, str]:
+    """INTEGER, REAL or TEXT of every top-level key of the JSON objects among the
+    documents, from the schema that all of them have together."""
+    row = documents.filter(F.ltrim(column).startswith("{")).agg(F.schema_of_variant_agg(F.try_parse_json(column)).alias("s")).first()
+    if not row["s"] or not row["s"].startswith("OBJECT<"):
+        return {}
+    kinds = T.DataType.fromDDL(re.sub(r"\bOBJECT<", "STRUCT<", row["s"]).replace("VARIANT", "STRING").replace("VOID", "STRING"))
+    return sql_types(T.StructType([T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, T.DecimalType) else f.dataType) for f in kinds.fields]))
+
+
 def reconcile(strategy: Strategy, types: dict[str, str], seen: list[str] = ()) -> T.StructType:
     """The output table's schema: the strategy's columns, further seen ones in
     order of name, without names that start with two underscores, and the

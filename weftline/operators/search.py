@@ -216,8 +216,23 @@ def ranked(rows: DataFrame, score: str, id_col: str = "doc_id") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc(id_col))))
 
 
+#: Ids of a short list that are handed to the source as a filter.
+PUSHED = 1000
+_PLAIN = (T.IntegralType, T.StringType, T.DateType, T.FractionalType, T.TimestampType, T.TimestampNTZType)
+
+
 def hydrate(hits: DataFrame, rows: DataFrame, hit_id: str, row_id: str, prefix: str = "") -> DataFrame:
-    """Hits with their rows, matched on the id as text; hits without a row stay."""
+    """Hits with their rows, matched on the id as text; hits without a row stay.
+
+    The ids of up to ``PUSHED`` hits go to the source as values of its own key's
+    type, so a scan of files skips what lacks them and a database looks them up."""
+    kind = rows.schema[row_id].dataType
+    hits = written(hits)
+    some = hits.select(F.col(hit_id).cast("string").alias("i")).filter("i is not null").distinct().limit(PUSHED + 1)
+    if isinstance(kind, _PLAIN):
+        ids = some.select(F.col("i").try_cast(kind).alias("i")).collect()
+        if len(ids) <= PUSHED:
+            rows = rows.filter(F.col(row_id).isin(sorted({r["i"] for r in ids if r["i"] is not None})))
     renamed = rows.select(F.col(row_id).cast("string").alias("_key"), *[F.col(c).alias(prefix + c) for c in rows.columns])
     return hits.withColumn("_id", F.col(hit_id).cast("string")).join(renamed, F.col("_id") == F.col("_key"), "left").drop("_id", "_key")
 

@@ -6,17 +6,17 @@ import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import guards, rewrite
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
-from weftline.model import QUERY_EVENT, Settings, Strategy
+from weftline.model import QUERY_EVENT, TRACE_EVENT, TURN, Settings, Strategy
 from weftline.operators import context, profile, search, state, usage
 from weftline.sources import sinks
 from weftline.sources.collection import Collection, append_new, collection_stats, entries, unprocessed, upserted
@@ -35,13 +35,19 @@ def forward(table: DataFrame, collection: DataFrame, processed: DataFrame, embed
     return upserted(collection, new), strategy
 
 
-def reverse(collection: DataFrame, strategy: Strategy, kinds: dict[str, str] | None = None, target: DataFrame | None = None) -> DataFrame:
+def reverse(collection: DataFrame, strategy: Strategy, kinds: dict[str, str] | None = None, target: DataFrame | None = None, drift: bool = True) -> DataFrame:
     """Typed rows recovered from a collection's documents, with __orig_rowid__;
-    ids that the target already has stay out. No UDF and no embeddings read."""
+    ids that the target already has stay out. Columns that only the documents have
+    come after the strategy's, unless ``drift`` is false. No UDF and no embeddings read."""
     slim = collection.select("id", "document")
-    types = kinds or {c: profile.spark_type(t).simpleString() for c, t in profile.infer_types(slim, strategy).items()}
-    rows = tx.parse(slim.withColumnRenamed("id", "__orig_rowid__"), strategy, "document", "__orig_rowid__", types)
-    rows = rows.filter("parsed").select(*[c for c in strategy.all_cols() if not c.startswith("__")], "__orig_rowid__")
+    sql = profile.infer_types(slim, strategy)
+    more = profile.drift(slim, strategy) if drift else []
+    sql |= {c: t for c, t in (profile.json_types(slim) if more else {}).items() if c in more}
+    schema = profile.reconcile(strategy, sql, more)
+    own = replace(strategy, semantic_cols=[*strategy.semantic_cols, *more])
+    types = {f.name: f.dataType.simpleString() for f in schema} | (kinds or {})
+    rows = tx.parse(slim.withColumnRenamed("id", "__orig_rowid__"), own, "document", "__orig_rowid__", types)
+    rows = rows.filter("parsed").select(*schema.names)
     return rows if target is None else append_new(target, rows)
 
 
@@ -56,6 +62,7 @@ class Answer:
     expanded_queries: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     blocked: bool = False
+    reranked: bool = False
 
 
 @dataclass
@@ -71,7 +78,8 @@ class Engine:
     """Answers questions over a collection. encode: texts to vectors; complete:
     messages to text (the stand-in repeats what was retrieved); stream: messages
     to pieces of text; rows: the source table, by the strategy's row id; index: the
-    documents' keyword index, else a hybrid question reads all documents. Sessions,
+    documents' keyword index, else a hybrid question reads all documents; scorer: of
+    question and document (``functions.models.pair_scorer``), ranks the hits anew. Sessions,
     cache and events are those of this process; ``save_events`` writes the latter
     for ``operators.usage``, and ``operators.state`` holds the same state as tables."""
 
@@ -86,6 +94,7 @@ class Engine:
     model_name: str = "stand-in"
     mode: str = "semantic"
     index: TextIndex | None = None
+    scorer: Callable[[Column, Column], Column] | None = None
     clock: Callable[[], float] = time.time
     turns: dict[str, list[dict]] = field(default_factory=dict)
     active: dict[str, float] = field(default_factory=dict)
@@ -93,6 +102,7 @@ class Engine:
     cache: dict[str, Cached] = field(default_factory=dict)
     hits: dict[str, int] = field(default_factory=lambda: {"exact": 0, "semantic": 0, "miss": 0})
     events: list[dict] = field(default_factory=list)
+    log: list[dict] = field(default_factory=list)
 
     # --- sessions -----------------------------------------------------------
 
@@ -103,8 +113,28 @@ class Engine:
             self.delete_session(old)
         session = uuid.uuid4().hex
         self.turns[session], self.active[session] = [], now
+        self._bound_sessions()
         return session
 
+    def _bound_sessions(self) -> None:
+        while len(self.turns) > self.settings.sessions:  # the longest idle ones make room
+            self.delete_session(min(self.turns, key=lambda k: self.active[k]))
+
+    def save_sessions(self, path: str) -> None:
+        """Write all sessions' turns, as ``load_sessions`` and ``operators.state`` read them."""
+        rows = [(k, n, t["role"], t["content"], datetime.fromtimestamp(self.active[k], UTC)) for k, turns in self.turns.items() for n, t in enumerate(turns)]
+        self.spark.createDataFrame(rows, TURN).coalesce(1).write.mode("overwrite").json(path)
+
+    def load_sessions(self, path: str) -> None:
+        """Take up the sessions that were saved and haven't been idle for too long since."""
+        saved = self.spark.read.schema(TURN).json(path)
+        now = F.lit(datetime.fromtimestamp(self.clock(), UTC))
+        live = state.expire_sessions(state.sessions(saved), now, self.settings.session_ttl_s).limit(self.settings.sessions).select("session_id", F.unix_micros("last_active").alias("at"))
+        for r in state.last_turns(saved, self.settings.turn_pairs).join(live, "session_id").orderBy("session_id", "turn").collect():  # a bounded number of sessions and turns
+            self.turns.setdefault(r["session_id"], []).append({"role": r["role"], "content": r["content"]})
+            self.active[r["session_id"]] = r["at"] / 1e6
+        self._bound_sessions()
+
     def delete_session(self, session: str) -> bool:
         for held in (self.active, self.asked):
             held.pop(session, None)
@@ -156,7 +186,7 @@ class Engine:
     def _column(self, query: str, column):
         return self.spark.range(1).select(F.lit(query).alias("q")).select(column(F.col("q")).alias("r")).first()["r"]
 
-    def retrieve(self, queries: list[str]) -> DataFrame:
+    def retrieve(self, queries: list[str], question: str | None = None) -> DataFrame:
         """Ranked hits of all query variants, fused: rank, rowid, rrf_score,
         similarity, document, source and fields. One search serves all variants.
         Fields come from the source row where there is one, else from the
@@ -172,13 +202,16 @@ class Engine:
             else:
                 hits = search.bm25(stored, words, s.top_k, "id", "document", s.bm25_k1, s.bm25_b)
             lists.append(search.ranked(hits, "score", "id").withColumn("similarity", F.lit(0.0)))
-        fused = search.fuse(lists, "id", s.rrf_k).orderBy(F.desc("rrf_score"), F.asc("id")).limit(s.rerank_top_n)
+        fused = search.fuse(lists, "id", s.rrf_k).orderBy(F.desc("rrf_score"), F.asc("id")).limit(s.top_k if self.scorer else s.rerank_top_n)
         out = search.ranked(fused, "rrf_score", "id").join(stored.select("id", "document", F.col("metadata")["source"].alias("source")), "id", "left")
+        if self.scorer:
+            best = search.rerank(out, self.scorer(F.lit(question or queries[0]), F.col("document")), s.rerank_top_n)
+            out = search.ranked(best.drop("rank"), "rerank_score", "id")
         own = tx.fields(F.col("document"))
         if self.rows is not None:
             key, kinds = self.strategy.rowid_col, {f.name: f.dataType for f in self.rows.schema}
             row = F.array(*[F.struct(F.lit(c).alias("key"), tx.shown(c, kinds[c]).alias("value")) for c in tx.visible(self.rows.columns)])
-            out = search.hydrate(out, self.rows.select(F.col(key).cast("string").alias("key"), row.alias("fields")), "id", "key", "_row_").drop("_row_key")
+            out = search.hydrate(out, self.rows.select(F.col(key).alias("key"), row.alias("fields")), "id", "key", "_row_").drop("_row_key")
             own = F.coalesce("_row_fields", own)
         return out.select("rank", F.col("id").alias("rowid"), "rrf_score", "similarity", "document", "source", tx.shown_fields(own).alias("fields"))
 
@@ -199,22 +232,29 @@ class Engine:
     def _steps(self, question: str, session: str | None, use_cache: bool, streamed: bool) -> Iterator[str | Answer]:
         began, s = self.clock(), self.settings
         session = session if session in self.turns else self.new_session()
-        allowed, self.asked[session] = state.accepted([began], s.queries_per_minute, 60.0, self.asked.get(session))
         guard = self._column(question, lambda q: guards.check_input(q, s))
-        reason = guard["block_reason"] if allowed[0] else "Rate limit exceeded"
+        reason = guard["block_reason"]
+        if not reason:  # only what passes all other checks counts
+            allowed, self.asked[session] = state.accepted([began], s.queries_per_minute, 60.0, self.asked.get(session))
+            reason = None if allowed[0] else guards.RATE_LIMITED % s.queries_per_minute
         if reason:
             yield reason
             yield self._done(question, Answer(reason, session, blocked=True), began, reason, turn=False)
             return
         asked = guard["modified_query"] or question
         known = self.cached(asked) if use_cache else None
+        if use_cache:
+            self._log("cache", session, hit=known is not None)
         if known is not None:
             yield known
             yield self._done(question, Answer(known, session, cache_hit=True, expanded_queries=[question], warnings=list(guard["warnings"])), began)
             return
         variants = self._column(asked, lambda q: rewrite.expand(q, s.variations))
-        summary = context.schema_summary(self.strategy)
-        found = context.build(self.retrieve(variants), s, summary).first().asDict(True)
+        self._log("query", session, query=question, expanded=variants)
+        summary, start = context.schema_summary(self.strategy), self.clock()
+        found = context.build(self.retrieve(variants, asked), s, summary).first().asDict(True)
+        self._log("retrieval", session, n_results=found["n"], latency_ms=(self.clock() - start) * 1000)
+        start = self.clock()
         messages = context.prompt(asked, found["context"], self.history(session), summary, bool(found["n"]))
         text, error = "", None
         try:
@@ -223,15 +263,18 @@ class Engine:
                 yield piece
         except Exception as failed:  # whatever a client raises is answered and recorded
             error = str(failed)
-            text = f"Error generating response: {failed}"
+            text = guards.FAILED % failed
+            self._log("error", session, stage="llm", error=error)
             yield text
         warnings = list(guard["warnings"])
         if error is None:
+            size = sum(len(m["content"]) for m in messages)
+            self._log("llm_call", session, backend=self.backend, model=self.model_name, latency_ms=(self.clock() - start) * 1000, prompt_tokens=size // s.chars_per_token, completion_tokens=len(text) // s.chars_per_token)
             row = self.spark.createDataFrame([(text, found["documents"])], "t string, s array<string>").select(guards.check_output(F.col("t"), F.col("s"), s).alias("r")).first()["r"]
             text = row["modified_response"] or text
             warnings += row["warnings"]
             self.remember(asked, text)
-        yield self._done(question, Answer(text, session, found["citations"], found["n"], expanded_queries=variants, warnings=warnings), began, error)
+        yield self._done(question, Answer(text, session, found["citations"], found["n"], expanded_queries=variants, warnings=warnings, reranked=bool(self.scorer and found["n"])), began, error)
 
     def _pieces(self, messages: list[dict], found: dict, streamed: bool) -> Iterator[str]:
         if streamed and self.stream:
@@ -240,7 +283,7 @@ class Engine:
             yield self.complete(messages)
         elif found["n"]:
             yield f"{found['n']} records match: "
-            yield "; ".join(f"[{c['index']}] {d}" for c, d in zip(found["citations"], found["documents"], strict=True))
+            yield "; ".join(f"[{c['index']}] {d}" for c, d in zip(found["citations"], found["texts"], strict=True))
         else:
             yield context.NO_RECORDS
 
@@ -248,11 +291,19 @@ class Engine:
         now = self.clock()
         out.latency_ms, self.active[out.session_id] = (now - began) * 1000, now
         if turn:
-            self.turns[out.session_id] += [{"role": "user", "content": question}, {"role": "assistant", "content": out.answer}]
+            turns = [*self.turns[out.session_id], {"role": "user", "content": question}, {"role": "assistant", "content": out.answer}]
+            self.turns[out.session_id] = turns[-2 * self.settings.turn_pairs :]
         at = datetime.fromtimestamp(now, UTC)
-        self.events.append({"session_id": out.session_id, "query": question, "answer_length": len(out.answer), "retrieved_rows": out.retrieved_rows, "latency_ms": float(out.latency_ms), "cache_hit": out.cache_hit, "llm_backend": "callable" if self.complete or self.stream else "none", "llm_model": self.model_name, "error": error, "warnings": out.warnings, "ts": at})
+        self.events.append({"session_id": out.session_id, "query": question, "answer_length": len(out.answer), "retrieved_rows": out.retrieved_rows, "latency_ms": float(out.latency_ms), "cache_hit": out.cache_hit, "llm_backend": self.backend, "llm_model": self.model_name, "error": error, "warnings": out.warnings, "ts": at})
         return out
 
+    @property
+    def backend(self) -> str:
+        return "callable" if self.complete or self.stream else "none"
+
+    def _log(self, kind: str, session: str, **fields) -> None:
+        self.log.append({"event": kind, "session_id": session, "ts": datetime.fromtimestamp(self.clock(), UTC), **fields})
+
     # --- reports ----------------------------------------------------------------
 
     def event_rows(self) -> DataFrame:
@@ -265,6 +316,12 @@ class Engine:
         sinks.trace(self.event_rows(), path)
         self.events.clear()
 
+    def save_trace(self, path: str) -> None:
+        """Append what was logged (query, retrieval, cache, llm_call, error) as JSON lines and forget it here."""
+        rows = [tuple(e.get(f.name) for f in TRACE_EVENT) for e in self.log]
+        sinks.trace(self.spark.createDataFrame(rows, TRACE_EVENT), path)
+        self.log.clear()
+
     def analytics_summary(self, hours: int = 24) -> dict:
         now = F.lit(datetime.fromtimestamp(self.clock(), UTC))
         return usage.summary(usage.since(self.event_rows(), now, hours), hours).first().asDict()

@@ -185,6 +185,22 @@ WHERE n = 1 AND event_type <> 'error'
 """
 
 
+def drift_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a mixed collection of customers' and suppliers' texts and events'
+    JSON, and which of them a strategy made for the customers lacks."""
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    strategy = profile.classify(customers)
+    texts = [rows.select(tx.serialize(rows, profile.classify(rows)).alias("document")) for rows in (customers, suppliers)]
+    mixed = texts[0].unionByName(texts[1]).unionByName(table(spark, sf_dir, "events").select(F.col("props").alias("document")))
+    known = [*strategy.all_cols(True), *strategy.skip_cols]
+    return profile.seen_columns(mixed).select("column", "documents", (~F.col("column").isin(known)).alias("drift"))
+
+
+DRIFT_COLUMNS = " UNION ALL ".join(
+    f"SELECT column_name AS column, (SELECT count(*) FROM {name}) AS documents, {drift} AS drift FROM (DESCRIBE {name})" for name, drift in (("customer", "false"), ("supplier", "true"))
+) + " UNION ALL SELECT k AS column, count(*) AS documents, true AS drift FROM (SELECT unnest(list_distinct(json_keys(props))) AS k FROM events) GROUP BY k"
+
+
 def cdc_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection of the users' first events that got all events in three batches,
     by event_id modulo 3, each a delta on top; what a later batch says counts."""
@@ -276,6 +292,7 @@ QUERIES = {
     "ingest_progress": (ingest_progress, INGEST_PROGRESS),
     "infer_types": (infer_types, INFER_TYPES),
     "cdc_apply": (cdc_apply, CDC_APPLY),
+    "drift_columns": (drift_columns, DRIFT_COLUMNS),
     "cdc_collection": (cdc_collection, CDC_COLLECTION),
     "chunk_status": (chunk_status, CHUNK_STATUS),
     "chunk_retry": (chunk_retry, CHUNK_RETRY),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,11 @@ def trace(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def sse(tokens) -> list[str]:
-    """Server-sent event lines of an answer's pieces."""
-    out = []
+def sse(tokens: Iterable[str]) -> Iterator[str]:
+    """Server-sent event lines of an answer's pieces, each as it comes."""
     try:
         for token in tokens:
-            out.append("data: " + token.replace("\n", "\\n") + "\n\n")
+            yield "data: " + token.replace("\n", "\\n") + "\n\n"
     except RuntimeError as error:
-        out.append(f"data: [ERROR] {error}\n\n")
-    return [*out, "data: [DONE]\n\n"]
+        yield f"data: [ERROR] {error}\n\n"
+    yield "data: [DONE]\n\n"
