@@ -133,7 +133,7 @@ def _row() -> Column:
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, row, n_shingles, cls (128 bits that stand for the set), bands, bins
     (four bits of each bin). docs: doc_id, row, text."""
-    names = ["doc_id", "row"]
+    names, kind = ["doc_id", "row"], docs.schema["row"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,7 +145,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(set_classes(key, first), pa.binary()), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (bands, bins))], [*names, "n_shingles", "cls", "bands", "bins"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(sign, "doc_id long, row long, n_shingles long, cls binary, bands binary, bins binary")
+    return docs.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id long, row {kind}, n_shingles long, cls binary, bands binary, bins binary")
 
 
 def alike(band: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ def _band_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) ->
     large = X.cut(members.filter(F.col("n") > BAND_CLASSES).select("cls").distinct())
     if not large.isEmpty():
         own = large.join(classes.select("cls", "row"), "cls").withColumnRenamed("cls", "node")
-        meet = _shared(_rare_rows(X.cut(_sets(docs, own, size).dropDuplicates(["node"])), percent))
+        meet = _shared(X.cut(_rare_rows(X.cut(_sets(docs, own, size).dropDuplicates(["node"])), percent)))
         links = links.unionByName(_compared(meet.filter(F.col("n") <= BAND_CLASSES), classes))
         links = links.unionByName(_stars(meet.filter(F.col("n") > BAND_CLASSES)))
     return links.distinct()
@@ -414,7 +414,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def surplus_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """row of all rows but one of each group; ``row`` (a long) tells the rows of
+    """row of all rows but one of each group; ``row`` tells the rows of
     docs apart, or rows that are the same share it. The one has the smallest id;
     a missing id comes last."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text")
