@@ -58,13 +58,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that with the smallest id
-    (operator 8: five words, 0.8). Rows are told apart by a hash of all five
-    columns, and of rows that are the same in all five one stays.
+    (operator 8: five words, 0.8). Rows are told apart by 128 bits of hashes of all
+    five columns, and of rows that are the same in all five one stays.
 
     Texts without words (or null) are copies of nothing and stay. A missing id
     comes after all others; of rows with one id the one with the smallest set
     digest and row hash stays."""
-    rows = _documents(docs).withColumn("row", F.xxhash64(*COLUMNS))
+    missing = [F.col(c).isNull() for c in COLUMNS]  # nulls alone don't change a hash
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *COLUMNS, *missing)), 16, "0")
+    rows = _documents(docs).withColumn("row", F.unhex(F.concat(half(1), half(2))))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     apart = rows.filter(worded).dropDuplicates(["row"])
     kept = apart.join(minhash_dedup.surplus_rows(rows, size=5, percent=80), "row", "left_anti")
