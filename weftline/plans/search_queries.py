@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from weftline.functions import guards, rewrite
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
+from weftline.model import Settings
 from weftline.operators import context, search, state
+from weftline.operators.neighbours import NeighbourIndex
 from weftline.sources.tables import files_state
 from weftline.sources.text_index import TextIndex
 
@@ -51,6 +54,18 @@ SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM r WHERE rank <= 5
 """
 
 
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index of cells and codes, looked into as a whole: all cells, all rows scored."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = NeighbourIndex(spark, f"{search.checkpoint_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    index.build(vectors, tested=False)
+    found = index.search(vectors.filter("vec_id % 50 = 0"), 5, probes=len(index.model().cells), more=vectors.count())
+    return found.select("query_id", "rank", "vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+VECTOR_INDEX_TOPK = VECTOR_TOPK_BATCH.replace("round(s, 6)", "round(s, 5)").replace("ORDER BY s DESC", "ORDER BY round(s, 7) DESC")
+
+
 def semantic_cache_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest other entry of each probe, and whether it is close enough for a cached answer."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -342,6 +357,104 @@ SELECT conv_id, turn, coalesce(response, '-') AS response FROM k LEFT JOIN c USI
 """
 
 
+def response_cache_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache with room for fifty answers and five hours to live, filled by the
+    assistants' turns an hour of each conversation apart; all turns looked up."""
+    turns = table(spark, sf_dir, "conversations").filter("text is not null")
+    at = F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn"))
+    new = turns.filter("role = 'assistant'").select(state.cache_key(F.col("text")).alias("cache_key"), F.concat_ws("/", "conv_id", "turn").alias("response"), at.alias("created_at"), at.alias("last_used"))
+    filled = state.cache_put(new.limit(0), new, 50)
+    now = F.timestamp_seconds(F.lit(turns.agg(F.max("conv_id")).first()[0] * 3600))
+    found = state.cache_get(filled, turns.select("conv_id", "turn", F.col("text").alias("query")), now, 5 * 3600)
+    return found.select("conv_id", "turn", F.coalesce("response", F.lit("-")).alias("response"))
+
+
+RESPONSE_CACHE_FULL = """
+WITH k AS (SELECT conv_id, turn, role, conv_id * 3600 + turn AS moment, substr(sha256(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13)))), 1, 16) AS key FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT key, max(moment) AS last, arg_max(conv_id || '/' || turn, moment) AS response FROM k WHERE role = 'assistant' GROUP BY key),
+f AS (SELECT * FROM c ORDER BY last DESC, key LIMIT 50),
+l AS (SELECT * FROM f WHERE last >= (SELECT max(conv_id) FROM k) * 3600 - 5 * 3600)
+SELECT conv_id, turn, coalesce(response, '-') AS response FROM k LEFT JOIN l USING (key)
+"""
+
+
+def output_guard_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an answer to its neighbour by id: numbers that the neighbour
+    lacks are unsupported, and personal data is taken out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sources = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source"))
+    both = docs.join(sources, "doc_id")
+    checked = both.select("doc_id", "text", guards.check_output(F.coalesce("text", F.lit("")), F.array(F.coalesce("source", F.lit(""))), Settings(redact_response=True)).alias("g"))
+    shown = F.coalesce("g.modified_response", "text", F.lit(""))
+    return checked.select("doc_id", "g.safe", F.array_join("g.warnings", "; ").alias("warnings"), F.sha2(shown, 256).alias("shown_sha256"))
+
+
+OUTPUT_GUARD_SOURCES = rf"""
+WITH d AS (SELECT a.doc_id, coalesce(a.text, '') AS text, coalesce(b.text, '') AS source FROM documents a JOIN documents b ON a.doc_id = b.doc_id + 1),
+n AS (
+  SELECT *, list_distinct(regexp_extract_all(text, '\b\d{{2,}}\b')) AS own, regexp_extract_all(source, '\b\d{{2,}}\b') AS known,
+         concat_ws(', ', {", ".join(f"CASE WHEN regexp_matches(text, '{_duck(p)}') THEN '{k}' END" for k, p in guards.PII_PATTERNS.items())}) AS kinds FROM d
+), k AS (
+  SELECT *, len(list_filter(own, lambda x: NOT list_contains(known, x) AND coalesce(NOT (TRY_CAST(x AS HUGEINT) BETWEEN 1900 AND 2100) AND TRY_CAST(x AS HUGEINT) > 10, true))) AS odd FROM n
+)
+SELECT doc_id, odd <= 3 AS safe,
+       concat_ws('; ', CASE WHEN kinds <> '' THEN 'PII redacted from response: ' || kinds END, CASE WHEN odd > 3 THEN 'Response contains ' || odd || ' numbers not found in retrieved data' END) AS warnings,
+       sha256({_redacted}) AS shown_sha256
+FROM k
+"""
+
+
+def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as rows of a context in each of the formats: digest and cost."""
+    field = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("rank"), ((F.pmod(F.col("conv_id"), F.lit(100)) + 0.5) / 128).alias("similarity"), F.array(field("role", F.col("role")), field("text", F.col("text"))).alias("fields"))
+    of = lambda fmt: context.row_text(fmt, F.col("rank"), F.col("similarity"), F.col("fields"), 60)
+    columns = [c for fmt in context.FORMATS for c in (F.sha2(of(fmt), 256).alias(f"{fmt}_sha256"), F.length(of(fmt)).cast("long").alias(f"{fmt}_cost"))]
+    return turns.select("conv_id", "turn", *columns)
+
+
+_CUT = "CASE WHEN length({0}) <= 60 THEN {0} ELSE substr({0}, 1, 59) || '…' END"
+CONTEXT_ROWS = f"""
+WITH t AS (SELECT conv_id, turn, turn + 1 AS rank, (conv_id % 100 + 0.5) / 128 AS sim, coalesce(role, 'None') AS r, coalesce(text, 'None') AS x FROM conversations),
+c AS (SELECT *, {_CUT.format("r")} AS rc, {_CUT.format("x")} AS xc FROM t),
+f AS (
+  SELECT conv_id, turn, '| [' || rank || '] | ' || rc || ' | ' || xc || ' |' AS md,
+         '  {{' || chr(10) || '    "_ref": ' || rank || ',' || chr(10) || '    "similarity": ' || CAST(round(sim, 3) AS VARCHAR) || ',' || chr(10) || '    "role": ' || to_json(r) || ',' || chr(10) || '    "text": ' || to_json(x) || chr(10) || '  }}' AS js,
+         '[' || rank || '] Similarity=' || printf('%.2f', sim) || chr(10) || '  role: ' || rc || chr(10) || '  text: ' || xc AS kv FROM c
+)
+SELECT conv_id, turn, sha256(md) AS markdown_table_sha256, length(md) AS markdown_table_cost, sha256(js) AS json_sha256, length(js) AS json_cost, sha256(kv) AS key_value_sha256, length(kv) AS key_value_cost FROM f
+"""
+
+
+def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of the best documents of the keyword question, in each format."""
+    hits = search.ranked(documents_index(spark, sf_dir).search(TOKENS, 10), "score")
+    field = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    docs = search.hydrate(hits.select("doc_id", "rank"), table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id", "doc_id", "row_")
+    rows = docs.select("rank", F.col("doc_id").cast("string").alias("rowid"), (1.0 / (F.col("rank") + 1)).alias("similarity"), F.array(field("lang", F.col("row_lang")), field("n_chars", F.col("row_n_chars"))).alias("fields"), F.col("row_source").alias("source"))
+    out = [context.build(rows, Settings(row_format=fmt, context_tokens=60), "S").select(F.lit(fmt).alias("format"), F.sha2("context", 256).alias("context_sha256"), F.col("n").cast("long").alias("n"), F.size("citations").cast("long").alias("citations")) for fmt in context.FORMATS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+CONTEXT_BUILD = f"""
+WITH {_BM25},
+h AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 10),
+t AS (SELECT h.rank, 1.0 / (h.rank + 1) AS sim, coalesce(lang, 'None') AS l, coalesce(CAST(n_chars AS VARCHAR), 'None') AS c FROM h JOIN documents USING (doc_id)),
+f AS (
+  SELECT rank, 'markdown_table' AS format, '| [' || rank || '] | ' || l || ' | ' || c || ' |' AS row FROM t
+  UNION ALL SELECT rank, 'json', '  {{' || chr(10) || '    "_ref": ' || rank || ',' || chr(10) || '    "similarity": ' || CAST(CAST(round(sim, 3) AS DOUBLE) AS VARCHAR) || ',' || chr(10) || '    "lang": ' || to_json(l) || ',' || chr(10) || '    "n_chars": ' || to_json(c) || chr(10) || '  }}' FROM t
+  UNION ALL SELECT rank, 'key_value', '[' || rank || '] Similarity=' || printf('%.2f', CAST(sim AS DOUBLE)) || chr(10) || '  lang: ' || l || chr(10) || '  n_chars: ' || c FROM t
+), b AS (SELECT * FROM (SELECT *, sum(length(row)) OVER (PARTITION BY format ORDER BY rank) AS used FROM f) WHERE used <= 240),
+g AS (
+  SELECT format, count(*) AS n, CASE format WHEN 'markdown_table' THEN '| # | lang | n_chars |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY rank)
+    WHEN 'json' THEN '```json' || chr(10) || '[' || chr(10) || string_agg(row, ',' || chr(10) ORDER BY rank) || chr(10) || ']' || chr(10) || '```' ELSE string_agg(row, chr(10) || chr(10) ORDER BY rank) END AS body
+  FROM b GROUP BY format
+)
+SELECT format, sha256('### Database Schema Summary' || chr(10) || 'S' || chr(10) || chr(10) || '### Retrieved Records (' || n || ' rows, ranked by relevance)' || chr(10) || chr(10) || body || chr(10) || chr(10) || chr(10) || '*Retrieved ' || n || ' of ' || (SELECT count(*) FROM h) || ' candidate rows (similarity threshold applied).*') AS context_sha256,
+       n, n AS citations FROM g
+"""
+
+
 def output_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as an answer, with its conversation's role as the only source text."""
     turns = table(spark, sf_dir, "conversations")
@@ -400,6 +513,7 @@ SELECT doc_id, CAST(64 AS BIGINT) AS dim, coalesce(filled, 0) AS filled, round(c
 QUERIES = {
     "vector_topk": (vector_topk, VECTOR_TOPK),
     "vector_topk_batch": (vector_topk_batch, VECTOR_TOPK_BATCH),
+    "vector_index_topk": (vector_index_topk, VECTOR_INDEX_TOPK),
     "semantic_cache_hit": (semantic_cache_hit, SEMANTIC_CACHE_HIT),
     "semantic_cache_get": (semantic_cache_get, SEMANTIC_CACHE_GET),
     "bm25_topk": (bm25_topk, BM25_TOPK),
@@ -415,7 +529,11 @@ QUERIES = {
     "query_rewrite": (query_rewrite, QUERY_REWRITE),
     "cache_keys": (cache_keys, CACHE_KEYS),
     "response_cache": (response_cache, RESPONSE_CACHE),
+    "response_cache_full": (response_cache_full, RESPONSE_CACHE_FULL),
     "output_guard": (output_guard, OUTPUT_GUARD),
+    "output_guard_sources": (output_guard_sources, OUTPUT_GUARD_SOURCES),
+    "context_rows": (context_rows, CONTEXT_ROWS),
+    "context_build": (context_build, CONTEXT_BUILD),
     "truncate_text": (truncate_text, TRUNCATE_TEXT),
     "context_budget": (context_budget, CONTEXT_BUDGET),
     "embed_rows": (embed_rows, EMBED_ROWS),
