@@ -4,6 +4,7 @@ which types parsed texts get."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,12 @@ def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("non_null") > 0, F.col("distinct") / F.col("non_null")).otherwise(0.0))
 
 
-def classify(df: DataFrame, threshold: float = 0.3, sample_rows: int | None = None, order_by: str | None = None) -> Strategy:
+def classify(df: DataFrame, threshold: float = 0.3, sample_rows: int | None = None, order_by: str | None = None, shares: Callable[[DataFrame, list[str]], dict[str, float]] | None = None) -> Strategy:
     """The strategy of a table. Names decide first (id, date, skip), then types:
     numbers; text by the share of distinct values over the threshold, else an
     id. Booleans and other types take no part. ``sample_rows``: profile the
-    first rows in an order only (as a paged reader would)."""
+    first rows in an order only (as a paged reader would). ``shares``: where the
+    shares of distinct values come from (``sketches.classify``), else all values are counted."""
     kinds = {f.name: f.dataType for f in df.schema}
     rowid = next((c for c in kinds if ID_NAME.search(c)), df.columns[0])
     strategy = Strategy(rowid, "")
@@ -51,7 +53,8 @@ def classify(df: DataFrame, threshold: float = 0.3, sample_rows: int | None = No
         elif isinstance(kind, (T.StringType, T.NullType)):
             texts.append(name)
     profiled = df.select(*texts) if sample_rows is None else df.orderBy(order_by or rowid).limit(sample_rows).select(*texts)
-    ratios = {r["column"]: r["ratio"] for r in cardinality(profiled, texts).collect()} if texts else {}
+    counted = shares or (lambda rows, columns: {r["column"]: r["ratio"] for r in cardinality(rows, columns).collect()})
+    ratios = counted(profiled, texts) if texts else {}
     for name in texts:
         (strategy.semantic_cols if ratios.get(name, 0.0) > threshold else strategy.id_cols).append(name)
     strategy.id_cols.sort(key=df.columns.index)

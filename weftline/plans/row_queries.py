@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 from weftline.model import Strategy
-from weftline.operators import profile, search
+from weftline.operators import profile, search, sketches
 from weftline.plans.search_queries import table
 from weftline.sources import collection as co
 from weftline.sources import sinks
@@ -185,6 +185,26 @@ WHERE n = 1 AND event_type <> 'error'
 """
 
 
+def sketch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the orders by month, kept in two goes and merged: counts, and
+    whether the estimated distinct values are within three standard errors of the
+    exact ones."""
+    orders = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    folder = f"{search.checkpoint_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    sketches.keep(spark, folder, orders.filter("o_orderdate < '1995-01-01'"), "month", columns)
+    sketches.keep(spark, folder, orders, "month", columns)
+    merged = sketches.merged(sketches.kept(spark, folder))
+    exact = profile.cardinality(orders, columns).select("column", F.col("distinct").alias("exact"))
+    close = F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    return merged.join(exact, "column").select("column", "rows", "non_null", F.col("exact").alias("distinct"), close.alias("close"))
+
+
+SKETCH_PROFILE = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS distinct, true AS close FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+).replace("AS distinct", 'AS "distinct"')
+
+
 def drift_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of a mixed collection of customers' and suppliers' texts and events'
     JSON, and which of them a strategy made for the customers lacks."""
@@ -292,6 +312,7 @@ QUERIES = {
     "ingest_progress": (ingest_progress, INGEST_PROGRESS),
     "infer_types": (infer_types, INFER_TYPES),
     "cdc_apply": (cdc_apply, CDC_APPLY),
+    "sketch_profile": (sketch_profile, SKETCH_PROFILE),
     "drift_columns": (drift_columns, DRIFT_COLUMNS),
     "cdc_collection": (cdc_collection, CDC_COLLECTION),
     "chunk_status": (chunk_status, CHUNK_STATUS),
