@@ -55,6 +55,8 @@ CELL_CLASSES, CELL_SHINGLES = 128, 1 << 20
 #: Bins of two sketches that agree in a pair worth an exact comparison; classes of a band that are compared pair by
 #: pair (more meet by their rarest shingles); members of bands, and pairs, that a task compares at once.
 LIKELY, BAND_CLASSES, BAND_MEMBERS, PAIRS = 170, 512, 50_000, 1 << 15
+#: Members of bands that a task compares in all at least, where there are so many.
+TASK_MEMBERS = 4096
 
 
 def shingle_sets(block: W.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +213,8 @@ def _compared(few: DataFrame, classes: DataFrame) -> DataFrame:
         return pa.table({"a": cls.take(pa.array(order[i])), "b": cls.take(pa.array(order[j]))})
 
     dealt = few.select("band", "cls").join(classes.select("cls", "bins"), "cls").withColumn("group", F.pmod(F.xxhash64("band"), F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(compare, "a binary, b binary")
+    # written at once, from as many tasks as the members fill: the plan ends here
+    return X.cut(dealt.groupBy("group").applyInArrow(compare, "a binary, b binary").coalesce(in_few // TASK_MEMBERS + 1))
 
 
 def _stars(many: DataFrame) -> DataFrame:
@@ -230,8 +233,8 @@ def _band_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) ->
         own = large.join(classes.select("cls", "row"), "cls").withColumnRenamed("cls", "node")
         meet = _shared(X.cut(_rare_rows(X.cut(_sets(docs, own, size).dropDuplicates(["node"])), percent)))
         links = links.unionByName(_compared(meet.filter(F.col("n") <= BAND_CLASSES), classes))
-        links = links.unionByName(_stars(meet.filter(F.col("n") > BAND_CLASSES)))
-    return links.distinct()
+        links = links.unionByName(X.cut(_stars(meet.filter(F.col("n") > BAND_CLASSES))))
+    return links
 
 
 def prefix_length(n: int, percent: int) -> int:
