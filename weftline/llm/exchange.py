@@ -24,11 +24,13 @@ ANSWER = "block int, bucket int, answer binary"
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set a folder only where none is named."""
+    """Use the cluster's shared folder; where none is named, set one on a single machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             warehouse = spark.conf.get("spark.sql.warehouse.dir")
             named = warehouse.rstrip("/") + "_checkpoints"
         sc.setCheckpointDir(named)
